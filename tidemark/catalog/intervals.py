@@ -46,7 +46,7 @@ def interval_subtract(t):
 
 
 @query("SET-06 SET-15", f"WITH {POINTS}, {merged('b', chr(39).join(['event_type = ', 'error', '']))}" + """
-SELECT a.event_id, CAST(coalesce(sum(greatest(0, least(a.hi, b.hi) - greatest(a.t, b.lo))), 0) AS BIGINT) AS overlap
+SELECT a.event_id, CAST(coalesce(sum(CASE WHEN b.lo IS NOT NULL THEN least(a.hi, b.hi) - greatest(a.t, b.lo) END), 0) AS BIGINT) AS overlap
 FROM ev a LEFT JOIN b ON a.user_id = b.user_id AND a.t < b.hi AND b.lo < a.hi
 WHERE a.event_type = 'click' GROUP BY a.event_id""")
 def interval_overlap_per_row(t):

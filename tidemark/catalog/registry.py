@@ -62,10 +62,13 @@ POINTS = """ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS
  epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000 AS hi, ts, props FROM events)"""
 
 
-def merged(name: str, where: str, keys: str = "user_id", source: str = "ev", lo: str = "t") -> str:
-    """SQL: disjoint union of the intervals of ``source`` selected by ``where``."""
-    return f"""{name}_0 AS (SELECT {keys}, {lo} AS lo, hi, max(hi) OVER (PARTITION BY {keys} ORDER BY {lo}, hi
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source} WHERE hi > {lo} AND ({where})),
-{name}_1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END)
-  OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM {name}_0),
-{name} AS (SELECT {keys}, min(lo) AS lo, max(hi) AS hi FROM {name}_1 GROUP BY {keys}, g)"""
+def merged(name: str, where: str = "true", keys: str = "user_id", source: str = "ev", lo: str = "t",
+           hi: str = "hi", gap: str = "0", op: str = ">", aggs: str = "", positive: bool = True) -> str:
+    """SQL: islands of the intervals of ``source`` selected by ``where`` (lo, hi and extra aggregates)."""
+    aggs = f", {aggs}" if aggs else ""
+    keep = f"{hi} > {lo} AND " if positive else ""
+    return f"""{name}_0 AS (SELECT *, max({hi}) OVER (PARTITION BY {keys} ORDER BY {lo}, {hi}
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach_ FROM {source} WHERE {keep}({where})),
+{name}_1 AS (SELECT *, sum(CASE WHEN reach_ IS NULL OR {lo} {op} reach_ + {gap} THEN 1 ELSE 0 END)
+  OVER (PARTITION BY {keys} ORDER BY {lo}, {hi} ROWS UNBOUNDED PRECEDING) AS g_ FROM {name}_0),
+{name} AS (SELECT {keys}, min({lo}) AS lo, max({hi}) AS hi{aggs} FROM {name}_1 GROUP BY {keys}, g_)"""

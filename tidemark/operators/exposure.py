@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as iv
+from tidemark.operators.events import peri_zones
 
 
 def observation_sets(files: DataFrame, gaps: DataFrame, off: DataFrame, reviewed_off: DataFrame,
@@ -20,3 +22,22 @@ def observation_sets(files: DataFrame, gaps: DataFrame, off: DataFrame, reviewed
     eeg = iv.subtract(rec, lost, keys, slice_by)
     seen = eeg.unionByName(iv.intersect(reviewed_off.select(*cols), rec, keys, slice_by))
     return {"rec": rec, "eeg": eeg, "observed": iv.union(seen, keys, slice_by)}
+
+
+def exclusion_grid(events: DataFrame, recording: DataFrame, points: DataFrame, keys: Sequence[str],
+                   configs: Sequence[tuple[str, int]], unit, slice_by="auto") -> DataFrame:
+    """Exposure and point counts outside zones around events, for every (side, W) configuration.
+
+    Zones of all configurations are one relation keyed by (keys, side, w); exposure is
+    recording - zones and points are counted outside them (both zone ends excluded).
+    """
+    keys = list(keys)
+    conf = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(w).alias("w")) for s, w in configs]))
+    grid = [*keys, "side", "w"]
+    zones = peri_zones(events, keys, configs, unit)
+    spread = lambda df: df.withColumn("_c", conf).select(*df.columns, "_c.*")
+    left = iv.subtract(spread(recording.select(*keys, "lo", "hi")), zones, grid, slice_by)
+    exposure = left.groupBy(*grid).agg(F.sum(F.col("hi") - F.col("lo")).alias("exposure"))
+    out = iv.contains(spread(points), zones, grid, "t", closed=True, slice_by=slice_by)
+    counts = out.groupBy(*grid).agg(F.count_if(~F.col("inside")).alias("n_events"))
+    return counts.join(exposure, grid, "left").na.fill(0, ["exposure"])
