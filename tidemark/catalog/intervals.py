@@ -91,10 +91,10 @@ SELECT user_id, CAST(day AS VARCHAR) AS day, bin, round(sum(us) / 1e6, 3) AS sec
 FROM b WHERE us > 0 GROUP BY user_id, day, bin""")
 def clock_bins(t):
     """Exposure by local day and wall-clock bin (dark / light / dark)."""
-    spans = t.points.select("user_id", (F.col("t") / 1e6).alias("lo"), (F.col("hi") / 1e6).alias("hi"))
+    spans = t.points.select("user_id", F.col("t").alias("lo"), "hi")
     out = iv.clock_split(spans, USER, "UTC", [0, 480, 1170, 1440])
     return out.select("user_id", F.col("day").cast("string").alias("day"), "bin",
-                      F.round("seconds", 3).alias("seconds"))
+                      F.round(F.col("length") / 1e6, 3).alias("seconds"))
 
 
 @query("SET-08", f"""WITH {POINTS},

@@ -247,8 +247,9 @@ def lead_events(events: DataFrame, observed: DataFrame, keys: Sequence[str], qui
     x = same.withColumn("_first", F.when(F.col("_plo").isNull() | (F.col("_plo") < F.col("lo")), F.struct("_reach")))
     x = ordered_scan(x, keys, ["lo", "event_id"], [last_known("_r", "_first")], slice_by)
     x = x.withColumn("_from", F.col("lo") - F.lit(quiet))
-    x = iv.covered_before(x, observed, keys, "lo", "_c1", slice_by)
-    x = iv.covered_before(x, observed, keys, "_from", "_c0", slice_by)
+    cover = iv.union(observed, keys, slice_by)
+    x = iv.covered_before(x, cover, keys, "lo", "_c1", slice_by, normalised=True)
+    x = iv.covered_before(x, cover, keys, "_from", "_c0", slice_by, normalised=True)
     quiet_ok = ~F.coalesce(F.col("_r._reach") > F.col("_from"), F.lit(False))
     enough = F.col("_c1") - F.col("_c0") >= F.lit(fraction) * F.lit(quiet)
     return x.withColumn("is_lead", quiet_ok & enough).select(*events.columns, "is_lead")

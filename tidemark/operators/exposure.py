@@ -41,3 +41,14 @@ def exclusion_grid(events: DataFrame, recording: DataFrame, points: DataFrame, k
     out = iv.contains(spread(points), zones, grid, "t", closed=True, slice_by=slice_by)
     counts = out.groupBy(*grid).agg(F.count_if(~F.col("inside")).alias("n_events"))
     return counts.join(exposure, grid, "left").na.fill(0, ["exposure"])
+
+
+def after_event_variants(points: DataFrame, events: DataFrame, keys: Sequence[str], spans: Sequence[int], unit,
+                         slice_by="auto") -> DataFrame:
+    """Points left when the time after every event is excluded, once per exclusion length (``version``)."""
+    keys = list(keys)
+    each = F.explode(F.array(*[F.lit(s) for s in spans])).alias("version")
+    zones = events.select(*keys, F.col("hi").alias("_e"), each)
+    zones = zones.select(*keys, "version", F.col("_e").alias("lo"), (F.col("_e") + F.col("version") * F.lit(unit)).alias("hi"))
+    out = iv.contains(points.select("*", each), zones, [*keys, "version"], "t", slice_by=slice_by)
+    return out.where("NOT inside").drop("inside")

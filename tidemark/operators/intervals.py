@@ -6,7 +6,7 @@ depend on how many intervals overlap.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,25 +59,6 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], slice_by="auto") -
     return both.where("in_a AND NOT in_b").select(*keys, "lo", "hi")
 
 
-def covered_before(points: DataFrame, cover: DataFrame, keys: Sequence[str], t: str, out: str,
-                   slice_by="auto", normalised: bool = False) -> DataFrame:
-    """Add ``out`` = length of ``cover`` before time ``t``: the cumulative exposure at a point.
-
-    The exposure of any window is then the difference at its two ends, however long the window is
-    and however many intervals it spans - no range join.
-    """
-    cover = cover if normalised else union(cover, keys, slice_by)
-    payload = F.struct(*points.columns)
-    marks = cover.select(*keys, F.inline(F.array(
-        F.struct(F.col("lo").alias("_t"), F.lit(0).alias("_o"), (-F.col("lo")).alias("_d"), F.lit(1).alias("_s")),
-        F.struct(F.col("hi").alias("_t"), F.lit(0).alias("_o"), F.col("hi").alias("_d"), F.lit(-1).alias("_s")))))
-    asks = points.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_o"), payload.alias("_p"))
-    walked = ordered_scan(marks.unionByName(asks, allowMissingColumns=True), keys, ["_t", "_o"],
-                          [running_sum("_sum", "_d"), running_sum("_deep", "_s")], slice_by)
-    return (walked.where("_o = 1")
-                  .select("_p.*", (F.col("_sum") + F.col("_deep") * F.col("_t")).alias(out)))
-
-
 def overlap_length(rows: DataFrame, cover: DataFrame, keys: Sequence[str], out: str = "overlap",
                    lo: str = "lo", hi: str = "hi", slice_by="auto") -> DataFrame:
     """Add to every row the length of its own interval lying inside union(cover).
@@ -133,25 +114,64 @@ def holder_of(points: DataFrame, spans: DataFrame, keys: Sequence[str], t: str,
 
 
 def local_bins(df: DataFrame, keys: Sequence[str], tz: str, edges_min: Sequence[int]) -> DataFrame:
-    """Cut intervals (DOUBLE seconds) by local calendar day and wall-clock bins, DST-safe.
+    """Cut intervals by local calendar day and wall-clock bins, DST-safe.
 
-    Returns ``keys, day, bin, seconds`` per piece; bin edges are minutes after local midnight and are
-    placed on the wall clock of each day, so a 23- or 25-hour day keeps its own length.
+    Returns ``keys, day, bin, length`` per piece, in the unit of the input (BIGINT microseconds or
+    DOUBLE seconds).  Bin edges are minutes after local midnight placed on the wall clock of each day,
+    so a 23- or 25-hour day keeps its own length.
     """
-    day_of = lambda c: F.to_date(F.from_utc_timestamp(F.timestamp_micros((F.col(c) * 1e6).cast("long")), tz))
+    micros = dict(df.dtypes)["lo"] == "bigint"
+    us = (lambda c: F.col(c)) if micros else (lambda c: (F.col(c) * 1e6).cast("long"))
+    day_of = lambda c: F.to_date(F.from_utc_timestamp(F.timestamp_micros(us(c)), tz))
     days = df.withColumn("day", F.explode(F.sequence(day_of("lo"), day_of("hi"))))
     bins = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(a).alias("m0"), F.lit(b).alias("m1"))
                      for i, (a, b) in enumerate(zip(edges_min, edges_min[1:]))])
-    wall = lambda m: F.unix_micros(F.to_utc_timestamp(
-        F.col("day").cast("timestamp") + F.make_dt_interval(mins=F.col(m)), tz)) / F.lit(1e6)
+
+    def wall(m: str):
+        at = F.unix_micros(F.to_utc_timestamp(F.col("day").cast("timestamp") + F.make_dt_interval(mins=F.col(m)), tz))
+        return at if micros else at / F.lit(1e6)
+
     cut = days.select(*df.columns, "day", F.inline(bins))
-    seconds = F.least(F.col("hi"), wall("m1")) - F.greatest(F.col("lo"), wall("m0"))
-    return (cut.withColumn("seconds", seconds).where("seconds > 0")
-               .select(*keys, "day", "bin", "seconds"))
+    length = F.least(F.col("hi"), wall("m1")) - F.greatest(F.col("lo"), wall("m0"))
+    return cut.withColumn("length", length).where("length > 0").select(*keys, "day", "bin", "length")
 
 
 def clock_split(df: DataFrame, keys: Sequence[str], tz: str, edges_min: Sequence[int],
                 slice_by="auto") -> DataFrame:
-    """Seconds of union(df) per local day and wall-clock bin."""
+    """Length of union(df) per local day and wall-clock bin."""
     return (local_bins(union(df, keys, slice_by), keys, tz, edges_min)
-            .groupBy(*keys, "day", "bin").agg(F.sum("seconds").alias("seconds")))
+            .groupBy(*keys, "day", "bin").agg(F.sum("length").alias("length")))
+
+
+def cumulative_at(asks: DataFrame, keys: Sequence[str], t: str, covers: Mapping[str, DataFrame] | None = None,
+                  counts: Mapping[str, tuple[DataFrame, str, bool]] | None = None, slice_by="auto") -> DataFrame:
+    """Several cumulative lookups in one sweep; rows of ``asks`` are kept one to one.
+
+    ``covers`` (normalised sets): length of the set before ``t``.  ``counts`` = (points, column,
+    inclusive): number of points with column < ``t`` (or <=).  The exposure of a window, the points in
+    it and the intervals meeting it ("started before its end" minus "ended by its start") are all
+    differences of such values, so no pairs are formed however long or dense the window is.
+    """
+    rows = asks.select(*keys, F.col(t).alias("_t"), F.lit(0).alias("_o"), F.struct(*asks.columns).alias("_p"))
+    steps, outs = [], []
+    for name, cover in (covers or {}).items():
+        rows = rows.unionByName(cover.select(*keys, F.inline(F.array(
+            F.struct(F.col("lo").alias("_t"), F.lit(-1).alias("_o"), (-F.col("lo")).alias(f"_d_{name}"), F.lit(1).alias(f"_s_{name}")),
+            F.struct(F.col("hi").alias("_t"), F.lit(-1).alias("_o"), F.col("hi").alias(f"_d_{name}"), F.lit(-1).alias(f"_s_{name}"))))),
+            allowMissingColumns=True)
+        steps += [running_sum(f"_sum_{name}", f"_d_{name}"), running_sum(f"_deep_{name}", f"_s_{name}")]
+        outs.append((F.col(f"_sum_{name}") + F.col(f"_deep_{name}") * F.col("_t")).alias(name))
+    for name, (points, column, inclusive) in (counts or {}).items():
+        rows = rows.unionByName(points.select(*keys, F.col(column).alias("_t"), F.lit(-1 if inclusive else 1).alias("_o"),
+                                              F.lit(1).alias(f"_s_{name}")), allowMissingColumns=True)
+        steps.append(running_sum(f"_n_{name}", f"_s_{name}"))
+        outs.append(F.col(f"_n_{name}").alias(name))
+    walked = ordered_scan(rows, keys, ["_t", "_o"], steps, slice_by)
+    return walked.where("_p IS NOT NULL").select("_p.*", *outs)
+
+
+def covered_before(points: DataFrame, cover: DataFrame, keys: Sequence[str], t: str, out: str,
+                   slice_by="auto", normalised: bool = False) -> DataFrame:
+    """Add ``out`` = length of union(cover) before time ``t``."""
+    cover = cover if normalised else union(cover, keys, slice_by)
+    return cumulative_at(points, keys, t, covers={out: cover}, slice_by=slice_by)

@@ -79,8 +79,8 @@ def threshold_sweep(det: DataFrame, gt: DataFrame, keys: Sequence[str], tol, thr
 
     kept = count(det, "kept")
     out = kept.join(count(best, "tp"), "threshold", "left").join(count(hits, "hit"), "threshold", "left").na.fill(0)
-    n = gt.agg(F.count(F.lit(1)).alias("n_gt"))
-    out = out.join(F.broadcast(n)).select(  # n: a single row
+    n = gt.agg(F.count(F.lit(1)).alias("n_gt")).withColumn("_one", F.lit(1))
+    out = out.withColumn("_one", F.lit(1)).join(n, "_one").select(
         "threshold", "tp", (F.col("kept") - F.col("hit")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
     p = ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fp"))
     r = ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fn"))
