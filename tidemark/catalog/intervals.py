@@ -84,8 +84,8 @@ def containing_interval(t):
 @query("SET-07 FN-03", f"""WITH {POINTS}, {merged('u', 'true')},
 d AS (SELECT user_id, lo, hi, unnest(generate_series(CAST(make_timestamp(lo) AS DATE),
       CAST(make_timestamp(hi) AS DATE), INTERVAL 1 DAY)) AS day FROM u),
-b AS (SELECT user_id, CAST(day AS DATE) AS day, bin, least(hi, epoch_us(CAST(day AS TIMESTAMP)) + m1 * 60000000)
-      - greatest(lo, epoch_us(CAST(day AS TIMESTAMP)) + m0 * 60000000) AS us
+b AS (SELECT user_id, CAST(day AS DATE) AS day, bin, least(hi, epoch_us(CAST(day AS TIMESTAMP)) + CAST(m1 AS BIGINT) * 60000000)
+      - greatest(lo, epoch_us(CAST(day AS TIMESTAMP)) + CAST(m0 AS BIGINT) * 60000000) AS us
       FROM d, (VALUES (0, 0, 480), (1, 480, 1170), (2, 1170, 1440)) AS e(bin, m0, m1))
 SELECT user_id, CAST(day AS VARCHAR) AS day, bin, round(sum(us) / 1e6, 3) AS seconds
 FROM b WHERE us > 0 GROUP BY user_id, day, bin""")
