@@ -82,6 +82,8 @@ def block_apply(chunks: DataFrame, keys: Sequence[str], fn: Callable[[np.ndarray
             done = []
             for head, body, tail in zip(pdf["head"], pdf[value], pdf["tail"]):
                 head, body, tail = (np.asarray(v, dtype=float) for v in (head, body, tail))
+                if len(body) < halo and len(head) and len(tail):
+                    raise ValueError(f"halo of {halo} samples exceeds a chunk of {len(body)}: use longer chunks")
                 done.append(fn(np.concatenate([head, body, tail]), len(head), len(head) + len(body)))
             result = pdf[keep].copy()
             result[out] = done
@@ -477,6 +479,70 @@ def path_length(track: DataFrame, queries: DataFrame, keys: Sequence[str], fs: f
                     (F.col("_cb") - F.col("_ca")).alias("path_length"))
 
 
-def included_samples(samples: DataFrame, zones: DataFrame, keys: Sequence[str], n: str = "n", slice_by="auto") -> DataFrame:
-    """Samples outside every zone (bounds inclusive)."""
-    return iv.contains(samples, zones, keys, n, closed=True, slice_by=slice_by).where("NOT inside").drop("inside")
+def outside_zones(chunks: DataFrame, zones: DataFrame, keys: Sequence[str], channel: Sequence[str], slice_by="auto") -> DataFrame:
+    """Samples of a channel outside every zone (``lo, hi`` in sample indices, both inclusive).
+
+    Zones are subtracted from the block spans first and the chunks are cut by what is left, so samples
+    are never sorted or joined one by one.
+    """
+    keys = list(keys)
+    spans = chunks.groupBy(*keys).agg(F.min("n0").alias("lo"), F.max(F.col("n0") + F.size("samples")).alias("hi"))
+    cut = zones.select(*channel, F.ceil("lo").cast("long").alias("lo"), (F.floor("hi") + 1).cast("long").alias("hi"))
+    per_block = cut.join(spans.select(*keys), list(channel)).select(*keys, "lo", "hi") if list(channel) != keys else cut
+    left = iv.subtract(spans, per_block, keys, slice_by)
+    parts = left.select(*keys, F.col("lo").alias("event_id"), F.col("lo").alias("first_n"), (F.col("hi") - 1).alias("last_n"))
+    return event_samples(parts, chunks, keys, ["samples"]).drop("event_id")
+
+
+def clean_chunks(chunks: DataFrame, keys: Sequence[str], limits: DataFrame, channel: Sequence[str], slice_by="auto") -> DataFrame:
+    """``replace_outliers`` on chunks: each chunk meets the two nearest in-range samples on either side.
+
+    Only the first and last two in-range samples of every chunk take part in the scan over the block;
+    the interpolation itself is local.  Adds ``n_outliers`` per chunk.
+    """
+    keys = list(keys)
+    c = chunks.join(limits.select(*channel, "lower", "upper"), list(channel))
+    point = lambda x, i: F.struct((F.col("n0") + i).alias("n"), x.alias("x"))
+    good = F.filter(F.transform("samples", point), lambda s: (s["x"] >= F.col("lower")) & (s["x"] <= F.col("upper")))
+    c = c.withColumn("_good", good)
+    ends = F.array_distinct(F.concat(F.slice("_good", 1, 2), F.slice("_good", F.greatest(F.size("_good") - 1, F.lit(1)), F.lit(2))))
+    known = c.select(*keys, F.inline(ends)).withColumnRenamed("n", "_t")
+    boxed = F.struct(F.col("_t").cast("double").alias("n"), F.col("x").alias("x"))
+    known = ordered_scan(known, keys, ["_t"], [lag("_p", boxed), lead("_q", boxed)], slice_by)
+    known = known.select(*keys, F.col("_t").cast("double").alias("_t"), F.struct(F.struct(F.col("_t").cast("double").alias("n"), "x").alias("g"), "_p", "_q").alias("_k"))
+    asks = c.select(*keys, "chunk_ix", F.inline(F.array(
+        F.struct((F.col("n0") - 0.5).cast("double").alias("_t"), F.lit(True).alias("_start")),
+        F.struct((F.col("n0") + F.size("samples") - 0.5).cast("double").alias("_t"), F.lit(False).alias("_start")))))
+    met = ordered_scan(known.unionByName(asks, allowMissingColumns=True), keys, ["_t"], [last_known("_a", "_k"), next_known("_z", "_k")], slice_by)
+    near = met.where("chunk_ix IS NOT NULL").groupBy(*keys, "chunk_ix").agg(
+        F.max(F.when(F.col("_start"), F.struct("_a._p", "_a.g"))).alias("_left"), F.max(F.when(~F.col("_start"), F.struct("_z.g", "_z._q"))).alias("_right"))
+    has = lambda s: F.array_compact(F.array(s[0], s[1]))
+    around = c.join(near, [*keys, "chunk_ix"]).select(
+        *[x for x in c.columns if x != "_good"],
+        has([F.col("_left._p"), F.col("_left.g")]).alias("_before"), has([F.col("_right.g"), F.col("_right._q")]).alias("_after"))
+    keep = [x for x in chunks.columns if x != "samples"]
+    schema = T.StructType([chunks.schema[x] for x in keep] + [T.StructField("samples", T.ArrayType(T.DoubleType())), T.StructField("n_outliers", T.LongType())])
+
+    def run(batches):
+        for pdf in batches:
+            done, count = [], []
+            for n0, x, lo, hi, before, after in zip(pdf["n0"], pdf["samples"], pdf["lower"], pdf["upper"], pdf["_before"], pdf["_after"]):
+                x = np.array(x, dtype=float)
+                bad = (x < lo) | (x > hi)
+                count.append(int(bad.sum()))
+                if bad.any():
+                    at = np.arange(len(x)) + float(n0)
+                    side = lambda pts: (np.array([p["n"] for p in pts], float), np.array([p["x"] for p in pts], float))
+                    (bn, bx), (an, ax) = side(before), side(after)
+                    gn, gx = np.concatenate([bn, at[~bad], an]), np.concatenate([bx, x[~bad], ax])
+                    if len(gn) >= 2:
+                        j = np.clip(np.searchsorted(gn, at[bad]), 1, len(gn) - 1)
+                        x[bad] = gx[j - 1] + (at[bad] - gn[j - 1]) / (gn[j] - gn[j - 1]) * (gx[j] - gx[j - 1])
+                    else:
+                        count[-1] = 0
+                done.append(x)
+            out = pdf[keep].copy()
+            out["samples"], out["n_outliers"] = done, count
+            yield out
+
+    return around.mapInPandas(run, schema)
