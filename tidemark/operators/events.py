@@ -131,8 +131,8 @@ def _merge_by_pointers(rows: DataFrame, keys: list[str], lo: str, hi: str, max_s
     # a single run longer than the limit would point at itself: take the run after it
     after = ordered_scan(rows.select(*group, "_lo", "_hi"), group, ["_lo"], [lead("_after", "_lo")], slice_by)
     jump = (walked.select(*group, "_lo", "_next").join(after, [*group, "_lo"])
-                  .select(*group, "_lo", F.greatest("_next", "_after").alias("_to"))
-                  .withColumn("_to", F.when(F.col("_to") > F.col("_lo"), F.col("_to"))))
+                  .select(*group, "_lo", F.when(F.col("_next") > F.col("_lo"), F.col("_next"))
+                          .when(F.col("_next") == F.col("_lo"), F.col("_after")).alias("_to")))
     heads = durable(rows.where("_open").select(*group, "_lo"))
     jump = durable(jump)
     seen = -1
@@ -199,11 +199,11 @@ def peri_zones(events: DataFrame, keys: Sequence[str], configs: Sequence[tuple[s
 def near_gap(events: DataFrame, gap_rows: DataFrame, keys: Sequence[str], tol, slice_by="auto") -> DataFrame:
     """Flag events whose start or end lies within ``tol`` of any gap start or end: each end looks up the
     nearest gap edges before and after it."""
-    edges = gap_rows.select(*keys, F.explode(F.array("lo", "hi")).alias("_t")).withColumn("_e", F.col("_t"))
-    asks = events.select(*keys, "event_id", F.explode(F.array("lo", "hi")).alias("_t"))
-    near = ordered_scan(edges.unionByName(asks, allowMissingColumns=True), keys, ["_t"],
+    edges = gap_rows.select(*keys, F.explode(F.array("lo", "hi")).alias("_t"), F.lit(0).alias("_o")).withColumn("_e", F.col("_t"))
+    asks = events.select(*keys, "event_id", F.explode(F.array("lo", "hi")).alias("_t"), F.lit(1).alias("_o"))
+    near = ordered_scan(edges.unionByName(asks, allowMissingColumns=True), keys, ["_t", "_o"],
                         [last_known("_p", "_e"), next_known("_n", "_e")], slice_by)
-    # rows at the same instant as an edge see it from either side
+    # an end at the same instant as an edge comes after it
     hit = ((F.col("_t") - F.col("_p")) <= F.lit(tol)) | ((F.col("_n") - F.col("_t")) <= F.lit(tol))
     flag = (near.where("event_id IS NOT NULL").groupBy(*keys, "event_id")
                 .agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("adjacent_to_gap")))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.slicing import SLICE, slice_of
 
 _ALL = Window.unboundedPreceding
-_END = Window.unboundedFollowing
 
 
 @dataclass(frozen=True)
@@ -27,6 +26,7 @@ class Step:
     summary: Callable        # order struct -> aggregate Column of a slice
     carry: Callable          # (window, summary column) -> Column seen by a slice
     combine: Callable        # (local, carry) -> Column
+    backward: bool = False   # windows get the reversed order
 
 
 def lag(out: str, value) -> Step:
@@ -71,11 +71,15 @@ def last_known(out: str, value, inclusive: bool = True) -> Step:
 
 
 def next_known(out: str, value, inclusive: bool = True) -> Step:
-    """Earliest non-null value at or after the row (backward fill)."""
-    v, start = _c(value), (0 if inclusive else 1)
-    return Step(out, lambda w: F.first(v, True).over(w.rowsBetween(start, _END)),
+    """Earliest non-null value at or after the row (backward fill).
+
+    Runs over the reversed order: a frame growing from the far end is linear, one reaching to
+    "unbounded following" would be evaluated anew for every row.
+    """
+    v, end = _c(value), (0 if inclusive else -1)
+    return Step(out, lambda w: F.last(v, True).over(w.rowsBetween(_ALL, end)),
                 lambda o: F.min_by(v, F.when(v.isNotNull(), o)),
-                lambda w, s: F.first(s, True).over(w.rowsBetween(1, _END)), F.coalesce)
+                lambda w, s: F.last(s, True).over(w.rowsBetween(_ALL, -1)), F.coalesce, backward=True)
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Sequence[Step],
@@ -88,18 +92,24 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps
     keys, order = list(keys), list(order)
     if isinstance(slice_by, str):
         slice_by = slice_of(df, order[0])
+    down = [F.col(c).desc() for c in order]
+
+    def ordered(by: list[str], up: list, reverse: list):
+        part = Window.partitionBy(*(by or [F.lit(0)]))
+        ahead, back = part.orderBy(*up), part.orderBy(*reverse)
+        return lambda step: back if step.backward else ahead
+
     if slice_by is None:
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return df.select("*", *[s.combine(s.local(w), F.lit(None)).alias(s.out) for s in steps])
+        w = ordered(keys, order, down)
+        return df.select("*", *[s.combine(s.local(w(s)), F.lit(None)).alias(s.out) for s in steps])
 
     cut = df.withColumn(SLICE, slice_by)
     group = keys + [SLICE]
-    inner = Window.partitionBy(*group).orderBy(*order)
-    outer = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE)
+    inner, outer = ordered(group, order, down), ordered(keys, [SLICE], [F.col(SLICE).desc()])
     at = F.struct(*order)
-    locals_ = cut.select("*", *[s.local(inner).alias(f"_l{i}") for i, s in enumerate(steps)])
+    locals_ = cut.select("*", *[s.local(inner(s)).alias(f"_l{i}") for i, s in enumerate(steps)])
     totals = cut.groupBy(*group).agg(*[s.summary(at).alias(f"_s{i}") for i, s in enumerate(steps)])
-    carries = totals.select(*group, *[s.carry(outer, F.col(f"_s{i}")).alias(f"_c{i}")
+    carries = totals.select(*group, *[s.carry(outer(s), F.col(f"_s{i}")).alias(f"_c{i}")
                                       for i, s in enumerate(steps)])
     joined = locals_.join(carries, group)
     return joined.select(*df.columns, *[

@@ -2,15 +2,16 @@
 
 An ordered operator (running sum, lag, interval merge ...) over one key needs that key's rows in
 order.  A plain ``Window.partitionBy(key)`` puts a hot key - a third of all rows, say - in one task.
-The library instead cuts every key's axis into slices, works inside ``(key, slice)`` and passes one
-summary row per slice to a second, small window.  ``slice_of`` supplies the slice number: a
-monotone expression of the ordering column, built so that no slice holds many more than
-``target_rows`` rows over all keys together.
+The library instead cuts the axis into slices, works inside ``(key, slice)`` and passes one summary
+row per slice to a second, small window.  ``slice_of`` supplies the slice number: a monotone
+expression of the ordering column whose cuts are quantiles of the data, so outliers and bursts in time
+do not make heavy slices.  Only rows at one and the same instant of one key stay together.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,45 +20,47 @@ from tidemark.session import is_small
 
 SLICE = "_slice"
 TARGET_ROWS = 2_000_000
-_CELLS = 4096
+MAX_SLICES = 32_768
+_FAN = 32
 
 
 def slice_of(df: DataFrame, column: str, target_rows: int = TARGET_ROWS,
              always: bool = False) -> Column | None:
     """Slice expression over ``column``, or None when one task can hold the whole input.
 
-    Two column-pruned passes: range and count, then a 4096-cell histogram (bounded driver state).
-    Cells denser than the target are subdivided, so bursts in time do not make a heavy slice.
+    The decision is taken from the size estimate; larger inputs cost a count and a quantile sketch of
+    that one column.  The driver holds the cuts only (at most ``MAX_SLICES``).
     """
     if not always and is_small(df):
         return None
-    col = F.col(column)
-    n, lo, hi = df.agg(F.count(col), F.min(col), F.max(col)).first()
-    if not n or n <= target_rows or lo == hi:
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    n = values.count()
+    if n <= target_rows:
         return None
-    span = float(hi - lo)
-    pos = (col - F.lit(lo)).cast("double") * F.lit(_CELLS / span)
-    cell = F.least(F.floor(pos), F.lit(_CELLS - 1)).cast("int")
-    counts = dict(df.where(col.isNotNull()).groupBy(cell.alias("c")).count().collect())
-    base, parts, filled, current = [], [], 0, 0
-    for c in range(_CELLS):
-        k = counts.get(c, 0)
-        if filled and filled + k > target_rows:
-            current, filled = current + 1, 0
-        sub = max(1, math.ceil(k / target_rows))
-        base.append(current)
-        parts.append(sub)
-        if sub > 1:
-            current, filled = current + sub, 0
-        else:
-            filled += k
-    at = F.lit(1) + F.least(F.greatest(cell, F.lit(0)), F.lit(_CELLS - 1))
-    frac = pos - F.floor(pos)
-    width = F.element_at(F.array(*[F.lit(p) for p in parts]), at)
-    start = F.element_at(F.array(*[F.lit(b) for b in base]), at)
-    inner = F.least(F.floor(frac * width), width - F.lit(1))
-    inner = F.when(pos >= F.lit(float(_CELLS)), width - F.lit(1)).otherwise(inner)
-    return (start + inner).cast("long")
+    parts = min(MAX_SLICES, math.ceil(n / target_rows))
+    probs = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(values.approxQuantile("v", probs, 1 / (4 * parts))))
+    return locate(F.col(column).cast("double"), cuts)
+
+
+def locate(value: Column, cuts: Sequence[float]) -> Column:
+    """Number of cuts at or below ``value``: a search tree of literal arrays, 32 comparisons per level."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    if len(cuts) <= _FAN:
+        return F.size(F.filter(_array(cuts), lambda c: c <= value)).cast("long")
+    groups = [cuts[i:i + _FAN] for i in range(0, len(cuts), _FAN)]
+    at = locate(value, [g[0] for g in groups[1:]])
+    inside = F.element_at(F.expr("array(" + ",".join(_text(g) for g in groups) + ")"), (at + 1).cast("int"))
+    return at * _FAN + F.size(F.filter(inside, lambda c: c <= value))
+
+
+def _text(cuts: Sequence[float]) -> str:
+    return "array(" + ",".join(f"{c!r}D" for c in cuts) + ")"
+
+
+def _array(cuts: Sequence[float]) -> Column:
+    return F.expr(_text(cuts))
 
 
 def fixed_slice(column: str, width: float) -> Column:
