@@ -6,7 +6,8 @@ from tidemark.catalog.registry import POINTS, merged, query
 from tidemark.operators import events as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators.rangejoin import overlap_join
-from tidemark.operators.scan import lag, ordered_scan
+from tidemark.operators.scan import ordered_scan
+from tidemark.session import reuse
 
 USER = ["user_id"]
 H = 3_600_000_000
@@ -35,11 +36,11 @@ def peaks_of(t):
 
 
 def complexes_of(t):
-    return ev.complexes(peaks_of(t), USER, "t", "value", 8 * H)
+    return reuse(ev.complexes(peaks_of(t), USER, "t", "value", 8 * H))
 
 
-def bursts_of(t):
-    return ev.bursts(complexes_of(t), USER, 48 * H, 3, 24 * H, 400 * H)
+def bursts_of(cx):
+    return ev.bursts(cx, USER, 48 * H, 3, 24 * H, 400 * H)
 
 
 @query("EVT-05 STR-02", CHAIN + """ SELECT user_id, lo AS start, hi AS "end", n_spikes, max_amplitude,
@@ -50,13 +51,14 @@ def complexes(t):
 
 @query("EVT-06", CHAIN + " SELECT user_id, lo, hi, n_complexes FROM bu")
 def bursts(t):
-    return bursts_of(t)
+    return bursts_of(complexes_of(t))
 
 
 @query("EVT-07", CHAIN + """ SELECT cx.user_id, cx.lo AS start, bu.lo AS burst_start FROM cx LEFT JOIN bu
  ON cx.user_id = bu.user_id AND cx.lo BETWEEN bu.lo AND bu.hi""")
 def burst_membership(t):
-    return ev.burst_membership(complexes_of(t), bursts_of(t), USER).select("user_id", "start", "burst_start")
+    cx = complexes_of(t)
+    return ev.burst_membership(cx, bursts_of(cx), USER).select("user_id", "start", "burst_start")
 
 
 @query("EVT-08 EVT-04 SET-05 AGG-04 JOIN-06", CHAIN + """, sp AS (SELECT user_id, min(t) AS a, max(t) AS b FROM ev GROUP BY user_id),
@@ -78,7 +80,8 @@ def subject_rates(t):
     zones = ev.exclusion_zones([("error", near, H)], USER, span)
     included = iv.subtract(span.select("user_id", F.col("rec_lo").alias("lo"), F.col("rec_hi").alias("hi")), zones, USER)
     minutes = included.groupBy("user_id").agg((F.sum(F.col("hi") - F.col("lo")) / 6e7).alias("minutes"))
-    out = ev.rate_summary(complexes_of(t), bursts_of(t), minutes, USER, "minutes").drop("spikes_per_min")
+    cx = complexes_of(t)
+    out = ev.rate_summary(cx, bursts_of(cx), minutes, USER, "minutes").drop("spikes_per_min")
     digits = {"minutes": 3, "spikes_per_poly": 6, "complexes_per_min": 9, "bursts_per_h": 9, "pct_poly": 6}
     return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
 

@@ -16,7 +16,7 @@ from tidemark.operators.islands import islands
 from tidemark.operators.rangejoin import overlap_join
 from tidemark.operators.scan import (lag, last_known, lead, next_known, ordered_scan, position,
                                      running_max, running_sum)
-from tidemark.session import durable
+from tidemark.session import durable, reuse
 
 MAX_FOLD_RUNS = 10_000  # longer merge chains take the pointer path
 
@@ -92,11 +92,11 @@ def bounded_merge(runs: DataFrame, keys: Sequence[str], lo: str, hi: str, gap, m
     base = runs.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
     chained = ordered_scan(base, keys, ["_lo", "_hi"], [running_max("_reach", "_hi")], slice_by)
     opens = F.coalesce(F.col("_lo") - F.col("_reach") > F.lit(gap), F.lit(True))
-    chained = ordered_scan(chained.withColumn("_open", opens), keys, ["_lo", "_hi"],
-                           [last_known("_chain", F.when(F.col("_open"), F.col("_lo")))], slice_by)
+    chained = reuse(ordered_scan(chained.withColumn("_open", opens), keys, ["_lo", "_hi"],
+                                 [last_known("_chain", F.when(F.col("_open"), F.col("_lo")))], slice_by))
     group = keys + ["_chain"]
     sizes = chained.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    rows = chained.drop("_reach").join(sizes, group)
+    rows = reuse(chained.drop("_reach").join(sizes, group))
 
     short = (rows.where(F.col("_size") <= fold_limit).groupBy(*group)
                  .agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi"))).alias("_runs")))
@@ -294,6 +294,7 @@ def group_across_channels(rows: DataFrame, keys: Sequence[str], channel: str, to
     roots = connected_components(contact_edges(rows, keys, channel, tol, slice_by))
     tagged = (rows.join(roots.withColumnRenamed("node", "event_id"), "event_id", "left")
                   .withColumn("_root", F.coalesce("root", "event_id")).drop("root"))
+    tagged = reuse(tagged)
     spans = tagged.groupBy(*keys, "_root").agg(F.min("lo").alias("ref_lo"), F.max("hi").alias("ref_hi"))
     ids = numbered(spans, keys, ["ref_lo", "ref_hi", "_root"], "group_id", slice_by)
     copies = tagged.groupBy(*keys, "_root", channel).agg((F.count(F.lit(1)) > 1).alias("fragmented"))
@@ -328,7 +329,7 @@ def reconcile(accepted: DataFrame, rejected: DataFrame, channels: DataFrame, key
     ``keys + channel + block_id, b_lo, b_hi``.
     """
     keys = list(keys)
-    acc = group_across_channels(accepted, keys, channel, tol, slice_by)
+    acc = reuse(group_across_channels(accepted, keys, channel, tol, slice_by))
     n_failed = F.lit(0)
     sizes = channels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if failed is not None:
@@ -341,6 +342,7 @@ def reconcile(accepted: DataFrame, rejected: DataFrame, channels: DataFrame, key
         F.count_distinct(channel).alias("accepted_in_n_channels"),
         F.array_join(F.array_sort(F.collect_set(channel)), ";").alias("accepted_in_regions"))
 
+    info = reuse(info)
     taken = acc.select(*event, channel).distinct()
     open_slots = info.join(channels, keys).join(taken, [*event, channel], "left_anti")
     # candidate -> closest event (ties: earliest), then best score per open (event, channel)

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import SLICE, slice_of
+from tidemark.operators.slicing import SLICE, sliced
 
 # name -> (first aggregation, how partial results merge)
 _KINDS = {
@@ -37,7 +37,7 @@ def islands(df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, gap=0, stri
     keys = list(keys)
     measures = dict(measures or {})
     if isinstance(slice_by, str):
-        slice_by = slice_of(df, lo)
+        df, slice_by = sliced(df, lo)
     past = (lambda a, b: a >= b + F.lit(gap)) if strict else (lambda a, b: a > b + F.lit(gap))
 
     def opens(reach: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import ordered_scan, running_sum
+from tidemark.session import reuse
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, slice_by="auto") -> DataFrame:
@@ -20,6 +21,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, slice_by="auto"
     ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if not keys:
         return value_counts(ok.withColumn("_all", F.lit(0)), ["_all"], value, slice_by).drop("_all")
+    ok = reuse(ok)
     counted = ok.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     walked = ordered_scan(counted, keys, [value], [running_sum("below", "n", inclusive=False)], slice_by)
     sizes = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))

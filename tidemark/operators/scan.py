@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import SLICE, slice_of
+from tidemark.operators.slicing import SLICE, sliced
 
 _ALL = Window.unboundedPreceding
 
@@ -91,7 +91,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps
     """
     keys, order = list(keys), list(order)
     if isinstance(slice_by, str):
-        slice_by = slice_of(df, order[0])
+        df, slice_by = sliced(df, order[0])
     down = [F.col(c).desc() for c in order]
 
     def ordered(by: list[str], up: list, reverse: list):

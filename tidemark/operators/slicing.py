@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import is_small
+from tidemark.session import is_small, settle
 
 SLICE = "_slice"
 TARGET_ROWS = 2_000_000
@@ -24,13 +24,22 @@ MAX_SLICES = 32_768
 _FAN = 32
 
 
-def slice_of(df: DataFrame, column: str, target_rows: int = TARGET_ROWS,
+def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column | None]:
+    """The input ready to be read several times, and its slice expression (None for a small input)."""
+    if is_small(df):
+        return df, None
+    df = settle(df)
+    return df, slice_of(df, column, always=True)
+
+
+def slice_of(df: DataFrame, column: str, target_rows: int | None = None,
              always: bool = False) -> Column | None:
     """Slice expression over ``column``, or None when one task can hold the whole input.
 
     The decision is taken from the size estimate; larger inputs cost a count and a quantile sketch of
     that one column.  The driver holds the cuts only (at most ``MAX_SLICES``).
     """
+    target_rows = target_rows or TARGET_ROWS
     if not always and is_small(df):
         return None
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")

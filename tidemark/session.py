@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,8 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",   # rows are array chunks
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site capture per column
         **conf,
     }
     for key, value in settings.items():
@@ -32,13 +35,32 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan, in bytes (no job is run)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    try:
+        return int(stats.sizeInBytes())
+    except ValueError:  # products over many joins outgrow what can be converted
+        return sys.maxsize
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     return plan_bytes(df) <= limit
 
 
+_WORK = re.compile(r"^[\s:+|-]*(Join|Aggregate|Window|Sort|Repartition\w*|MapIn\w+|FlatMap\w+|ArrowEvalPython|Intersect|Except)\b", re.M)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Input an operator is going to read more than once: results of joins, aggregates, windows or Python
+    are written once (see ``durable``), so that nested operators do not multiply their inputs' work; a
+    plain scan with filters and projections is left to be read again with its columns pruned."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return durable(df) if _WORK.search(plan) else df
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """``settle`` for an intermediate result with several readers, unless it is small."""
+    return df if is_small(df) else settle(df)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names."""
     sc = df.sparkSession.sparkContext
