@@ -60,7 +60,7 @@ def zone_table(final: DataFrame, minor: DataFrame, labelled: DataFrame, off_runs
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return ev.numbered(every.select(*cols), [subject], ["lo", "rule", "origin"], "zone_id", slice_by)
+    return ev.numbered(every.select(*cols), [subject], ["lo", "rule", "origin", "pass_as"], "zone_id", slice_by)
 
 
 def transients_kept(labelled: DataFrame) -> DataFrame:
@@ -104,7 +104,8 @@ def scenarios(rows: DataFrame, names: Sequence[str], label_of) -> DataFrame:
     """Alternative labels side by side: every row once per scenario, its comment chosen by
     ``label_of(scenario name) -> Column``; all planning then keys on ``scenario``."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), label_of(n).alias("comments")) for n in names])).alias("_s")
-    return rows.drop("comments").select("*", each).select(*[c for c in rows.columns if c != "comments"], "_s.*")
+    body = [c for c in rows.columns if c != "comments"]
+    return rows.select(*body, each).select(*body, "_s.*")
 
 
 def reclassify_video(events: DataFrame, off: DataFrame, recording: DataFrame, keys: Sequence[str], slice_by="auto") -> DataFrame:
