@@ -217,3 +217,11 @@ def test_percentiles_midpoint_rule(spark):
         got = {x.k: x for x in exact_percentiles(df, KEY, "v", {"a": 2.5, "m": 50, "b": 97.5}, sl).collect()}
         for k, vs in vals.items():
             assert all(math.isclose(got[k][c], rule(vs, p), abs_tol=1e-12) for c, p in (("a", 2.5), ("m", 50), ("b", 97.5)))
+
+
+def test_bracketed_percentiles_equal_full_counts(spark):
+    r = random.Random(6)
+    vals = [("hot", r.choice([r.gauss(0, 1), float(r.randrange(5)), 1e9])) for _ in range(6000)] + [("one", 4.0), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(vals, "k string, v double")
+    outs = {"min": 0, "a": 2.5, "m": 50, "b": 97, "max": 100}
+    assert rows(exact_percentiles(df, KEY, "v", outs, None, bracket=True)) == rows(exact_percentiles(df, KEY, "v", outs, None, bracket=False))

@@ -185,3 +185,22 @@ def test_window_spectra_and_notch_verdict(spark):
     w = sg.window_spectra(c, BLOCK, FS, 1024)
     assert [r.n for r in w.orderBy("n").limit(3).collect()] == [0, 512, 1024]
     assert w.count() == (len(x) - 1024) // 512 + 1
+
+
+def test_peaks_resolve_over_groups_of_chunks(spark, monkeypatch):
+    import tidemark.operators.peaks as pk
+    monkeypatch.setattr(pk, "GROUP", 3)
+    x = np.round(np.abs(np.convolve(np.random.default_rng(7).normal(size=2500), np.hanning(9), "same")) * 50, 1)
+    c = chunked(spark, {("a", 1): (0, x)}, 64).withColumn("height", F.lit(40.0))
+    got = sorted((r.n, r.prominence) for r in pk.find_peaks(c, BLOCK, prominence=30.0, width=12, distance=10).collect())
+    want = [(i, p) for i, _, p in brute_peaks(x, 40.0, 30.0, 12, 10)]
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+
+
+def test_chunk_flat_runs_equal_sample_runs(spark):
+    x = np.random.default_rng(2).integers(0, 2, 900).astype(float)
+    x[100:180] = 5.0
+    c = chunked(spark, {("a", 1): (0, x), ("a", 2): (1000, np.zeros(70))}, 64)
+    a = sg.chunk_flat_fraction(c, BLOCK, 6, ["channel_id"]).first().flat_fraction
+    b = sg.flat_fraction(sg.to_samples(c, BLOCK), BLOCK, 6, ["channel_id"]).first().flat_fraction
+    assert abs(a - b) < 1e-12 and a > 0.1

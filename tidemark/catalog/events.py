@@ -267,14 +267,22 @@ def label_events(t):
     return ev.label_events(rows, USER, "day", "event_type", "click", "view")
 
 
-@query("EVT-16 STR-05", f"WITH {POINTS}, " + merged("d", op=">=", aggs="count(*) AS n_merged, string_agg(CAST(event_id AS VARCHAR), ' + ' ORDER BY t, hi, event_id) AS origin_ids")
+@query("EVT-16 STR-05", f"WITH {POINTS}, " + merged("d", op=">=", aggs="count(*) AS n_merged, arg_min(event_id, struct_pack(a := t, b := hi, c := event_id)) AS first_id")
        + " SELECT * FROM d")
 def dedupe_overlaps(t):
-    """Strictly overlapping events of a subject become one with joined ids."""
+    """Strictly overlapping events of a subject become one."""
     spans = t.points.select("event_id", "user_id", F.col("t").alias("lo"), "hi").where("hi > lo")
     return ev.dedupe_overlaps(spans, USER)
 
 
+@query("EVT-16", f"WITH {POINTS}, " + merged("d", op=">=", aggs="arg_min(event_id, struct_pack(a := t, b := hi, c := event_id)) AS first_id")
+       + " SELECT e.event_id, d.first_id AS merged_into FROM ev e JOIN d ON d.user_id = e.user_id AND e.t >= d.lo AND e.t < d.hi WHERE e.hi > e.t")
+def merged_origins(t):
+    """The merged event every original belongs to."""
+    spans = t.points.select("event_id", "user_id", F.col("t").alias("lo"), "hi").where("hi > lo")
+    return ev.origin_of(spans, ev.dedupe_overlaps(spans, USER), USER).select("event_id", "merged_into")
+
+
 @query("EVT-17 EVT-27", f"WITH {POINTS}, d AS (SELECT *, 'detected' AS source FROM ev WHERE event_type = 'click')," + """
 m AS (SELECT *, 'missed' AS source FROM ev e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = e.user_id
  AND d.t < e.hi AND d.hi > e.t))

@@ -427,11 +427,17 @@ def manual_merges(events: DataFrame, merges: DataFrame, event: str) -> DataFrame
 
 
 def dedupe_overlaps(events: DataFrame, keys: Sequence[str], slice_by="auto") -> DataFrame:
-    """Events of one subject that strictly overlap become one, their ids joined; touching ones stay apart."""
-    out = islands(events, keys, "lo", "hi", gap=0, strict=True, slice_by=slice_by, measures={
-        "_ids": ("set", F.struct("lo", "hi", "event_id")), "n_merged": ("count", "lo")})
-    ids = F.array_join(F.transform(F.array_sort("_ids"), lambda s: s["event_id"].cast("string")), " + ")
-    return out.select(*keys, "lo", "hi", "n_merged", ids.alias("origin_ids"))
+    """Events of one subject that strictly overlap become one; touching ones stay apart."""
+    return islands(events, keys, "lo", "hi", gap=0, strict=True, slice_by=slice_by, measures={
+        "n_merged": ("count", "lo"), "first_id": ("min", F.struct("lo", "hi", "event_id"))}).withColumn("first_id", F.col("first_id.event_id"))
+
+
+def origin_of(events: DataFrame, merged: DataFrame, keys: Sequence[str], slice_by="auto") -> DataFrame:
+    """The merged event each original belongs to: ids stay rows, however many were joined."""
+    heads = merged.select(*keys, F.col("lo").alias("_t"), F.lit(0).alias("_o"), F.col("first_id").alias("_f"))
+    rows = events.select(*keys, F.col("lo").alias("_t"), F.lit(1).alias("_o"), "event_id")
+    walked = ordered_scan(heads.unionByName(rows, allowMissingColumns=True), keys, ["_t", "_o"], [last_known("merged_into", "_f")], slice_by)
+    return walked.where("_o = 1").select(*keys, "event_id", "merged_into")
 
 
 def add_missed(detected: DataFrame, missed: DataFrame, keys: Sequence[str], slice_by="auto") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tidemark.operators.signal import with_halo
 from tidemark.session import durable
 
+GROUP = 4096  # chunks summarised together before a whole block meets
 _D, _L, _A = T.DoubleType(), T.LongType(), T.ArrayType(T.DoubleType())
 _SCAN = [("chunk_ix", _L), ("is_peak", T.BooleanType()), ("n", _L), ("h", _D), ("near", _A), ("at", _L),
          ("lmin", _D), ("ldone", T.BooleanType()), ("rmin", _D), ("rdone", T.BooleanType()),
@@ -76,6 +77,7 @@ def _resolve(block: pd.DataFrame, peaks: pd.DataFrame) -> pd.DataFrame:
                 h, low = out.at[ix, "h"], out.at[ix, base]
                 for cmax, v, m, seg in reversed(stack):
                     if cmax > h:
+                        out.at[ix, f"{side}done"] = True
                         k = int(np.searchsorted(np.asarray(v), h, side="right"))
                         low = min(low, np.asarray(m)[k])
                         break
@@ -88,6 +90,22 @@ def _resolve(block: pd.DataFrame, peaks: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _summarise(block: pd.DataFrame) -> dict:
+    """Summary row of consecutive chunks: their joint minimum, maximum and stairs from either edge."""
+    out = {"cmin": block["cmin"].min(), "cmax": block["cmax"].max()}
+    for vals, lows, order in (("lval", "lbase", 1), ("rval", "rbase", -1)):
+        top, low, v, m = -np.inf, np.inf, [], []
+        for row in block.iloc[::order].itertuples():
+            for value, base in zip(getattr(row, vals), getattr(row, lows)):
+                if value > top:
+                    top = value
+                    v.append(value)
+                    m.append(min(low, base))
+            low = min(low, row.cmin)
+        out[vals], out[lows] = v, m
+    return out
+
+
 def peak_width(near: np.ndarray, at: int, level: float) -> float:
     """Distance between the interpolated crossings of ``level`` around the peak; the array edge counts
     as a crossing (the caller gives more room than the widest accepted peak, or the block ends there)."""
@@ -125,15 +143,28 @@ def find_peaks(chunks: DataFrame, keys: Sequence[str], *, prominence: float, wid
 
     scanned = durable(wide.mapInPandas(scan, schema))
     cand = ["chunk_ix", "n", "h", "near", "at", "lmin", "ldone", "rmin", "rdone"]
-    settled = scanned.where("is_peak AND ldone AND rdone").select(*keys, *cand)
-    open_ = scanned.where("NOT is_peak OR NOT (ldone AND rdone)")
-    open_schema = T.StructType([scanned.schema[c] for c in [*keys, *cand]])
-
-    def close(pdf):
-        block = pdf[~pdf["is_peak"]].sort_values("chunk_ix")
-        return _resolve(block, pdf.loc[pdf["is_peak"], [*keys, *cand]].reset_index(drop=True))
-
-    peaks = settled.unionByName(open_.groupBy(*keys).applyInPandas(close, open_schema))
+    done = "is_peak AND ldone AND rdone"
+    peaks = scanned.where(done).select(*keys, *cand)
+
+    def level(last: bool):
+        def close(pdf):
+            block = pdf[~pdf["is_peak"]].sort_values("chunk_ix")
+            out = _resolve(block, pdf[pdf["is_peak"]].reset_index(drop=True))
+            if last:
+                return out[names]
+            up = {**{k: block[k].iloc[0] for k in keys}, **_summarise(block), "chunk_ix": block["chunk_ix"].iloc[0], "is_peak": False}
+            out = pd.concat([out, pd.DataFrame([up])], ignore_index=True).reindex(columns=names)
+            out["chunk_ix"] //= GROUP
+            for c in ("near", "lval", "lbase", "rval", "rbase"):
+                out[c] = pd.Series([v if isinstance(v, (list, np.ndarray)) else None for v in out[c]], dtype=object)
+            return out.astype({"is_peak": bool, "chunk_ix": "int64", "n": "Int64", "at": "Int64", "ldone": "boolean", "rdone": "boolean"})
+        return close
+
+    # groups of chunks first, then one summary row per group for a whole block
+    open_ = scanned.where(f"NOT ({done})")
+    near = durable(open_.groupBy(*keys, F.floor(F.col("chunk_ix") / GROUP)).applyInPandas(level(False), schema))
+    far = near.where(f"NOT ({done})").groupBy(*keys).applyInPandas(level(True), schema)
+    peaks = peaks.unionByName(near.where(done).select(*keys, *cand)).unionByName(far.select(*keys, *cand))
     prom = F.col("h") - F.greatest(F.when(F.col("lmin") < float("inf"), F.col("lmin")), F.when(F.col("rmin") < float("inf"), F.col("rmin")))
     peaks = peaks.withColumn("prominence", prom).where(F.col("prominence") >= prominence)
 

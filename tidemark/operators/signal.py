@@ -295,6 +295,35 @@ def flat_fraction(samples: DataFrame, keys: Sequence[str], min_run: int, by: Seq
     return runs.groupBy(*by).agg((F.sum(F.when(F.col("length") >= min_run, F.col("length")).otherwise(0)) / F.sum("length")).alias("flat_fraction"))
 
 
+def chunk_flat_runs(chunks: DataFrame, keys: Sequence[str], slice_by="auto") -> DataFrame:
+    """``flat_runs`` from chunks: each chunk reports its runs of two or more equal samples and its edge
+    runs; only those meet, so single samples are never shuffled."""
+    keys = list(keys)
+    schema = T.StructType([chunks.schema[k] for k in keys] + [T.StructField("_v", T.DoubleType()), T.StructField("first_n", T.LongType()), T.StructField("last_n", T.LongType())])
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for key, n0, x in zip(pdf[keys].itertuples(index=False, name=None), pdf["n0"], pdf["samples"]):
+                x = np.asarray(x, dtype=float)
+                a = np.concatenate([[0], np.flatnonzero(np.diff(x) != 0) + 1])
+                b = np.concatenate([a[1:], [len(x)]]) - 1
+                keep = (b > a) | (a == 0) | (b == len(x) - 1)
+                rows += [(*key, float(x[i]), int(n0) + int(i), int(n0) + int(j)) for i, j in zip(a[keep], b[keep])]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    runs = chunks.select(*keys, "n0", "samples").mapInPandas(run, schema)
+    out = islands(runs, [*keys, "_v"], "first_n", "last_n", gap=1, slice_by=slice_by)
+    return out.withColumn("length", F.col("last_n") - F.col("first_n") + 1)
+
+
+def chunk_flat_fraction(chunks: DataFrame, keys: Sequence[str], min_run: int, by: Sequence[str], slice_by="auto") -> DataFrame:
+    flat = chunk_flat_runs(chunks, keys, slice_by).where(F.col("length") >= min_run).groupBy(*by).agg(F.sum("length").alias("_f"))
+    total = chunks.groupBy(*by).agg(F.sum(F.size("samples")).alias("_t"))
+    return total.join(flat, list(by), "left").select(*by, (F.coalesce("_f", F.lit(0)) / F.col("_t")).alias("flat_fraction"))
+
+
 def low_segments(samples: DataFrame, keys: Sequence[str], limit: float, min_len: int, n: str = "n", x: str = "x", slice_by="auto") -> DataFrame:
     """Segments with |x| below ``limit`` for more than ``min_len`` samples."""
     pts = samples.where(F.abs(x) < limit).select(*keys, F.col(n).alias("first_n"), F.col(n).alias("last_n"))

@@ -27,7 +27,7 @@ def quality(chunks: DataFrame, manifest: DataFrame, fs: float, window_s: float =
     ch = detect.CHANNEL
     spectra = ql.spectral_quality(sg.window_spectra(chunks, detect.BLOCK, fs, round(window_s * fs)), ch, line_db)
     s = sg.to_samples(chunks, detect.BLOCK)
-    flat = sg.flat_fraction(s, detect.BLOCK, round(0.5 * fs), ch)
+    flat = sg.chunk_flat_fraction(chunks, detect.BLOCK, round(0.5 * fs), ch)
     step = sg.quantisation_step(s, ch)
     out = manifest.join(spectra, ch, "left").join(flat, ch, "left").join(step, ch, "left")
     snr = ql.snr_db(F.col("sigma_band"), F.col("step"))
