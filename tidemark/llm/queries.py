@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import langid, rules, warc
 from tidemark.llm import secrets as secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,35 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(r.kind) for r in secret_scan.BASE], F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
                         secret_scan.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+@query()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every text and the verdict of the cascade."""
+    return rules.quality(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5)
+    model = langid.learn(docs, F.coalesce(F.col("fold") != 0, F.lit(False)))
+    docs = docs.withColumn("held_out", F.coalesce(F.col("fold") == 0, F.lit(False)))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p),
+bits AS (SELECT page_id, h, first, '0x' || sha1(h) AS x FROM f)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+ list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+  ((CAST('0x' || substr(sha1(h) || '0', 1 + CAST(floor(i * 5 / 4) AS INT), 2) AS INT) >> (3 - (i * 5) % 4)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM bits"""
+
+
+@query(WARC_SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back from the archives."""
+    files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
