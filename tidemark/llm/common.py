@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 1 << 21
@@ -53,9 +53,15 @@ def wide(df: DataFrame, tasks_per_core: int = 1) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def row_id(*columns: str):
-    """A 64-bit hash of columns, for sampling and salting."""
-    return F.xxhash64(*columns)
+def sampled(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """About ``n`` rows (at most ``4 n``) whose hash of ``columns`` is below the share that ``n`` is of all rows."""
+    share = min(1.0, n / max(1, df.count()))
+    return df.where(chance(*columns) < share).limit(4 * n)
+
+
+def chance(*columns: str) -> Column:
+    """A number in [0, 1) by a hash of columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import wide
+from tidemark.llm.common import chance, wide
 
 PER_LANGUAGE, LANGUAGES, LANDMARKS = 400, 64, 256
 SLOTS = 176
@@ -83,16 +83,16 @@ def _presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", ridge: float = 1e-3,
+def learn(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str = "text", label: str = "lang", ridge: float = 1e-3,
           per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
-    """Fit on a sample of the ``usable`` labelled rows, chosen by a hash of their text."""
-    rows = docs.where(usable & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    """Fit on a sample of the ``usable`` labelled rows, chosen by a hash of id and text."""
+    rows = (docs.where(usable & F.col(label).isNotNull() & (F.length(text) > 0))
+                .select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.col(id_column).alias("id")))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, per_language / n))])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(chance < share[F.col("label")])
+    chosen = rows.where(chance("id", "text") < share[F.col("label")]).limit(4 * per_language * len(counts))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, rules, warc
+from tidemark.llm import langid, packing, rules, tokenfile, warc
 from tidemark.llm import secrets as secret_scan
 
+#: The public tokenizer file of the token queries, and the longest sequence of the packing query.
+TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -24,6 +27,11 @@ def query(sql: str | None = None):
     return wrap
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,3 +114,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back from the archives."""
     files = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces packed into sequences of at most 2048 tokens."""
+    pieces = packing.cut(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE, 0)
+    return packing.pack(pieces, SEQUENCE)
+
+
+@query()
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token-id files and read back from them."""
+    return tokenfile.read_token_files(tokenfile.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), 2))

@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects documents by measures of the whole text.  Its cost and selectivity are estimated on a bounded
-sample (``SAMPLE`` documents, by hash of their text), rules are ordered by rejections per second, and every document
+sample (about ``SAMPLE`` documents, by a hash of their id and text), rules are ordered by rejections per second, and every document
 meets them in that order until one rejects it.  The order changes the work, never the verdict.
 
 Null and empty texts have no words and fail the base rules.  Repeated rows, ties and null ids are judged row by row.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import buffers, mix, pieces, span_hashes, wide, word_spans
+from tidemark.llm.common import buffers, mix, pieces, sampled, span_hashes, wide, word_spans
 
 SAMPLE = 512
 # The symbols that are counted.
@@ -150,9 +150,9 @@ RULES = (
 )
 
 
-def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: int = SAMPLE) -> list[int]:
-    """Rules by rejections per second on at most ``sample`` documents (one small task; only rule totals return)."""
-    rows = docs.where(F.length(text) > 0).select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(sample)
+def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[int]:
+    """Rules by rejections per second on about ``sample`` documents (only rule totals return)."""
+    rows = sampled(docs.where(F.length(text) > 0), sample, id_column, text).select(F.col(text).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, rejected = np.full(len(rules), 1e-9), np.zeros(len(rules), np.int64)
@@ -177,7 +177,7 @@ OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES,
             order: list[int] | None = None) -> DataFrame:
     """Per document: its id, the base measures, ``base_failed`` and ``kept``."""
-    order = cascade_order(docs, rules, text) if order is None else order
+    order = cascade_order(docs, rules, id_column, text) if order is None else order
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

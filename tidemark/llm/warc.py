@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_folder, written
+from tidemark.llm.common import sampled, shared_folder, written
 
 DICTIONARY_FRAME = 0x184D2A5D
 DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 1 << 16, 400, 1 << 14
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, folder: str | None =
     """Write every page as a record; the list of files ``(path, records)``."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
-    sample = pages.select(F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(SAMPLE)
+    sample = sampled(pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")), SAMPLE, "page_id", "url")
     dictionary = train_dictionary([r["html"].encode() for r in sample.collect() if r["html"]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, folder: str | None =
                 kind = "revisit" if many and page_id != first else "response"
                 if out is None:
                     path, size, count = f"{root}/{stem}-{len(done):04d}.warc.zst", 0, 0
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                     out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
                 frame = context.compress(record(page_id, url, base64.b32encode(bytes.fromhex(digest)).decode(), payload, kind, first))
                 out.write(frame)
@@ -178,7 +178,7 @@ def read_archives(files: DataFrame, payload: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, name = pafs.FileSystem.from_uri(path)
-                with store.open_input_stream(name) as stream:
+                with store.open_input_stream(name, compression=None) as stream:
                     rows, size = [], 0
                     for frame in frames(stream):
                         r = parse(frame)
