@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, langid, packing, rules, tokenfile, warc
+from tidemark.llm import jaccard, langid, packing, rules, suffix, tokenfile, warc
 from tidemark.llm import secrets as secret_scan
 
 #: The public tokenizer file of the token queries, and the longest sequence of the packing query.
@@ -133,3 +133,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token-id files and read back from them."""
     return tokenfile.read_token_files(tokenfile.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), 2))
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text covered by a 400-byte string that also starts elsewhere, removed."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-BITS, RANGES, HELD = 27, 256, 1 << 22
+BITS, HELD = 27, 1 << 22
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -29,16 +29,19 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def count_levels(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> np.ndarray:
-    """Packed levels of the hashes that ``items`` yields for each batch of ``df``."""
-    per_range = 1 << (bits - RANGES.bit_length() + 1)
+    """Packed levels of the hashes that ``items`` yields for each batch of ``df``; ranges of cells are added up apart, as
+    many as the session has shuffle partitions (rounded up to a power of two, 4096 at most)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(4096, 1 << max(3, (parts - 1).bit_length()))
+    per_range = (1 << bits) // ranges
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             cells = np.sort(np.concatenate(held))
-            edges = np.searchsorted(cells, np.arange(RANGES + 1, dtype=np.int64) * per_range)
-            full = [r for r in range(RANGES) if edges[r] < edges[r + 1]]
+            edges = np.searchsorted(cells, np.arange(ranges + 1, dtype=np.int64) * per_range)
+            full = [r for r in range(ranges) if edges[r] < edges[r + 1]]
             data = [_packed(cells[edges[r]:edges[r + 1]] - np.uint32(r * per_range)) for r in full]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
 
@@ -72,7 +75,7 @@ def count_levels(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.nd
         four = level.astype(np.uint8).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([(four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()], pa.binary())], ["range", "data"])
 
-    rows = df.mapInArrow(scatter, "range int, data binary").repartition(RANGES, "range").sortWithinPartitions("range")
+    rows = df.mapInArrow(scatter, "range int, data binary").repartition(ranges, "range").sortWithinPartitions("range")
     out = np.zeros(1 << (bits - 2), np.uint8)
     for r in rows.mapInArrow(gather, "range int, data binary").toLocalIterator():  # 2 ** bits / 4 bytes in all
         out[r["range"] * per_range // 4:(r["range"] + 1) * per_range // 4] = np.frombuffer(r["data"], np.uint8)
