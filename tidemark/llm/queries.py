@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import forest, jaccard, langid, packing, rules, suffix, tokenfile, warc
+from tidemark.llm import forest, jaccard, langid, packing, rules, sentencepieces, suffix, tokenfile, warc
 from tidemark.llm import secrets as secret_scan
 
-#: The public tokenizer file of the token queries, and the longest sequence of the packing query.
-TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
+#: The public tokenizer files of the token and piece queries, and the longest sequence of the packing query.
+TOKENIZER, PIECES, SEQUENCE = "word_bpe_49k.json", "piece_bpe_32k.model", 2048
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,9 +27,9 @@ def query(sql: str | None = None):
     return wrap
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
+@query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: its number of ids, their CRC-32, and whether the text came back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = tokenizer_path(PIECES)
+    original = docs.select("doc_id", F.sha2(F.translate(F.coalesce("text", F.lit("")), "\u2581", " "), 256).alias("sha256"), "text")
+    encoded = sentencepieces.encode(original, path)
+    decoded = sentencepieces.decode(encoded.withColumn("n_pieces", F.size("ids").cast("long"))
+                                    .withColumn("ids_crc32", F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary")))
+                                    .drop("text"), path)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
+                          (F.sha2("text", 256) == F.col("sha256")).alias("same_text"))
+
+
 @query()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every text and the verdict of the cascade."""
