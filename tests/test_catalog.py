@@ -24,6 +24,29 @@ def test_entry_runs(spark):
 def test_forced_slices_give_the_same_rows(spark, monkeypatch, name):
     import tidemark.operators.slicing as sl
     plain = sorted(map(repr, ENTRIES[name].run(spark, SF).collect()))
-    monkeypatch.setattr(sl, "is_small", lambda df, *a: False)
     monkeypatch.setattr(sl, "TARGET_ROWS", 200)
     assert sorted(map(repr, ENTRIES[name].run(spark, SF).collect())) == plain
+
+
+def test_one_plan_at_every_size(spark, monkeypatch):
+    """The same plan nodes whether the rows fill one slice or many."""
+    import tidemark.operators.slicing as sl
+    from tidemark.operators.scan import ordered_scan, position
+    df = spark.range(5000).selectExpr("id % 3 AS k", "id AS t")
+    def nodes():
+        plan = ordered_scan(df, ["k"], ["t"], [position("n")])._jdf.queryExecution().optimizedPlan().toString()
+        return re.findall(r"^[ :+|-]*(Join|Aggregate|Window)", plan, re.M)
+    few = nodes()
+    monkeypatch.setattr(sl, "TARGET_ROWS", 100)
+    assert nodes() == few and few.count("Window") == 2
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as N
+    from tidemark.session import checkpoint_folder
+    made = []
+    sc = N(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(N(sparkContext=sc, conf=N(get=lambda k, d: None)))
+    checkpoint_folder(N(sparkContext=sc, conf=N(get=lambda k, d: "hdfs://x/y")))
+    assert made == ["hdfs://x/y"]

@@ -7,7 +7,7 @@ from tidemark.operators import events as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators.rangejoin import overlap_join
 from tidemark.operators.scan import ordered_scan
-from tidemark.session import reuse
+from tidemark.session import settle
 
 USER = ["user_id"]
 H = 3_600_000_000
@@ -36,7 +36,7 @@ def peaks_of(t):
 
 
 def complexes_of(t):
-    return reuse(ev.complexes(peaks_of(t), USER, "t", "value", 8 * H))
+    return settle(ev.complexes(peaks_of(t), USER, "t", "value", 8 * H))
 
 
 def bursts_of(cx):

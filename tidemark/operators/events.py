@@ -16,9 +16,7 @@ from tidemark.operators.islands import islands
 from tidemark.operators.rangejoin import overlap_join
 from tidemark.operators.scan import (lag, last_known, lead, next_known, ordered_scan, position,
                                      running_max, running_sum)
-from tidemark.session import durable, reuse
-
-MAX_FOLD_RUNS = 10_000  # longer merge chains take the pointer path
+from tidemark.session import durable, settle
 
 
 # ---------------------------------------------------------------- spikes, complexes, bursts
@@ -80,42 +78,21 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
 
 
 def bounded_merge(runs: DataFrame, keys: Sequence[str], lo: str, hi: str, gap, max_span,
-                  slice_by="auto", fold_limit: int = MAX_FOLD_RUNS) -> DataFrame:
+                  slice_by="auto") -> DataFrame:
     """Greedy left-to-right merge: the next run joins while it starts within ``gap`` of the current end
     and the merged span stays within ``max_span``; one long run is never cut.
 
-    Runs must be disjoint and ordered.  Chains (runs linked by ``gap``) are found first.  Short chains
-    fold inside one row; longer ones follow "first run that does not fit" pointers, doubled each round,
-    so no chain - however long - is walked by one task.
+    Runs must be disjoint and ordered.  Chains (runs linked by ``gap``) are found first, then "first run that
+    does not fit" pointers are followed from each chain's first run, doubled each round, so no chain -
+    however long - is walked by one task.
     """
     keys = list(keys)
     base = runs.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
     chained = ordered_scan(base, keys, ["_lo", "_hi"], [running_max("_reach", "_hi")], slice_by)
     opens = F.coalesce(F.col("_lo") - F.col("_reach") > F.lit(gap), F.lit(True))
-    chained = reuse(ordered_scan(chained.withColumn("_open", opens), keys, ["_lo", "_hi"],
+    chained = settle(ordered_scan(chained.withColumn("_open", opens), keys, ["_lo", "_hi"],
                                  [last_known("_chain", F.when(F.col("_open"), F.col("_lo")))], slice_by))
-    group = keys + ["_chain"]
-    sizes = chained.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    rows = reuse(chained.drop("_reach").join(sizes, group))
-
-    short = (rows.where(F.col("_size") <= fold_limit).groupBy(*group)
-                 .agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi"))).alias("_runs")))
-    first = F.col("_runs")[0]
-
-    def step(acc, run):
-        fits = run["_hi"] - acc["cur"]["_lo"] <= F.lit(max_span)
-        grown = F.struct(acc["cur"]["_lo"].alias("_lo"), F.greatest(acc["cur"]["_hi"], run["_hi"]).alias("_hi"))
-        return F.when(fits, F.struct(acc["done"].alias("done"), grown.alias("cur"))).otherwise(
-            F.struct(F.array_append(acc["done"], acc["cur"]).alias("done"), run.alias("cur")))
-
-    start = F.struct(F.filter(F.col("_runs"), lambda r: F.lit(False)).alias("done"), first.alias("cur"))
-    folded = F.aggregate(F.slice("_runs", 2, F.size("_runs")), start, step,
-                         lambda acc: F.array_append(acc["done"], acc["cur"]))
-    merged = short.select(*keys, F.inline(folded)).select(*keys, F.col("_lo").alias(lo), F.col("_hi").alias(hi))
-    long = rows.where(F.col("_size") > fold_limit)
-    if fold_limit >= MAX_FOLD_RUNS and long.isEmpty():
-        return merged
-    return merged.unionByName(_merge_by_pointers(long, keys, lo, hi, max_span, slice_by))
+    return _merge_by_pointers(chained.drop("_reach"), keys, lo, hi, max_span, slice_by)
 
 
 def _merge_by_pointers(rows: DataFrame, keys: list[str], lo: str, hi: str, max_span, slice_by) -> DataFrame:
@@ -294,7 +271,7 @@ def group_across_channels(rows: DataFrame, keys: Sequence[str], channel: str, to
     roots = connected_components(contact_edges(rows, keys, channel, tol, slice_by))
     tagged = (rows.join(roots.withColumnRenamed("node", "event_id"), "event_id", "left")
                   .withColumn("_root", F.coalesce("root", "event_id")).drop("root"))
-    tagged = reuse(tagged)
+    tagged = settle(tagged)
     spans = tagged.groupBy(*keys, "_root").agg(F.min("lo").alias("ref_lo"), F.max("hi").alias("ref_hi"))
     ids = numbered(spans, keys, ["ref_lo", "ref_hi", "_root"], "group_id", slice_by)
     copies = tagged.groupBy(*keys, "_root", channel).agg((F.count(F.lit(1)) > 1).alias("fragmented"))
@@ -329,7 +306,7 @@ def reconcile(accepted: DataFrame, rejected: DataFrame, channels: DataFrame, key
     ``keys + channel + block_id, b_lo, b_hi``.
     """
     keys = list(keys)
-    acc = reuse(group_across_channels(accepted, keys, channel, tol, slice_by))
+    acc = settle(group_across_channels(accepted, keys, channel, tol, slice_by))
     n_failed = F.lit(0)
     sizes = channels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if failed is not None:
@@ -342,7 +319,7 @@ def reconcile(accepted: DataFrame, rejected: DataFrame, channels: DataFrame, key
         F.count_distinct(channel).alias("accepted_in_n_channels"),
         F.array_join(F.array_sort(F.collect_set(channel)), ";").alias("accepted_in_regions"))
 
-    info = reuse(info)
+    info = settle(info)
     taken = acc.select(*event, channel).distinct()
     open_slots = info.join(channels, keys).join(taken, [*event, channel], "left_anti")
     # candidate -> closest event (ties: earliest), then best score per open (event, channel)

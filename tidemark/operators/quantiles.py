@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import ordered_scan, running_sum
-from tidemark.session import durable, is_small, reuse, settle
+from tidemark.session import durable, settle
 
 _ACCURACY = 10_000  # of the bracketing sketch
 
@@ -23,7 +23,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, slice_by="auto"
     ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if not keys:
         return value_counts(ok.withColumn("_all", F.lit(0)), ["_all"], value, slice_by).drop("_all")
-    ok = reuse(ok)
+    ok = settle(ok)
     counted = ok.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     walked = ordered_scan(counted, keys, [value], [running_sum("below", "n", inclusive=False)], slice_by)
     sizes = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
@@ -31,17 +31,16 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, slice_by="auto"
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, outs: Mapping[str, float],
-                      slice_by="auto", bracket: bool | None = None) -> DataFrame:
+                      slice_by="auto", bracket: bool = False) -> DataFrame:
     """Percentiles (0-100) with rank ``p/100*n + 0.5``, clamped to [1, n], linear in between.
 
-    A large input is not shuffled by value: a mergeable sketch brackets each rank, and only the values
-    inside the brackets (a few per mille) are counted and ranked, on top of the exact number below.
+    With ``bracket`` the input is not shuffled by value, which pays where values hardly repeat: a mergeable
+    sketch brackets each rank, and only the values inside the brackets (a few per mille) are counted and
+    ranked, on top of the exact number below.
     """
     keys = list(keys)
     if not keys:
         return exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, outs, slice_by, bracket).drop("_all")
-    if bracket is None:
-        bracket = not is_small(df)
     if not bracket:
         vc = value_counts(df, keys, value, slice_by)
         return _pick(vc, keys, value, outs, lambda i: F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import overlap_join
-from tidemark.session import reuse
+from tidemark.session import settle
 
 
 def ratio_or_zero(a: Column, b: Column) -> Column:
@@ -38,7 +38,7 @@ def claim(det: DataFrame, gt: DataFrame, keys: Sequence[str], tol) -> DataFrame:
     keys = list(keys)
     det = reportable(det)
     owner = _pairs(det, gt, keys, tol).groupBy("det_id").agg(F.min("gt_id").alias("gt_id"))
-    out = reuse(det.join(owner, "det_id", "left"))
+    out = settle(det.join(owner, "det_id", "left"))
     first = (out.where("gt_id IS NOT NULL").groupBy(*keys, "gt_id")
                 .agg(F.min(F.struct("lo", "det_id")).alias("_first")))
     out = out.join(first, [*keys, "gt_id"], "left")
@@ -70,7 +70,7 @@ def threshold_sweep(det: DataFrame, gt: DataFrame, keys: Sequence[str], tol, thr
     one overlap join and one pass over per-threshold counters replace a join per threshold.
     """
     keys = list(keys)
-    pairs = reuse(_pairs(det, gt, keys, tol, ["score"]))
+    pairs = settle(_pairs(det, gt, keys, tol, ["score"]))
     best = pairs.groupBy(*keys, "gt_id").agg(F.max("score").alias("score"))
     hits = pairs.select("det_id", "score").distinct()
     at = lambda: F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")

@@ -20,7 +20,7 @@ from tidemark.operators.islands import islands
 from tidemark.operators.quantiles import exact_median
 from tidemark.operators.rangejoin import overlap_join
 from tidemark.operators.scan import lag, last_known, lead, next_known, ordered_scan
-from tidemark.session import reuse
+from tidemark.session import settle
 
 CHUNK = 4096
 
@@ -211,8 +211,8 @@ def walsh(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
 def robust_stats(samples: DataFrame, keys: Sequence[str], x: str = "x", slice_by="auto") -> DataFrame:
     """Median, MAD (1 when zero), sample standard deviation, minimum and maximum per key."""
     keys = list(keys)
-    samples = reuse(samples)
-    med = reuse(exact_median(samples, keys, x, "median", slice_by))
+    samples = settle(samples)
+    med = settle(exact_median(samples, keys, x, "median", slice_by))
     dev = samples.join(med, keys).withColumn("_d", F.abs(F.col(x) - F.col("median")))
     mad = exact_median(dev, keys, "_d", "mad", slice_by)
     rest = samples.groupBy(*keys).agg(F.count(x).alias("n"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))

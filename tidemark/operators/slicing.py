@@ -16,40 +16,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import is_small, settle
+from tidemark.session import settle
 
 SLICE = "_slice"
 TARGET_ROWS = 2_000_000
-MAX_SLICES = 32_768
 _FAN = 32
+_PROBES = 1023  # quantiles that the first look at a column takes
 
 
-def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column | None]:
-    """The input ready to be read several times, and its slice expression (None for a small input)."""
-    if is_small(df):
-        return df, None
+def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """The input ready to be read several times, and its slice expression."""
     df = settle(df)
-    return df, slice_of(df, column, always=True)
+    return df, slice_of(df, column)
 
 
-def slice_of(df: DataFrame, column: str, target_rows: int | None = None,
-             always: bool = False) -> Column | None:
-    """Slice expression over ``column``, or None when one task can hold the whole input.
+def slice_of(df: DataFrame, column: str, target_rows: int | None = None) -> Column:
+    """Slice expression over ``column`` with about ``target_rows`` rows a slice (one slice for fewer rows).
 
-    The decision is taken from the size estimate; larger inputs cost a count and a quantile sketch of
-    that one column.  The driver holds the cuts only (at most ``MAX_SLICES``).
+    Costs one pass over that column for its count and quantile sketch, a second one beyond
+    ``_PROBES * target_rows`` rows.  The driver holds the cuts only, one per ``target_rows`` rows.
     """
     target_rows = target_rows or TARGET_ROWS
-    if not always and is_small(df):
-        return None
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    n = values.count()
-    if n <= target_rows:
-        return None
-    parts = min(MAX_SLICES, math.ceil(n / target_rows))
-    probs = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(values.approxQuantile("v", probs, 1 / (4 * parts))))
-    return locate(F.col(column).cast("double"), cuts)
+    probes = [i / (_PROBES + 1) for i in range(1, _PROBES + 1)]
+    n, sketch = values.agg(F.count(F.lit(1)), F.percentile_approx("v", probes, 4 * (_PROBES + 1))).first()
+    parts = math.ceil(n / target_rows)
+    if parts <= _PROBES + 1:
+        cuts = [sketch[i * (_PROBES + 1) // parts - 1] for i in range(1, parts)]
+    else:
+        cuts = values.approxQuantile("v", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    return locate(F.col(column).cast("double"), sorted(set(cuts)))
 
 
 def locate(value: Column, cuts: Sequence[float]) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import normal_cdf, normal_quantile, ratio_interval, two_sided_normal
 from tidemark.operators.quantiles import exact_median, exact_percentiles, value_counts, with_ranks
 from tidemark.operators.scan import ordered_scan, position, running_sum
-from tidemark.session import reuse
+from tidemark.session import settle
 
 
 def rate_ratio(df: DataFrame, n1: str, e1: str, n0: str, e0: str, alpha: float = 0.05) -> DataFrame:
@@ -215,7 +215,7 @@ def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by="
     """0-based ``ix`` per key and the key's row count ``n_rows``."""
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return reuse(ordered_scan(df, keys, order, [position("ix")], slice_by).withColumn("ix", F.col("ix") - 1).join(n, keys))
+    return settle(ordered_scan(df, keys, order, [position("ix")], slice_by).withColumn("ix", F.col("ix") - 1).join(n, keys))
 
 
 def resample(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int, values: Sequence[str]) -> DataFrame:

@@ -1,17 +1,12 @@
-"""Session defaults and the two environment helpers every operator relies on."""
+"""Session defaults and the helpers that keep intermediate results."""
 
 from __future__ import annotations
 
 import re
-import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs whose estimated size is below this run without time slicing: one task can hold any
-# single group of them.  Spark's own estimate is used, so nothing is read to decide.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects (UTC clock, AQE, skew join)."""
@@ -32,19 +27,6 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan, in bytes (no job is run)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    try:
-        return int(stats.sizeInBytes())
-    except ValueError:  # products over many joins outgrow what can be converted
-        return sys.maxsize
-
-
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    return plan_bytes(df) <= limit
-
-
 _WORK = re.compile(r"^[\s:+|-]*(Join|Aggregate|Window|Sort|Repartition\w*|MapIn\w+|FlatMap\w+|ArrowEvalPython|Intersect|Except)\b", re.M)
 
 
@@ -56,15 +38,24 @@ def settle(df: DataFrame) -> DataFrame:
     return durable(df) if _WORK.search(plan) else df
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """``settle`` for an intermediate result with several readers, unless it is small."""
-    return df if is_small(df) else settle(df)
-
-
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """Cut lineage with a reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Files of a checkpoint stay until the session ends, or are removed with their DataFrame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoints go to shared storage; only a local session may fall back to a folder of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    sc.setCheckpointDir(folder)
