@@ -8,7 +8,8 @@ place, so nothing is missed.
 
 Ranks of anchors grow from ``w`` bytes to ``2 w`` (both inside every string of the anchor) to the whole stretch that the
 strings of the anchor cover; Spark sorts and groups (position, rank) pairs, and anchors whose rank is unique drop out.
-Ranks are named by hashes; the first round drops what a fixed-size count table shows to be unique.  A stretch that
+Ranks are named by hashes.  The first round, at ``w`` bytes, drops what a fixed-size count table shows to be unique; the
+next two are ranked together, as the pair of the names of ``2 w`` bytes and of the stretch.  A stretch that
 occurs twice is repeated altogether.  Where a stretch is unique although its ``2 w`` bytes are not - the ends of
 repeated passages - the last doubling to ``threshold`` ranks each of its positions.
 
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import PIECE, buffers, mix, pieces, powers, prefix_hash, wide, written
 from tidemark.llm.sketch import BITS, count_levels, level_of
 
+KEY_BITS = 24
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -93,55 +95,51 @@ def repeated_spans(docs: DataFrame, threshold: int, bits: int = BITS) -> DataFra
 
     def items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, _, _, short, _, _ in scanned(batch.column(1), threshold):
-            yield short
+            yield mix(short)  # anchors have small hashes; spread them
 
     levels = docs.sparkSession.sparkContext.broadcast(count_levels(docs, items, bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, a, lo, hi, short, core, whole in scanned(batch.column(1), threshold):
-                keep = np.flatnonzero(level_of(levels.value, short) > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[keep])), pa.array(a[keep]), pa.array((a - lo)[keep].astype(np.int16)),
-                                                  pa.array((hi - a)[keep].astype(np.int16)), pa.array(core[keep].view(np.int64)), pa.array(whole[keep].view(np.int64))],
-                                                 ["key", "a", "before", "after", "core", "whole"])
-
-    found = written(docs.mapInArrow(rows, "key long, a long, before short, after short, core long, whole long"), "anchors")
-    ranked = rerank(found, ["core"], w)
-    stretch = ["core", "whole", "before", "after"]
-    classes = written(ranked.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a")).alias("one")), "stretches")
-    decided = (ranked.join(classes.where("n > 1").select(*stretch), stretch)
-                     .select("key", (F.col("a") - F.col("before")).alias("start"), (F.col("a") + F.col("after") + threshold).alias("end")))
+                keep = np.flatnonzero(level_of(levels.value, mix(short)) > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[keep])), pa.array(a[keep]), pa.array(((a - lo) << 32 | a - hi)[keep]),
+                                                  pa.array(core[keep].view(np.int64)), pa.array(whole[keep].view(np.int64))], ["key", "a", "reach", "core", "whole"])
+
+    found = written(docs.mapInArrow(rows, "key long, a long, reach long, core long, whole long"), "anchors")
+    levels.destroy()
+    before, after = F.shiftright("reach", 32), -F.col("reach").bitwiseAND(F.lit((1 << 32) - 1))  # from the anchor to the first and last start
+    rank = ["core", "whole", "reach"]
+    classes = written(found.groupBy(*rank).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a")).alias("one")), "stretches")
+    decided = (found.join(classes.where("n > 1").select(*rank), rank)
+                    .select("key", (F.col("a") - before).alias("start"), (F.col("a") + after + threshold).alias("end")))
     mixed = (classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("singles"))
                     .where("kinds > 1 AND singles > 0").select("core"))
-    open_ = classes.join(mixed, "core").select("one.key", F.struct(F.col("one.a").alias("a"), "before", "after", "core", (F.col("n") == 1).alias("single")).alias("x"))
+    open_ = classes.join(mixed, "core").select("one.key", F.struct(F.col("one.a").alias("a"), before.alias("before"), after.alias("after"), "core", (F.col("n") == 1).alias("single")).alias("x"))
     by_doc = written(open_.groupBy("key").agg(F.collect_list("x").alias("open")), "open")
-    positions = written(rank_positions(only(docs, by_doc.select("key"), bits).dropDuplicates(["key"]).join(by_doc, "key"), threshold), "positions")
+    positions = written(rank_positions(among(docs, by_doc.select("key"), bits)[0].dropDuplicates(["key"]).join(by_doc, "key"), threshold), "positions")
     last = repeated_positions(positions, bits)
     spans = decided.union(last.select("key", F.col("p").alias("start"), (F.col("p") + threshold).alias("end")))
     return written(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
-def rerank(rows: DataFrame, rank: list[str], size: int) -> DataFrame:
-    """Rows whose rank (``size`` bytes doubled) is not unique."""
-    twice = written(rows.groupBy(*rank).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*rank), f"ranks-{2 * size}")
-    return rows.join(twice, rank)
-
-
-def only(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``docs`` whose key may be among ``keys``, by a table of fixed size; the rest is surely not."""
+def among(docs: DataFrame, keys: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs(key, ...)`` whose key may be among ``keys``, and those whose key surely is not, by a table of fixed size."""
     def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         one = mix(batch.column(0).to_numpy().view(np.uint64).copy())
         yield np.concatenate([one, one])
 
-    levels = docs.sparkSession.sparkContext.broadcast(count_levels(keys, twice, bits))
+    levels = docs.sparkSession.sparkContext.broadcast(count_levels(keys, twice, min(bits, KEY_BITS)))
+    at = docs.columns.index("key")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs_columns.index("key")
-        for batch in batches:
-            yield batch.filter(pa.array(level_of(levels.value, mix(batch.column(at).to_numpy().view(np.uint64).copy())) > 0))
+    def part(inside: bool):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                may = level_of(levels.value, mix(batch.column(at).to_numpy().view(np.uint64).copy())) > 0
+                yield batch.filter(pa.array(may == inside))
+        return docs.mapInArrow(keep, docs.schema)
 
-    docs_columns = docs.columns
-    return docs.mapInArrow(keep, docs.schema)
+    return part(True), part(False)
 
 
 def rank_positions(joined: DataFrame, threshold: int) -> DataFrame:
@@ -199,8 +197,9 @@ def repeated_positions(positions: DataFrame, bits: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, threshold: int = 400, id_column: str = "doc_id", text: str = "text", columns: list[str] | None = None,
                    kept: bool = False, bits: int = BITS) -> DataFrame:
-    """For every row its ``columns`` (the id by default), ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; with ``kept`` the remaining bytes."""
-    names = [id_column] if columns is None else columns
+    """For every row its ``columns`` (the id by default), ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; with ``kept`` the
+    remaining bytes as text (a character cut in two is left out)."""
+    names, measures = [id_column] if columns is None else columns, MEASURES[:4 + kept]
     key = F.xxhash64(F.col(id_column).cast("string"), text).alias("key")
     spans = repeated_spans(docs.select(key, F.col(text).alias("text")), threshold, bits)
 
@@ -217,15 +216,18 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_column: str = "doc_
                 gone = np.cumsum(level)[:len(b)] > 0
                 left = b[~gone].tobytes()
                 edges = np.diff(gone.astype(np.int8), prepend=0)
-                for c, v in zip(out, (len(b), int(gone.sum()), int((edges > 0).sum()), hashlib.sha256(left).hexdigest(), left), strict=True):
+                for c, v in zip(out, (len(b), int(gone.sum()), int((edges > 0).sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if kept else None), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[:4 + kept]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[:4 + kept]
             arrays = [pa.array(v, t) for v, t in zip(out, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(1 + k) for k in range(1, len(names) + 1)], *arrays], [*names, *MEASURES[:4 + kept]])
-
-    fields = [T.StructField(c, T.StringType() if c == "kept_sha256" else T.BinaryType() if c == "kept" else T.LongType()) for c in MEASURES[:4 + kept]]
-    joined = docs.select(key, F.col(text).alias("text_"), *names).join(spans, "key", "left").select("text_", "spans", *names)
-    return joined.mapInArrow(cut, T.StructType([*[docs.schema[c] for c in names], *fields]))
+            yield pa.RecordBatch.from_arrays([batch.column(2), *arrays], ["rest_", *measures])
+
+    rows = docs.select(key, F.col(text).alias("text_"), F.struct(*names).alias("rest_"))
+    fields = [T.StructField(c, T.StringType() if c.startswith("kept") else T.LongType()) for c in measures]
+    some, none = among(rows, spans.select("key"), bits)
+    marked = some.join(spans, "key", "left").select("text_", "spans", "rest_").unionByName(none.select("text_", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "rest_"))
+    cleaned = marked.mapInArrow(cut, T.StructType([rows.schema["rest_"], *fields]))
+    return cleaned.select(*[F.col("rest_")[c].alias(c) for c in names], *measures)
 
 
 MEASURES = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
