@@ -39,7 +39,7 @@ def _slots() -> np.ndarray:
         slot[:128] = np.clip(np.arange(128), 32, 126) - 32
         slot[:32] = 0
         _state["slots"] = slot.astype(np.uint32)
-        _state["last"] = np.zeros(sum(_SIZES), np.int64)
+        _state["last"] = np.zeros(sum(_SIZES), np.int32)
     return _state["slots"]
 
 
@@ -54,7 +54,7 @@ def ngrams(text: str) -> np.ndarray:
         two = c[:-1] * SLOTS + c[1:]
         three = two[:-1] * SLOTS + c[2:]
         keys = np.concatenate([c, two + _SIZES[0], three + (_SIZES[0] + _SIZES[1])]).astype(np.int64)
-        place = np.arange(len(keys))
+        place = np.arange(len(keys), dtype=np.int32)
         last[keys] = place
         out.append(keys[last[keys] == place])
     return out[0] if len(out) == 1 else np.unique(np.concatenate(out))

@@ -273,8 +273,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.get(path)
         for batch in batches:
-            found = [b"".join([model.text[i] for i in row or ()])[1:].decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["rest_", "text_"])
+            for i in range(0, batch.num_rows, 256):  # a few rows at a time: ids of many texts are large as Python objects
+                part = batch.slice(i, 256)
+                found = [b"".join([model.text[k] for k in row.as_py() or ()])[1:].decode("utf-8", "replace") for row in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], ["rest_", "text_"])
 
     schema = T.StructType([inner.schema["rest_"], T.StructField("text_", T.StringType())])
     return inner.mapInArrow(run, schema).select(*[F.col("rest_")[c].alias(c) for c in rest], F.col("text_").alias(text))

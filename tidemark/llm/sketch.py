@@ -1,12 +1,13 @@
 """Counts of hashed items in a table of fixed size, built by Spark and small enough to broadcast.
 
-Items are 64-bit hashes; the top ``bits`` of each name its cell.  The result has two bits a cell (``2 ** bits / 4``
+Items are evenly spread 64-bit hashes; the top ``bits`` of each name its cell.  The result has two bits a cell (``2 ** bits / 4``
 bytes whatever the input), so its size is bounded: level 0 is a count of at most one, levels 1 to 3 are higher
 counts.  Cells can be shared by several items, which only ever raises a level.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def count_levels(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> np.ndarray:
-    """Packed levels of the hashes that ``items`` yields for each batch of ``df``; ranges of cells are added up apart, as
+def count_levels(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> Levels:
+    """Levels of the hashes that ``items`` yields for each batch of ``df``; ranges of cells are added up apart, as
     many as the session has shuffle partitions (rounded up to a power of two, 4096 at most)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(4096, 1 << max(3, (parts - 1).bit_length()))
@@ -77,12 +78,30 @@ def count_levels(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.nd
 
     rows = df.mapInArrow(scatter, "range int, data binary").repartition(ranges, "range").sortWithinPartitions("range")
     out = np.zeros(1 << (bits - 2), np.uint8)
-    for r in rows.mapInArrow(gather, "range int, data binary").toLocalIterator():  # 2 ** bits / 4 bytes in all
+    for r in rows.mapInArrow(gather, "range int, data binary").collect():  # 2 ** bits / 4 bytes in all
         out[r["range"] * per_range // 4:(r["range"] + 1) * per_range // 4] = np.frombuffer(r["data"], np.uint8)
-    return out
+    return Levels(out)
 
 
-def level_of(levels: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+class Levels:
+    """The packed levels, compressed for their way to the workers, each of which unpacks them once."""
+
+    def __init__(self, packed: np.ndarray):
+        self.name, self.shift = uuid.uuid4().hex, np.uint64(64 - (len(packed).bit_length() + 1))
+        self.data = zstandard.ZstdCompressor(level=1).compress(packed.tobytes())
+
+    def packed(self) -> np.ndarray:
+        if self.name not in _unpacked_levels:
+            while _unpacked_levels:
+                _unpacked_levels.pop(next(iter(_unpacked_levels)))
+            _unpacked_levels[self.name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data), np.uint8)
+        return _unpacked_levels[self.name]
+
+
+_unpacked_levels: dict[str, np.ndarray] = {}
+
+
+def level_of(levels: Levels, hashes: np.ndarray) -> np.ndarray:
     """Level of each hash."""
-    cell = hashes >> np.uint64(64 - (len(levels).bit_length() + 1))
-    return (levels[(cell >> np.uint64(2)).astype(np.int64)] >> ((cell & np.uint64(3)) * np.uint64(2)).astype(np.uint8)) & np.uint8(3)
+    cell = hashes >> levels.shift
+    return (levels.packed()[(cell >> np.uint64(2)).astype(np.int64)] >> ((cell & np.uint64(3)) * np.uint64(2)).astype(np.uint8)) & np.uint8(3)

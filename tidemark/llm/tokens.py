@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from tidemark.llm.common import buffers, pieces, span_hashes, word_spans
 
-_SLOTS, _POOL = 1 << 21, 1 << 25
+_SLOTS, _POOL = 1 << 21, 1 << 23
 _LETTER, _DIGIT, _SIGN = 1, 2, 3
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
