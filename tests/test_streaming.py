@@ -18,6 +18,9 @@ def test_ingest_is_exactly_once(spark):
     for _ in range(2):
         inc.ingest(spark, src, df.schema, dst, ck, "source_file").awaitTermination()
     assert sorted((r.source_file, r.v) for r in spark.read.parquet(dst).collect()) == [("a", 1), ("a", 2), ("b", 3)]
+    spark.createDataFrame([("a", 4)], df.schema).write.mode("append").parquet(src)  # a known key in a later batch
+    inc.ingest(spark, src, df.schema, dst, ck, "source_file").awaitTermination()
+    assert sorted((r.source_file, r.v) for r in spark.read.parquet(dst).collect()) == [("a", 1), ("a", 2), ("a", 4), ("b", 3)]
 
 
 def test_sessions_match_batch_complexes(spark):

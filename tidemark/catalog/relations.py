@@ -138,18 +138,27 @@ def quality_classes(t):
 
 
 @query("PRJ-08", """WITH x AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), m AS (SELECT c_nationkey, CASE WHEN count(*) >= 2 THEN median(c_acctbal) END AS m FROM x GROUP BY 1)
-SELECT c_custkey, CASE WHEN c_acctbal * 3 < m AND c_custkey % 40 > 26 THEN 'attenuated+line' WHEN c_acctbal * 3 < m THEN 'attenuated' WHEN c_custkey % 40 > 26 THEN 'line' ELSE 'normal' END AS suggested_case FROM x JOIN m USING (c_nationkey)""")
+SELECT c_custkey, CASE WHEN c_custkey % 97 < 12 THEN 'unusable' WHEN (c_acctbal * 3 < m OR c_custkey % 97 < 26) AND (c_custkey % 14 > 10 OR c_custkey % 13 > 10) THEN 'both'
+ WHEN c_acctbal * 3 < m OR c_custkey % 97 < 26 THEN 'attenuated' WHEN c_custkey % 14 > 10 OR c_custkey % 13 > 10 THEN 'line' ELSE 'normal' END AS suggested_case FROM x JOIN m USING (c_nationkey)""")
 def suggested_case(t):
-    return ql.suggested_case(t.customer, "c_nationkey", "c_acctbal", F.col("c_custkey") % 40).select("c_custkey", "suggested_case")
-
-
-@query("PRJ-13 PRJ-14 SRC-17 FN-05", """WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN ' iids ' WHEN turn % 4 = 1 THEN 'Disconnect' WHEN turn % 4 = 2 THEN '' ELSE role END AS raw FROM conversations),
-k AS (SELECT *, CASE trim(lower(raw)) WHEN '' THEN '' WHEN 'iids' THEN 'IIDs' WHEN 'disconnect' THEN 'disconnect' ELSE 'unrecognized:' || trim(raw) END AS comment FROM c)
-SELECT conv_id, turn, comment, CASE WHEN comment = '' OR comment LIKE 'unrecognized:%' THEN 'R6' WHEN comment = 'IIDs' THEN 'R2' ELSE 'R5' END AS rule FROM k""")
+    """Case of each channel: unusable, both, attenuated, line or normal."""
+    k = F.col("c_custkey")
+    snr, line_db, pct = k % 97, k % 14, k % 13
+    quality = ql.quality_class(snr, line_db, pct, F.lit(0.0), F.lit(0.0), min_snr=12, low_snr=26, line_limit=10, intermittent=10)
+    return ql.suggested_case(t.customer, "c_nationkey", "c_acctbal", snr, line_db, pct, quality).select("c_custkey", "suggested_case")
+
+
+@query("PRJ-13 PRJ-14 SRC-17 FN-05", """WITH c AS (SELECT conv_id, turn, CASE (conv_id + turn) % 15 WHEN 0 THEN ' iids ' WHEN 1 THEN 'IID' WHEN 2 THEN 'Disconnect' WHEN 3 THEN 'disconnected' WHEN 4 THEN 'disconnection' WHEN 5 THEN 'Grooming'
+ WHEN 6 THEN 'scratching' WHEN 7 THEN 'grooming/scratching' WHEN 8 THEN 'grooming / scratching' WHEN 9 THEN 'grooming-scratching' WHEN 10 THEN 'scratching/grooming' WHEN 11 THEN 'other' WHEN 12 THEN 'Others' WHEN 13 THEN '' ELSE role END AS raw FROM conversations),
+k AS (SELECT *, CASE WHEN trim(lower(raw)) = '' THEN '' WHEN trim(lower(raw)) IN ('iid', 'iids') THEN 'IIDs' WHEN trim(lower(raw)) IN ('disconnect', 'disconnected', 'disconnection') THEN 'disconnect'
+ WHEN trim(lower(raw)) IN ('grooming', 'scratching', 'grooming/scratching', 'grooming / scratching', 'grooming-scratching', 'scratching/grooming') THEN 'grooming/scratching' WHEN trim(lower(raw)) IN ('other', 'others') THEN 'other' ELSE 'unrecognized:' || trim(raw) END AS comment FROM c)
+SELECT conv_id, turn, comment, CASE WHEN comment = '' OR comment LIKE 'unrecognized:%' THEN 'R6' WHEN comment = 'IIDs' THEN 'R2' WHEN comment = 'disconnect' THEN 'R5' WHEN comment = 'grooming/scratching' THEN 'R3' ELSE 'R4' END AS rule FROM k""")
 def comment_rules(t):
     """Free-text comments normalised to categories and mapped to exclusion rules."""
-    m = F.col("turn") % 4
-    raw = F.when(m == 0, " iids ").when(m == 1, "Disconnect").when(m == 2, "").otherwise(F.col("role"))
+    spelt = [" iids ", "IID", "Disconnect", "disconnected", "disconnection", "Grooming", "scratching", "grooming/scratching", "grooming / scratching",
+             "grooming-scratching", "scratching/grooming", "other", "Others", ""]
+    m = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(15)).cast("int")
+    raw = F.coalesce(F.get(F.array(*[F.lit(s) for s in spelt]), m), F.col("role"))
     x = t.conversations.select("conv_id", "turn", text.comment(raw).alias("comment"))
     return x.withColumn("rule", text.exclusion_rule(F.col("comment"))[0])
 
@@ -257,23 +266,23 @@ def json_props(t):
 
 @query("SRT-01 SRT-02 SRT-05 FN-02", f"WITH {POINTS}" + """, s AS (SELECT user_id, t, event_id, 'seizure' AS kind FROM ev WHERE event_type = 'purchase' UNION ALL SELECT user_id, t, event_id, 'burst' FROM ev WHERE event_type = 'click' UNION ALL SELECT user_id, t, event_id, 'gap' FROM ev WHERE event_type = 'error'),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM s)
-SELECT user_id, event_id, kind, strftime(make_timestamp(t), '%d/%m/%Y %H:%M:%S') AS clock, k AS position, '' AS verdict FROM r WHERE k <= 4""")
+SELECT user_id, event_id, kind, strftime(make_timestamp(t), '%d/%m/%Y %H:%M:%S') AS clock, k AS position, '' AS verdict FROM r""")
 def review_sheet(t):
-    """First four rows of each subject's chronological review sheet."""
+    """Each subject's chronological review sheet."""
     from tidemark.plans.review import review_sheet as sheet
     p = t.points
     kinds = {"seizure": "purchase", "burst": "click", "gap": "error"}
     parts = {k: p.where(F.col("event_type") == v).select("user_id", "event_id", "t") for k, v in kinds.items()}
-    out = sheet(parts, ["user_id"], "t", "event_id").where("position <= 4")
+    out = sheet(parts, ["user_id"], "t", "event_id")
     return out.select("user_id", "event_id", "kind", clock.review_text(F.timestamp_micros("t")).alias("clock"), "position", "verdict")
 
 
-@query("PRJ-01 PRJ-03 PRJ-04 FN-06", """SELECT p_partkey, round(p_retailprice * CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1 END, 2) AS scaled, p_size % 4 <> 3 AS recognised, regexp_replace(trim(p_brand), '[^A-Za-z0-9_-]', '_', 'g') AS subject,
+@query("PRJ-01 PRJ-03 PRJ-04 FN-06", """SELECT p_partkey, round(p_retailprice * CASE p_size % 6 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1 END, 2) AS scaled, p_size % 6 NOT IN (3, 5) AS recognised, regexp_replace(trim(p_brand), '[^A-Za-z0-9_-]', '_', 'g') AS subject,
  CASE WHEN p_size > 10 THEN round(abs(p_retailprice) / (p_size - 10), 6) END AS step FROM part""")
 def unit_scaling(t):
     """Units to microvolts, subject ids from names, quantisation step."""
-    m = F.col("p_size") % 4
-    unit = F.when(m == 0, " µV").when(m == 1, "mV ").when(m == 2, "V").otherwise("furlong")
+    m = F.col("p_size") % 6
+    unit = F.when(m == 0, " µV").when(m == 1, "mV ").when(m == 2, "V").when(m == 4, "microV").when(m == 5, "nV").otherwise("furlong")
     scale, known = text.unit_scale(unit)
     return t.part.select("p_partkey", F.round(F.col("p_retailprice") * scale, 2).alias("scaled"), known.alias("recognised"), text.subject_id(F.col("p_brand")).alias("subject"),
                          F.round(ql.quantisation(F.lit(0), F.col("p_retailprice"), F.lit(10), F.col("p_size")), 6).alias("step"))

@@ -45,7 +45,7 @@ def tie_ranks(t):
 @query("STAT-02 STAT-11", """WITH e AS (SELECT user_id, count(*) FILTER (hour(ts) < 8 OR hour(ts) >= 20) AS n1, count(*) FILTER (hour(ts) >= 8 AND hour(ts) < 20) AS n0 FROM events GROUP BY user_id),
 k AS (SELECT user_id, n1, n0, n1 + n0 AS n, unnest(generate_series(0, n1 + n0)) AS k FROM e),
 l AS (SELECT user_id, n1, n0, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5) AS lp, lgamma(n + 1) - lgamma(n1 + 1) - lgamma(n0 + 1) + n * ln(0.5) AS l1 FROM k)
-SELECT user_id, n1, n0, round(n1 / nullif(n0, 0), 6) AS rr, round(least(1, sum(CASE WHEN lp <= l1 + ln(1.0000001) THEN exp(lp) ELSE 0 END)), 6) AS p FROM l GROUP BY user_id, n1, n0""")
+SELECT user_id, n1, n0, CASE WHEN n0 = 0 THEN CAST('inf' AS DOUBLE) ELSE round(n1 / n0, 6) END AS rr, round(least(1, sum(CASE WHEN lp <= l1 + ln(1.0000001) THEN exp(lp) ELSE 0 END)), 6) AS p FROM l GROUP BY user_id, n1, n0""")
 def night_day_ratio(t):
     """Exact Poisson rate ratio of night against day with equal exposure."""
     h = F.hour("ts")

@@ -17,10 +17,10 @@ class SustainedConfig:
     merge_gap_s: float = 2.0
     max_s: float = 60.0
     min_s: float = 10.0
-    ll_window_s: float = 0.25
+    ll_window_s: float = 2.0
     ll_threshold: float = 1.75
-    ll_accept: float | None = None
-    ll_reject: float | None = None
+    ll_accept: float | None = 1.90
+    ll_reject: float | None = 1.60
 
 
 @dataclass(frozen=True)
@@ -41,17 +41,32 @@ class TransientConfig:
     burst_min_n: int = 3
     burst_min_s: float = 4.0
     burst_max_s: float = 40.0
-    zone_buffer_s: float = 30.0
+    zone_buffer_s: float = 5.0
+
+
+@dataclass(frozen=True)
+class QualityConfig:
+    """Signal quality: limits in dB, percent of time and multiples of the reference amplitude."""
+    window_s: float = 4.0
+    scale_band: tuple[float, float] = (15.0, 70.0)
+    line_hz: float = 50.0
+    line_db: float = 10.0
+    line_intermittent_pct: float = 10.0
+    low_snr_db: float = 26.0
+    min_snr_db: float = 12.0
+    attenuation_ratio: float = 3.0
 
 
 @dataclass(frozen=True)
 class CleanConfig:
+    """Outlier limits: fixed ones, or automatic ones that give way to them when they flag too much."""
+    use_fixed: bool = True
     k: float = 10.0
     switch_pct: float = 0.1
     fixed: tuple[float, float] = (-2500.0, 2500.0)
     mains_hz: float = 50.0
     harmonics: int = 1
-    halfwidth_hz: float = 1.0
+    halfwidth_hz: float = 2.0
 
 
 def band_limits(cfg: SustainedConfig) -> tuple[float, float, bool]:

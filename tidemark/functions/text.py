@@ -8,14 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: unit spelling after lower/trim and micro sign -> factor to microvolts
-UNIT_SCALES = {"uv": 1.0, "mv": 1000.0, "v": 1000000.0, "nv": 0.001}
+UNIT_SCALES = {"uv": 1.0, "microv": 1.0, "mv": 1000.0, "v": 1000000.0}
 
 # fixed values: comment spellings -> the four categories
 COMMENT_SYNONYMS = {
     "iids": "IIDs", "iid": "IIDs",
-    "disconnect": "disconnect", "disconnection": "disconnect",
+    "disconnect": "disconnect", "disconnected": "disconnect", "disconnection": "disconnect",
     "grooming": "grooming/scratching", "scratching": "grooming/scratching", "grooming/scratching": "grooming/scratching",
-    "other": "other",
+    "grooming / scratching": "grooming/scratching", "grooming-scratching": "grooming/scratching", "scratching/grooming": "grooming/scratching",
+    "other": "other", "others": "other",
 }
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.islands import islands
 from tidemark.operators.scan import last_known, lead, ordered_scan, running_sum
+from tidemark.session import settle
 
 
 def positive(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -61,24 +62,24 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], slice_by="auto") -
 
 def overlap_length(rows: DataFrame, cover: DataFrame, keys: Sequence[str], out: str = "overlap",
                    lo: str = "lo", hi: str = "hi", slice_by="auto") -> DataFrame:
-    """Add to every row the length of its own interval lying inside union(cover).
+    """Add to every row the length of its own interval lying inside union(cover); equal rows stay apart.
 
-    Rows must be distinct (carry an id): the two ends of an interval meet again by the whole row."""
+    The two ends of an interval meet again by a row number."""
     cover = union(cover, keys, slice_by)
     marks = cover.select(*keys, F.inline(F.array(
         F.struct(F.col("lo").alias("_t"), (-F.col("lo")).alias("_d"), F.lit(1).alias("_s")),
         F.struct(F.col("hi").alias("_t"), F.col("hi").alias("_d"), F.lit(-1).alias("_s")))),
         F.lit(0).alias("_o"))
-    tagged = rows.withColumn("_rid", F.struct(*rows.columns))
+    tagged = settle(rows.select("*", F.struct(*rows.columns).alias("_row")).withColumn("_rid", F.monotonically_increasing_id()))
     asks = tagged.select(*keys, F.inline(F.array(
         F.struct(F.col(lo).alias("_t"), F.lit(-1).alias("_o")),
-        F.struct(F.col(hi).alias("_t"), F.lit(1).alias("_o")))), "_rid")
+        F.struct(F.col(hi).alias("_t"), F.lit(1).alias("_o")))), "_rid", "_row")
     walked = ordered_scan(marks.unionByName(asks, allowMissingColumns=True), keys, ["_t", "_o"],
                           [running_sum("_sum", "_d"), running_sum("_deep", "_s")], slice_by)
     at = F.col("_sum") + F.col("_deep") * F.col("_t")
-    part = walked.where("_rid IS NOT NULL").groupBy(F.col("_rid")).agg(F.sum(F.col("_o") * at).alias(out))
-    usable = F.col(f"_rid.{hi}") > F.col(f"_rid.{lo}")
-    return part.select("_rid.*", F.when(usable, F.col(out)).otherwise(F.lit(0)).alias(out))
+    part = walked.where("_rid IS NOT NULL").groupBy("_rid").agg(F.first("_row").alias("_row"), F.sum(F.col("_o") * at).alias(out))
+    usable = F.col(f"_row.{hi}") > F.col(f"_row.{lo}")
+    return part.select("_row.*", F.when(usable, F.col(out)).otherwise(F.lit(0)).alias(out))
 
 
 def contains(points: DataFrame, cover: DataFrame, keys: Sequence[str], t: str, out: str = "inside",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import signal as sg
+from tidemark.config import QualityConfig
 from tidemark.operators.quantiles import exact_median, exact_percentiles
 
 
@@ -99,19 +100,20 @@ def notch_active(mode: Column, quality: Column) -> Column:
     return F.when(mode == "on", True).when(mode == "auto", F.coalesce(quality.isin("line_contaminated", "low_amplitude+line"), F.lit(False))).otherwise(False)
 
 
-def suggested_case(df: DataFrame, region: str, value: str, line: Column, reference: DataFrame | None = None, *, factor: float = 3.0,
-                   line_db: float = 26.0, slice_by="auto") -> DataFrame:
-    """Suggest a case from the amplitude against the region's reference, or its median when at least two
-    channels share the region."""
+def suggested_case(df: DataFrame, region: str, value: str, snr: Column, line_db: Column, pct_line: Column, quality: Column,
+                   reference: DataFrame | None = None, limits: QualityConfig = QualityConfig(), slice_by="auto") -> DataFrame:
+    """Suggest a case: unusable channels first, then low amplitude (against the region's reference, or its median
+    when at least two channels share the region, or by the signal-to-quantisation ratio) and mains."""
     med = exact_median(df, [region], value, "_med", slice_by)
     n = df.groupBy(region).agg(F.count(F.lit(1)).alias("_n"))
     base = med.join(n, region).withColumn("_base", F.when(F.col("_n") >= 2, F.col("_med")))
     x = df.join(base.select(region, "_base"), region, "left")
     if reference is not None:
         x = x.join(reference.select(region, F.col("reference").alias("_r")), region, "left").withColumn("_base", F.coalesce("_r", "_base")).drop("_r")
-    low = F.col(value) * factor < F.col("_base")
-    noisy = line > line_db
-    case = F.when(low & noisy, "attenuated+line").when(low, "attenuated").when(noisy, "line").otherwise("normal")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    low = yes(F.col(value) * limits.attenuation_ratio < F.col("_base")) | yes(snr < limits.low_snr_db)
+    noisy = yes(line_db > limits.line_db) | yes(pct_line > limits.line_intermittent_pct)
+    case = (F.when(quality == "unusable", "unusable").when(low & noisy, "both").when(low, "attenuated").when(noisy, "line").otherwise("normal"))
     return x.withColumn("suggested_case", case).drop("_base")
 
 

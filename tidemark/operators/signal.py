@@ -7,6 +7,7 @@ spreads over its chunks; numpy works on one chunk plus a bounded halo.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
@@ -175,7 +176,12 @@ def moving(chunks: DataFrame, keys: Sequence[str], k: int, kind: str = "mean", o
     return block_apply(chunks, keys, run, max(back, ahead) + (1 if pre else 0), out, value)
 
 
-def energy(chunks: DataFrame, keys: Sequence[str], window: int, power: float = 4.0, hilbert_half: int = 128) -> DataFrame:
+def hilbert_half(fs: float, lower: float) -> int:
+    """Half-length of a Hilbert transformer whose transition at 0 Hz is over at half the band's lower edge."""
+    return math.ceil(3.3 * fs / lower)
+
+
+def energy(chunks: DataFrame, keys: Sequence[str], window: int, power: float = 4.0, hilbert_half: int = 338) -> DataFrame:
     """Moving mean of |analytic signal|^power; the analytic signal by an FIR Hilbert transformer."""
     taps = hilbert_taps(hilbert_half)
     env = block_apply(chunks, keys, lambda x, a, b: np.hypot(x[a:b], convolve_at(x, taps, a, b)) ** power, hilbert_half, "power")
@@ -220,13 +226,14 @@ def robust_stats(samples: DataFrame, keys: Sequence[str], x: str = "x", slice_by
 
 
 def outlier_limits(stats: DataFrame, samples: DataFrame, keys: Sequence[str], k: float, switch_pct: float, fixed: tuple[float, float],
-                   x: str = "x") -> DataFrame:
-    """Automatic limits median +- k MAD, or the fixed ones when the automatic ones flag too much."""
+                   x: str = "x", use_fixed: bool = False) -> DataFrame:
+    """Automatic limits median +- k MAD, or the fixed ones when the automatic ones flag too much (with
+    ``use_fixed`` always); ``pct_flagged`` is the share the automatic ones flag."""
     keys = list(keys)
     auto = stats.select(*keys, (F.col("median") - k * F.col("mad")).alias("_lo"), (F.col("median") + k * F.col("mad")).alias("_hi"))
     out = (F.col(x) < F.col("_lo")) | (F.col(x) > F.col("_hi"))
     share = samples.join(auto, keys).groupBy(*keys).agg((100 * F.avg(out.cast("double"))).alias("pct_flagged"))
-    is_fixed = F.col("pct_flagged") > switch_pct
+    is_fixed = F.lit(use_fixed) | (F.col("pct_flagged") > switch_pct)
     return auto.join(share, keys).select(
         *keys, "pct_flagged", F.when(is_fixed, F.lit(fixed[0])).otherwise(F.col("_lo")).alias("lower"),
         F.when(is_fixed, F.lit(fixed[1])).otherwise(F.col("_hi")).alias("upper"),
@@ -389,7 +396,7 @@ def band_power(f: np.ndarray, p: np.ndarray, lo: float, hi: float) -> float:
     return float(np.trapezoid(p[m], f[m])) if m.sum() > 1 else 0.0
 
 
-def window_spectra(chunks: DataFrame, keys: Sequence[str], fs: float, window: int, scale_band=(5.0, 75.0),
+def window_spectra(chunks: DataFrame, keys: Sequence[str], fs: float, window: int, scale_band=(15.0, 70.0),
                    line: float = 50.0) -> DataFrame:
     """Windows with half overlap inside each block: ``n`` (first sample), scale-band power without the
     mains band, and mains-to-neighbour ratio in dB.  A window belongs to the chunk it starts in."""

@@ -24,14 +24,15 @@ _FAN = 32
 _PROBES = 1023  # quantiles that the first look at a column takes
 
 
-def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
-    """The input ready to be read several times, and its slice expression."""
+def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column | None]:
+    """The input ready to be read several times, and its slice expression (None if all its rows fit one slice)."""
     df = settle(df)
     return df, slice_of(df, column)
 
 
-def slice_of(df: DataFrame, column: str, target_rows: int | None = None) -> Column:
-    """Slice expression over ``column`` with about ``target_rows`` rows a slice (one slice for fewer rows).
+def slice_of(df: DataFrame, column: str, target_rows: int | None = None) -> Column | None:
+    """Slice expression over ``column`` with about ``target_rows`` rows a slice; None if there are no more
+    rows than that, counted, so that no key can have more.
 
     Costs one pass over that column for its count and quantile sketch, a second one beyond
     ``_PROBES * target_rows`` rows.  The driver holds the cuts only, one per ``target_rows`` rows.
@@ -41,6 +42,8 @@ def slice_of(df: DataFrame, column: str, target_rows: int | None = None) -> Colu
     probes = [i / (_PROBES + 1) for i in range(1, _PROBES + 1)]
     n, sketch = values.agg(F.count(F.lit(1)), F.percentile_approx("v", probes, 4 * (_PROBES + 1))).first()
     parts = math.ceil(n / target_rows)
+    if parts < 2:
+        return None
     if parts <= _PROBES + 1:
         cuts = [sketch[i * (_PROBES + 1) // parts - 1] for i in range(1, parts)]
     else:

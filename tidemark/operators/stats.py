@@ -18,9 +18,11 @@ from tidemark.session import settle
 
 
 def rate_ratio(df: DataFrame, n1: str, e1: str, n0: str, e0: str, alpha: float = 0.05) -> DataFrame:
-    """Poisson rate ratio with the exact conditional interval and two-sided p; NULL without exposure."""
+    """Poisson rate ratio with the exact conditional interval and two-sided p; NULL without exposure or events,
+    infinite without events in the second rate."""
     usable = (F.col(n1) + F.col(n0) > 0) & (F.col(e1) > 0) & (F.col(e0) > 0)
-    rr = F.when(usable, F.try_divide(F.col(n1) / F.col(e1), F.col(n0) / F.col(e0)))
+    ratio = F.when(F.col(n0) == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col(n1) / F.col(e1), F.col(n0) / F.col(e0)))
+    rr = F.when(usable, ratio)
     test = ratio_interval(alpha)(F.col(n1), F.col(e1), F.col(n0), F.col(e0))
     return df.withColumn("rr", rr).withColumn("_t", test).select("*", "_t.ci_lo", "_t.ci_hi", "_t.p").drop("_t")
 

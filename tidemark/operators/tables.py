@@ -114,9 +114,11 @@ def checks(items: Sequence[tuple[str, DataFrame, bool]]) -> DataFrame:
 
 
 def decided(flags: DataFrame, decisions: DataFrame, topic: str, detail: str) -> DataFrame:
-    """Attach the recorded decision whose topic and detail prefix match; 'open' without one."""
-    d = decisions.select(F.col(topic), F.col("prefix"), F.col("decision"))
-    hit = flags.join(d, topic, "left").withColumn("_ok", F.col(detail).startswith(F.col("prefix")))
-    best = hit.groupBy(*flags.columns).agg(F.max_by("decision", F.when(F.col("_ok"), F.length("prefix"))).alias("decision"))
-    return best.withColumn("decision", F.coalesce("decision", F.lit("open")))
-
+    """Attach to every flag the decision recorded for its topic and the longest prefix of its detail; 'open' without one."""
+    d = decisions.select(F.col(topic), F.col("prefix"), F.col("decision"), F.length("prefix").alias("_n"))
+    lengths = [r["_n"] for r in d.select("_n").where("_n IS NOT NULL").distinct().collect()]  # as many as prefix lengths
+    rows = flags.select(F.struct("*").alias("_row"), F.col(topic), F.col(detail).alias("_detail")).withColumn("_rid", F.monotonically_increasing_id())
+    tries = rows.withColumn("_n", F.explode_outer(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).withColumn("prefix", F.substring("_detail", F.lit(1), F.col("_n")))
+    hit = tries.join(d, [topic, "_n", "prefix"], "left")
+    best = hit.groupBy("_rid").agg(F.first("_row").alias("_row"), F.max_by("decision", F.when(F.col("decision").isNotNull(), F.col("_n"))).alias("decision"))
+    return best.select("_row.*", F.coalesce("decision", F.lit("open")).alias("decision"))

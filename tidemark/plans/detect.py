@@ -23,7 +23,7 @@ CHANNEL = ["channel_id"]
 def clean(chunks: DataFrame, cfg: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:
     """Outlier removal by channel limits, interpolated inside blocks; returns chunks and limits."""
     s = sg.to_samples(chunks, BLOCK)
-    limits = durable(sg.outlier_limits(sg.robust_stats(s, CHANNEL), s, CHANNEL, cfg.k, cfg.switch_pct, cfg.fixed))
+    limits = durable(sg.outlier_limits(sg.robust_stats(s, CHANNEL), s, CHANNEL, cfg.k, cfg.switch_pct, cfg.fixed, use_fixed=cfg.use_fixed))
     return sg.clean_chunks(chunks, BLOCK, limits, CHANNEL), limits
 
 
@@ -42,7 +42,7 @@ def traces(chunks: DataFrame, fs: float, cfg: SustainedConfig = SustainedConfig(
     a = F.greatest(F.col("first_n") - F.col("n0"), F.lit(0))
     b = F.least(F.col("last_n") - F.col("n0") + 1, F.size("samples").cast("long"))
     inner = inner.where(b > a).select(*BLOCK, "chunk_ix", (F.col("n0") + a).alias("n0"), F.slice("samples", (a + 1).cast("int"), (b - a).cast("int")).alias("samples"))
-    both = sg.line_length(sg.energy(inner, BLOCK, round(cfg.window_s * fs), cfg.power), BLOCK, round(cfg.ll_window_s * fs))
+    both = sg.line_length(sg.energy(inner, BLOCK, round(cfg.window_s * fs), cfg.power, sg.hilbert_half(fs, cfg.band[0])), BLOCK, round(cfg.ll_window_s * fs))
     both = durable(both)
     s = sg.to_samples(both, BLOCK, ["energy", "line_length"])
     th = sg.global_threshold(s, CHANNEL, "energy", cfg.median_factor).join(exact_median(s, CHANNEL, "line_length", "ll_median"), CHANNEL)

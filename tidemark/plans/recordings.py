@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import CleanConfig, SustainedConfig, TransientConfig
+from tidemark.config import CleanConfig, QualityConfig, SustainedConfig, TransientConfig
 from tidemark.operators import events as ev
 from tidemark.operators import quality as ql
 from tidemark.operators import signal as sg
@@ -22,19 +22,20 @@ from tidemark.sources import edf
 SESSION = ["source_file"]
 
 
-def quality(chunks: DataFrame, manifest: DataFrame, fs: float, window_s: float = 4.0, line_db: float = 10.0) -> DataFrame:
-    """One row per channel: amplitude, mains, quantisation, flat share and the quality class."""
+def quality(chunks: DataFrame, manifest: DataFrame, fs: float, limits: QualityConfig = QualityConfig()) -> DataFrame:
+    """One row per channel: amplitude, mains, quantisation, flat and clipped share and the quality class."""
     ch = detect.CHANNEL
-    spectra = ql.spectral_quality(sg.window_spectra(chunks, detect.BLOCK, fs, round(window_s * fs)), ch, line_db)
+    spectra = ql.spectral_quality(sg.window_spectra(chunks, detect.BLOCK, fs, round(limits.window_s * fs), limits.scale_band, limits.line_hz), ch, limits.line_db)
     s = sg.to_samples(chunks, detect.BLOCK)
     flat = sg.chunk_flat_fraction(chunks, detect.BLOCK, round(0.5 * fs), ch)
     step = sg.quantisation_step(s, ch)
-    out = manifest.join(spectra, ch, "left").join(flat, ch, "left").join(step, ch, "left")
+    clipped = sg.clipped_share(s, manifest.select(*ch, "phys_min", "phys_max").join(step, ch), ch)
+    out = manifest.join(spectra, ch, "left").join(flat, ch, "left").join(step, ch, "left").join(clipped, ch, "left")
     snr = ql.snr_db(F.col("sigma_band"), F.col("step"))
     out = out.withColumn("snr_quantisation_db", snr)
     return out.withColumn("quality_class", ql.quality_class(
-        F.col("snr_quantisation_db"), F.col("line_ratio_db"), F.col("pct_time_line_high"), F.col("flat_fraction"), F.lit(None).cast("double"),
-        min_snr=6.0, low_snr=20.0, line_limit=line_db, intermittent=20.0))
+        F.col("snr_quantisation_db"), F.col("line_ratio_db"), F.col("pct_time_line_high"), F.col("flat_fraction"), F.col("pct_clipped"),
+        min_snr=limits.min_snr_db, low_snr=limits.low_snr_db, line_limit=limits.line_db, intermittent=limits.line_intermittent_pct))
 
 
 def run(binary: DataFrame, regions: DataFrame, fs: float, sustained: SustainedConfig = SustainedConfig(), transient: TransientConfig = TransientConfig(),

@@ -132,12 +132,14 @@ def placed(rec: DataFrame, tol: float = 1e-3, min_gap: float = 0.5) -> DataFrame
 
 
 def manifest(p: DataFrame) -> DataFrame:
-    """Channel manifest with the exact duration identity valid + gaps = total."""
+    """Channel manifest with the exact duration identity valid + gaps = total; physical limits in microvolts."""
+    scale = unit_scale(F.col("unit"))[0]
     key = ["source_file", "channel_label"]
     jump = F.when(F.col("kind") == "gap", F.round(F.col("deviation_s") * F.col("fs"))).otherwise(0).cast("long")
     g = p.groupBy(*key).agg(F.first("fs").alias("fs"), F.sum(F.size("samples")).alias("n_valid_samples"), F.sum(jump).alias("_gap"),
                             F.count_if(F.col("kind") == "gap").alias("n_gaps"), F.count_if(F.col("kind") == "jitter").alias("n_jitter"),
-                            F.count_if(F.col("kind") == "anomaly").alias("n_anomaly"), F.first("unit").alias("units"), F.bool_and("unit_recognised").alias("unit_recognised"))
+                            F.count_if(F.col("kind") == "anomaly").alias("n_anomaly"), F.first("unit").alias("units"), F.bool_and("unit_recognised").alias("unit_recognised"),
+                            F.first(F.col("phys_min") * scale).alias("phys_min"), F.first(F.col("phys_max") * scale).alias("phys_max"))
     n = F.col("n_valid_samples") + F.col("_gap")
     return g.withColumns({"n_samples": n, "total_duration_s": n / F.col("fs"), "valid_duration_s": F.col("n_valid_samples") / F.col("fs")}).drop("_gap")
 

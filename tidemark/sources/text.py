@@ -21,11 +21,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def signal_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``path, headers`` from the '# key = value' lines; any key is kept."""
+    """``path, headers`` from the '# key = value' lines; any key is kept, the last line of a repeated one wins."""
     pat = r"^#\s*([^=]+?)\s*=\s?(.*)$"
-    kv = spark.read.text(path).where(F.col("value").startswith("#")).select(
-        F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", pat, 1).alias("k"), F.trim(F.regexp_extract("value", pat, 2)).alias("v")).where("k <> ''")
-    one = kv.groupBy("path", "k").agg(F.max("v").alias("v"))
+    kv = lines(spark, path).where(F.col("value").startswith("#")).select(
+        "path", F.struct("split", "pos").alias("at"), F.regexp_extract("value", pat, 1).alias("k"), F.trim(F.regexp_extract("value", pat, 2)).alias("v")).where("k <> ''")
+    one = kv.groupBy("path", "k").agg(F.max_by("v", "at").alias("v"))
     return one.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("headers"))
 
 

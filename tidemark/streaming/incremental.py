@@ -12,10 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str,
            transform: Callable[[DataFrame], DataFrame] = lambda df: df, files_per_trigger: int = 64):
-    """Process only files that are new, once each: file source, checkpoint, and a sink that replaces the
-    partitions of a batch - a repeated batch writes the same result."""
-    def write(batch: DataFrame, _: int) -> None:
-        (transform(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(target))
+    """Process only files that are new, once each: file source, checkpoint, and a sink partitioned by ``key``
+    and batch - a repeated batch replaces its own partitions with the same rows and no others."""
+    def write(batch: DataFrame, number: int) -> None:
+        (transform(batch).withColumn("_batch", F.lit(number)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(key, "_batch").parquet(target))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
@@ -30,16 +31,16 @@ def sessions(stream: DataFrame, keys: Sequence[str], ts: str, gap: str, late: st
 
 def gap_events(stream: DataFrame, key: str, key_type: str, onset: str, duration: str, tol: float, min_gap: float) -> DataFrame:
     """Online gap detector: the state of a recording is the onset it expects next.  Records must arrive in
-    order per recording, at most one batch apart."""
+    order per recording from batch to batch; within one they are sorted."""
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expected = state.get[0] if state.exists else None
         rows = []
-        for pdf in batches:
-            for t, d in pdf.sort_values(onset)[[onset, duration]].itertuples(index=False):
-                if expected is not None and abs(t - expected) > tol:
-                    kind = "gap" if t - expected >= min_gap else "anomaly" if t - expected <= -min_gap else "jitter"
-                    rows.append((k[0], expected, t, t - expected, kind))
-                expected = t + d
+        whole = pd.concat([pdf[[onset, duration]] for pdf in batches]).sort_values(onset)
+        for t, d in whole.itertuples(index=False):
+            if expected is not None and abs(t - expected) > tol:
+                kind = "gap" if t - expected >= min_gap else "anomaly" if t - expected <= -min_gap else "jitter"
+                rows.append((k[0], expected, t, t - expected, kind))
+            expected = t + d
         state.update((float(expected),))
         yield pd.DataFrame(rows, columns=["key", "start_s", "end_s", "deviation_s", "kind"])
 
