@@ -7,6 +7,11 @@ regression is solved on a bounded sample: at most about ``PER_LANGUAGE`` labelle
 ``LANGUAGES`` most frequent languages, ``LANDMARKS`` of them landmarks.  Every whole text is scored by batched products
 of its presence rows with the landmarks' rows and the coefficients.
 
+Whether a text is in any learned language is told by its letters, not by the score (a text that shares nothing with the
+landmarks scores 0.5): the share of letters whose trigram the learned languages know, in words without a digit.  The
+least share is ``KNOWN_SHARE`` of the median over the sample, each text measured without its own trigrams; short texts
+are given two standard errors.
+
 Null texts and texts without a letter are ``und`` with score 0, as is every text when nothing could be learned.
 Equal scores go to the language first in alphabetical order.  Repeated rows are predicted alike.
 """
@@ -25,6 +30,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import chance, wide
 
 PER_LANGUAGE, LANGUAGES, LANDMARKS = 400, 64, 256
+KNOWN_SHARE = 0.7
 SLOTS = 176
 _SIZES = (SLOTS, SLOTS**2, SLOTS**3)
 _BLOCK = 64
@@ -60,17 +66,39 @@ def ngrams(text: str) -> np.ndarray:
     return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
+def letters(text: str) -> np.ndarray:
+    """The trigram around every letter, as numbers below ``SLOTS ** 3``; other characters and words with a digit are blanks."""
+    slots = _slots()
+    if "kinds" not in _state:
+        _state["kinds"] = np.frombuffer(bytes(c.isalpha() + 2 * c.isdigit() + 4 * c.isspace() for c in map(chr, range(0x110000))), np.uint8)
+    out = [np.zeros(0, np.int32)]
+    span = 1 << 20
+    for begin in range(0, len(text), span):
+        cp = np.frombuffer(text[begin:begin + span].lower().encode("utf-32-le", "replace"), np.uint32)
+        kind = _state["kinds"][cp]
+        word = np.cumsum(kind & 4 > 0)
+        numbered = np.zeros(len(cp) + 1, bool)
+        numbered[word[kind & 2 > 0]] = True
+        c = np.zeros(len(cp) + 2, np.int32)
+        c[1:-1] = np.where((kind & 1 > 0) & ~numbered[word], slots[cp], 0)
+        out.append(((c[:-2] * SLOTS + c[1:-1]) * SLOTS + c[2:])[c[1:-1] > 0])
+    return np.concatenate(out)
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
 @dataclass
 class Model:
-    """``rows``: presence of each n-gram of the landmarks (n-grams x landmarks), scaled; ``weights``: landmarks x languages."""
+    """``rows``: presence of each n-gram of the landmarks (n-grams x landmarks), scaled; ``weights``: landmarks x languages;
+    ``known``: letter trigrams of the languages; ``least``: share of them below which a text is in none."""
     languages: list[str]
     grams: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
+    known: np.ndarray
+    least: float
 
 
 def _presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
@@ -83,6 +111,23 @@ def _presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
+def _known(found: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Letter trigrams in more than a hundredth of a language's sampled texts, and the least share; ``found``: trigrams of each text and their counts."""
+    ways, only = np.zeros(SLOTS**3, np.int32), []
+    for k in range(target.max() + 1):
+        own = [found[i][0] for i in np.flatnonzero(target == k)]
+        grams, texts = np.unique(np.concatenate(own), return_counts=True)
+        need = 1 + len(own) // 100
+        ways[grams[texts >= need]] += 1
+        only.append(grams[texts == need])  # not known without one of these texts
+    shares, lost = [], np.zeros(SLOTS**3, bool)
+    for k, edge in enumerate(only):
+        lost[edge] = True
+        shares += [counts[ways[grams] > lost[grams]].sum() / counts.sum() for grams, counts in (found[i] for i in np.flatnonzero(target == k)) if len(grams)]
+        lost[edge] = False
+    return np.flatnonzero(ways).astype(np.int32), KNOWN_SHARE * float(np.median(shares)) if shares else 0.0
+
+
 def learn(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str = "text", label: str = "lang", ridge: float = 1e-3,
           per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """Fit on a sample of the ``usable`` labelled rows, chosen by a hash of id and text."""
@@ -97,16 +142,20 @@ def learn(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [(ngrams(t).astype(np.int32).tobytes(), n) for t, n in zip(texts, names, strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], ["grams", "label"])
-
-    sample = sorted(((r["label"], bytes(r["grams"])) for r in chosen.mapInArrow(sets, "grams binary, label string").collect()),
-                    key=lambda x: (x[0], x[1][-32:], x[1]))
-    languages = sorted({name for name, _ in sample})
+            found = [(ngrams(t).astype(np.int32).tobytes(), n, *(x.astype(np.int32).tobytes() for x in np.unique(letters(t), return_counts=True)))
+                     for t, n in zip(texts, names, strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.string(), pa.binary(), pa.binary()))],
+                                             ["grams", "label", "letters", "times"])
+
+    sample = sorted(((r["label"], bytes(r["grams"]), bytes(r["letters"]), bytes(r["times"]))
+                     for r in chosen.mapInArrow(sets, "grams binary, label string, letters binary, times binary").collect()),
+                    key=lambda x: (x[0], x[1][-32:], *x[1:]))
+    languages = sorted({x[0] for x in sample})
     if not languages:
         return None
-    grams = [np.sort(np.frombuffer(g, np.int32).astype(np.int64)) for _, g in sample]
-    target = np.array([languages.index(name) for name, _ in sample])
+    grams = [np.sort(np.frombuffer(x[1], np.int32).astype(np.int64)) for x in sample]
+    target = np.array([languages.index(x[0]) for x in sample])
+    known, least = _known([(np.frombuffer(x[2], np.int32), np.frombuffer(x[3], np.int32)) for x in sample], target)
     each = max(2, landmarks // len(languages))
     marks = np.concatenate([np.flatnonzero(target == k)[:each] for k in range(len(languages))])
     vocabulary = np.unique(np.concatenate([grams[i] for i in marks]))
@@ -116,11 +165,12 @@ def learn(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str
     goal = np.where(target[:, None] == np.arange(len(languages)), 1.0, -1.0)
     left = kernel.T @ kernel + ridge * len(grams) * (among + among.T) / 2 + 1e-6 * len(grams) * np.eye(len(marks))
     weights = np.linalg.solve(left, kernel.T @ goal)
-    return Model(languages, vocabulary, np.ascontiguousarray(landmark_rows.T), weights.astype(np.float32))
+    return Model(languages, vocabulary, np.ascontiguousarray(landmark_rows.T), weights.astype(np.float32), known, least)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep``, ``lang_pred`` and ``score`` (0 to 1) for every row."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", reject: bool = False) -> DataFrame:
+    """Columns ``keep``, ``lang_pred`` and ``score`` (0 to 1) for every row; with ``reject``, texts in none of the languages learned
+    are ``und`` with score 0 too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +179,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
         if m is not None:
             table = np.full(sum(_SIZES), -1, np.int32)
             table[m.grams] = np.arange(len(m.grams))
+            known = np.zeros(SLOTS**3, bool)
+            known[m.known] = True
         for batch in batches:
             column = batch.column(0)
             names, scores = ["und"] * len(column), np.zeros(len(column))
@@ -138,6 +190,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
                 told = []
                 for k, t in enumerate(texts):
                     if has_letter(t):
+                        if reject and len(own := letters(t)) and known[own].mean() + 2 * np.sqrt(m.least * (1 - m.least) / len(own)) < m.least:
+                            continue
                         grams = ngrams(t)
                         at = table[grams]
                         present[k, at[at >= 0]] = 1 / np.sqrt(len(grams))
