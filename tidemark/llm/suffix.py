@@ -13,6 +13,10 @@ next two are ranked together, as the pair of the names of ``2 w`` bytes and of t
 occurs twice is repeated altogether.  Where a stretch is unique although its ``2 w`` bytes are not - the ends of
 repeated passages - the last doubling to ``threshold`` ranks each of its positions.
 
+With ``words``, runs of so many words that start anywhere else go too, whatever their length in bytes and the blanks in
+between: each text becomes the ``WORD`` byte hashes of its words, the same search runs over these, and of what it finds
+only whole words count.
+
 Null texts are empty; texts shorter than the threshold lose nothing.  Repeated rows are occurrences of their own, so
 they remove each other.  Texts of any length are worked through in pieces.
 """
@@ -28,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import PIECE, buffers, mix, pieces, powers, prefix_hash, wide, written
+from tidemark.llm.common import PIECE, buffers, mix, pieces, powers, prefix_hash, span_hashes, wide, word_spans, written
 from tidemark.llm.sketch import BITS, count_levels, level_of
 
 KEY_BITS = 24
+WORD = 4
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -123,6 +128,21 @@ def repeated_spans(docs: DataFrame, threshold: int, bits: int = BITS) -> DataFra
     return written(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
+def word_names(docs: DataFrame) -> DataFrame:
+    """``docs(key, text)`` with the hashes of the words, ``WORD`` bytes each, in place of the text."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, offsets = buffers(batch.column(1))
+            for i, j in pieces(offsets):
+                part, own = b[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+                starts, ends = word_spans(part, own[:-1])
+                names = (span_hashes(part, starts, ends) >> np.uint64(32)).astype(np.uint32)
+                cuts = np.searchsorted(starts, own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([names[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["key", "text"])
+
+    return wide(docs).mapInArrow(rows, "key long, text binary")
+
+
 def among(docs: DataFrame, keys: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs(key, ...)`` whose key may be among ``keys``, and those whose key surely is not, by a table of fixed size."""
     def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -196,12 +216,17 @@ def repeated_positions(positions: DataFrame, bits: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 400, id_column: str = "doc_id", text: str = "text", columns: list[str] | None = None,
-                   kept: bool = False, bits: int = BITS) -> DataFrame:
+                   kept: bool = False, bits: int = BITS, words: int | None = None) -> DataFrame:
     """For every row its ``columns`` (the id by default), ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; with ``kept`` the
-    remaining bytes as text (a character cut in two is left out)."""
+    remaining bytes as text (a character cut in two is left out).  ``words``: repeated runs of so many words are removed as well."""
     names, measures = [id_column] if columns is None else columns, MEASURES[:4 + kept]
     key = F.xxhash64(F.col(id_column).cast("string"), text).alias("key")
-    spans = repeated_spans(docs.select(key, F.col(text).alias("text")), threshold, bits)
+    texts = docs.select(key, F.col(text).alias("text"))
+    spans = repeated_spans(texts, threshold, bits)
+    if words:
+        runs = repeated_spans(word_names(texts), words * WORD, bits)
+        spans = written(spans.join(runs.withColumnRenamed("spans", "runs"), "key", "full"), "both")
+    marks = spans.columns[1:]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,6 +238,13 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_column: str = "doc_
                     m = batch.column(1)[k].values
                     np.add.at(level, m.field(0).to_numpy(), 1)
                     np.add.at(level, m.field(1).to_numpy(), -1)
+                if words and batch.column(2)[k].is_valid:
+                    m = batch.column(2)[k].values
+                    first, last = -(-m.field(0).to_numpy() // WORD), m.field(1).to_numpy() // WORD - 1
+                    whole = last - first + 1 >= words
+                    starts, ends = word_spans(b, np.zeros(1, np.int64))
+                    np.add.at(level, starts[first[whole]], 1)
+                    np.add.at(level, ends[last[whole]], -1)
                 gone = np.cumsum(level)[:len(b)] > 0
                 left = b[~gone].tobytes()
                 edges = np.diff(gone.astype(np.int8), prepend=0)
@@ -220,12 +252,13 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_column: str = "doc_
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[:4 + kept]
             arrays = [pa.array(v, t) for v, t in zip(out, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), *arrays], ["rest_", *measures])
+            yield pa.RecordBatch.from_arrays([batch.column(1 + len(marks)), *arrays], ["rest_", *measures])
 
     rows = docs.select(key, F.col(text).alias("text_"), F.struct(*names).alias("rest_"))
     fields = [T.StructField(c, T.StringType() if c.startswith("kept") else T.LongType()) for c in measures]
     some, none = among(rows, spans.select("key"), bits)
-    marked = some.join(spans, "key", "left").select("text_", "spans", "rest_").unionByName(none.select("text_", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "rest_"))
+    unmarked = [F.lit(None).cast(spans.schema["spans"].dataType).alias(c) for c in marks]
+    marked = some.join(spans, "key", "left").select("text_", *marks, "rest_").unionByName(none.select("text_", *unmarked, "rest_"))
     cleaned = marked.mapInArrow(cut, T.StructType([rows.schema["rest_"], *fields]))
     return cleaned.select(*[F.col("rest_")[c].alias(c) for c in names], *measures)
 
