@@ -3,8 +3,9 @@
 A text is the set of its character 1- to 3-grams (a blended spectrum of presence bits) over lower-cased code points;
 code points beyond ASCII share ``SLOTS - 95`` hashed slots.  The kernel of two texts is the number of shared n-grams
 over the root of the product of their set sizes.  Nystroem landmarks are sampled texts; one-versus-rest kernel ridge
-regression is solved on a bounded sample: at most about ``PER_LANGUAGE`` labelled texts of each of the
-``LANGUAGES`` most frequent languages, ``LANDMARKS`` of them landmarks.  Every whole text is scored by batched products
+regression is solved on a bounded sample of every language that is labelled: about ``PER_LANGUAGE`` texts of each, fewer
+(but ``FEW`` or all it has) of each beyond ``LANGUAGES`` languages; ``LANDMARKS`` of them are landmarks, two a language
+at least.  Sample and model grow with the number of languages, not with the rows.  Every whole text is scored by batched products
 of its presence rows with the landmarks' rows and the coefficients.
 
 Whether a text is in any learned language is told by its letters, not by the score (a text that shares nothing with the
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import chance, wide
 
-PER_LANGUAGE, LANGUAGES, LANDMARKS = 400, 64, 256
+PER_LANGUAGE, LANGUAGES, LANDMARKS, FEW = 400, 64, 256, 32
 KNOWN_SHARE = 0.7
 SLOTS = 176
 _SIZES = (SLOTS, SLOTS**2, SLOTS**3)
@@ -131,13 +132,15 @@ def _known(found: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tu
 def learn(docs: DataFrame, usable: Column, id_column: str = "doc_id", text: str = "text", label: str = "lang", ridge: float = 1e-3,
           per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """Fit on a sample of the ``usable`` labelled rows, chosen by a hash of id and text."""
-    rows = (docs.where(usable & F.col(label).isNotNull() & (F.length(text) > 0))
+    rows = (docs.where(usable & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
                 .select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.col(id_column).alias("id")))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("id", "text")).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, per_language / n))])
-    chosen = rows.where(chance("id", "text") < share[F.col("label")]).limit(4 * per_language * len(counts))
+    each = min(per_language, max(FEW, per_language * LANGUAGES // len(counts)))
+    large = [F.lit(x) for name, n in sorted(counts.items()) if n > each for x in (name, each / n)]
+    share = F.coalesce(F.create_map(*large)[F.col("label")], F.lit(1.0)) if large else F.lit(1.0)
+    chosen = rows.where(chance("id", "text") < share).distinct()  # repeated rows are chosen together
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
