@@ -162,7 +162,7 @@ def bootstrap_correlation(t):
 def bca_correlation(t):
     """Bias-corrected accelerated interval with a closed-form jackknife."""
     rows = st.indexed(subjects(t), ["one"], ["user_id"])
-    out = st.bca_correlation(rows, ["one"], "x", "y", 200, 3)
+    out = st.bca_correlation(rows, ["one"], "x", "y", 10_000, 3)
     return out.drop("one").withColumns({c: F.round(c, 6) for c in ("r", "ci_lo", "ci_hi")})
 
 
