@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings by winnowed fingerprints: hashes at sampled positions, in place of prefix doubling.
 
 A byte goes if a string of ``threshold`` bytes that covers it also starts anywhere else.  Doubling ranks of every byte
 position would shuffle each byte many times, so it runs over positions sampled by content: each start ``p`` of a
