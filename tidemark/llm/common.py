@@ -40,10 +40,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage, keeps column pruning."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: cuts lineage, keeps column pruning; ``by``: one folder a value."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    (df.write.partitionBy(by) if by else df.write).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

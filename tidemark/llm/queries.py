@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import forest, jaccard, langid, packing, rules, sentencepieces, suffix, tokenfile, warc
+from tidemark.llm import audit, chat, forest, jaccard, langid, packing, rules, runs, sentencepieces, suffix, tokenfile, warc
 from tidemark.llm import secrets as secret_scan
+from tidemark.llm.common import written
 
 #: The public tokenizer files of the token and piece queries, and the longest sequence of the packing query.
 TOKENIZER, PIECES, SEQUENCE = "word_bpe_49k.json", "piece_bpe_32k.model", 2048
@@ -159,3 +160,81 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every text covered by a 400-byte string that also starts elsewhere, removed."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# The planted conversation of the formatting query.
+PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+_PLANTED_SQL = ", ".join(f"({c}, {n}, '{role}', '{text}')" for c, n, role, text in PLANTED)
+_CONTROL_SQL = "(<|\\[)(\\\\*)(/?s>|/?(?:INST|SYS|ROLE)\\]|(?:ANS|SEP)\\])"
+CHAT_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT * FROM (VALUES {_PLANTED_SQL})),
+e AS (SELECT *, role NOT IN ('user', 'system', 'assistant') AS other, regexp_replace(text, '{_CONTROL_SQL}', '\\1\\\\\\2\\3', 'g') AS escaped FROM c),
+n AS (SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 10 ELSE 21 + length(role) END AS marks,
+ CASE WHEN contains(text, CASE role WHEN 'user' THEN ' [/INST]' WHEN 'system' THEN ' [/SYS]' WHEN 'assistant' THEN '</s>' ELSE ' [/ROLE]' END)
+ OR regexp_matches(text, '(<|\\[)\\\\+(/?s>|/?(?:INST|SYS|ROLE)\\]|(?:ANS|SEP)\\])') THEN escaped ELSE text END AS shown FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(3 + sum(marks + length(shown)) AS BIGINT) AS formatted_chars, true AS identical FROM n GROUP BY conv_id"""
+
+
+@query(CHAT_SQL)
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and written, read back by the grammar; ``identical``: the turns are those of the source."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    chats = written(chat.formatted(rows.unionByName(planted)).drop("loss"), "chats")
+    return chat.digests(chat.read(chats)).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256",
+        F.length("formatted").cast("long").alias("formatted_chars"), (F.col("turns_sha256") == F.col("source_sha256")).alias("identical"))
+
+
+AUDIT_SQL = """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ \\t-\\r]+') AS ws FROM d),
+m AS (SELECT w.part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+ + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+ + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+ FROM w LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+g AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM f a, f b, f c, f d, f e WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x)
+ AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT o, step, (1 << (ascii(substr(o, step, 1)) - 65)) AS own, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(o, i, 1)) - 65))), 0)::INT AS before
+ FROM o, unnest(range(1, 6)) AS u(step)),
+r AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0) AS removed,
+ coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+ coalesce(sum(good) FILTER (mask & before = 0 AND mask & own > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own > 0), 0) AS toxic_lost
+ FROM s, g GROUP BY part, o, step, own)
+SELECT part, o AS filter_order, CAST(step AS INT) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+ unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
+@query(AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, repeat and lose in all their orders, by source."""
+    rows, failing = audit.failing_ids(table(spark, sf_dir, "documents"), audit.text_conditions("text"), repeats="E")
+    flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    rows = audit.labelled(rows, table(spark, sf_dir, "labels"), flags)
+    return audit.audit(audit.prefixes(rows, failing, "ABCDE", tuple(flags)), "ABCDE", tuple(flags))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every text; every tenth text (by a hash of its id) is read with a periodic tail."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(audit.WORD), F.lit(1)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    n = F.size("words")
+    docs = docs.select("doc_id", "text", "words", (F.col("g") % F.greatest(n, F.lit(1))).cast("int").alias("a"), "g", n.alias("n"))
+    docs = docs.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    tail = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+    found = runs.periodic_runs(docs, ["doc_id"])
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.signum(y["length"] - x["length"])).when(
+        x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"])).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
