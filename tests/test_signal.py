@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import SustainedConfig, TransientConfig
 from tidemark.operators import signal as sg
+from tidemark.operators import spectra as sp
 from tidemark.operators.peaks import find_peaks, local_maxima
 from tidemark.plans import detect
 
@@ -179,10 +180,10 @@ def test_window_spectra_and_notch_verdict(spark):
     x = np.random.default_rng(1).normal(0, 5, len(t)) + 60 * np.sin(2 * np.pi * 50 * t)
     c = chunked(spark, {("a", 1): (0, x)}, 2048)
     done, skipped = sg.notch(c, BLOCK, [50.0], 1.0, FS)
-    row = detect.verify_notch(c, done, FS).first()
-    assert row.verdict == "applied" and row.raw_db > 15
+    row = sp.verify_notch(c, done, BLOCK, ["channel_id"], FS).first()
+    assert row.verdict == "applied" and row.raw_db > 15 and row.filtered_harmonics == [] and row.lag == 0 and row.lag_r > 0.9
     assert not skipped.first().skipped
-    w = sg.window_spectra(c, BLOCK, FS, 1024)
+    w = sp.window_spectra(c, BLOCK, FS, 1024)
     assert [r.n for r in w.orderBy("n").limit(3).collect()] == [0, 512, 1024]
     assert w.count() == (len(x) - 1024) // 512 + 1
 

@@ -101,7 +101,7 @@ def video_sources(t):
     return cp.reclassify_video(e, t.spans("error"), t.spans("click"), USER).select("event_id", "source")
 
 
-@query("AGG-24 SIG-26", f"WITH {POINTS}, v AS (SELECT * FROM (VALUES ('actual', 10.0), ('fixed_20', 20.0), ('fixed_40', 40.0)) AS v(variant, h)), "
+@query("AGG-24", f"WITH {POINTS}, v AS (SELECT * FROM (VALUES ('actual', 10.0), ('fixed_20', 20.0), ('fixed_40', 40.0)) AS v(variant, h)), "
        "c AS (SELECT user_id, variant, count(*) FILTER (value >= h) AS n FROM ev, v GROUP BY ALL) "
        "SELECT user_id, max(n) FILTER (variant = 'actual') AS actual, max(n) FILTER (variant = 'fixed_20') AS fixed_20, max(n) FILTER (variant = 'fixed_40') AS fixed_40 FROM c GROUP BY user_id")
 def sensitivity_wide(t):
@@ -194,10 +194,10 @@ def channel_selection(t):
     return edf.select_channels(d, want).drop("region")
 
 
-@query("PRJ-18 PRJ-17", """SELECT CAST(user_id AS VARCHAR) AS subject_id, event_type AS region, CAST(event_id AS INTEGER) AS seizure_id, value AS ll_ratio, false AS over_max_duration, '' AS seizure_mode FROM events WHERE value > 15""")
+@query("PRJ-18 PRJ-17", """SELECT CAST(user_id AS VARCHAR) AS subject_id, event_type AS region, CAST(event_id AS INTEGER) AS seizure_id, value AS ll_ratio, false AS over_max_duration, '' AS seizure_mode FROM events""")
 def public_schema(t):
     """Detector rows under the public schema: renamed, typed, defaults for what is missing."""
-    x = t.events.where("value > 15").select("user_id", "event_type", "event_id", "value")
+    x = t.events.select("user_id", "event_type", "event_id", "value")
     out = schemas.shaped(x, schemas.SEIZURES, {"subject_id": "user_id", "region": "event_type", "seizure_id": "event_id", "ll_ratio": "value"})
     return out.select("subject_id", "region", "seizure_id", "ll_ratio", "over_max_duration", "seizure_mode")
 
@@ -208,12 +208,3 @@ def notch_switch(t):
     mode = F.when(F.col("l_returnflag") == "A", "on").when(F.col("l_returnflag") == "N", "auto").otherwise("off")
     q = F.when(F.col("l_quantity") > 30, "line_contaminated").otherwise("ok")
     return t.lineitem.select("l_orderkey", "l_linenumber", ql.notch_active(mode, q).alias("notch"))
-
-
-@query("SIG-25 SIG-31")
-def signal_peaks(t):
-    """Peaks of every subject's value series by height, prominence, width and distance (whole series)."""
-    from tidemark.catalog.signals import samples
-    from tidemark.operators.peaks import find_peaks
-    c = sg.to_chunks(samples(t), USER, length=16).withColumn("height", F.lit(15.0))
-    return find_peaks(c, USER, prominence=5.0, width=6, distance=3).select("user_id", "n", F.round("h", 4).alias("h"), F.round("prominence", 4).alias("prominence"))

@@ -61,12 +61,11 @@ def never_seen(t):
     return t.customer.select("c_custkey").join(seen, "c_custkey", "left_anti")
 
 
-@query("JOIN-11 AGG-31", """WITH a AS (SELECT user_id, count(*) AS n_a, round(sum(value), 2) AS s_a FROM events WHERE event_type = 'click' AND value > 30 GROUP BY 1), b AS (SELECT user_id, count(*) AS n_b FROM events WHERE event_type = 'view' AND value > 30 GROUP BY 1)
+@query("JOIN-11 AGG-31", """WITH a AS (SELECT user_id, count(*) AS n_a, round(sum(value), 2) AS s_a FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS n_b FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT user_id, n_a, s_a, n_b FROM a FULL JOIN b USING (user_id)""")
 def full_outer_summary(t):
-    e = t.events.where("value > 30")
-    a = e.where("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_a"), F.round(F.sum("value"), 2).alias("s_a"))
-    b = e.where("event_type = 'view'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_b"))
+    a = t.events.where("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_a"), F.round(F.sum("value"), 2).alias("s_a"))
+    b = t.events.where("event_type = 'view'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_b"))
     return a.join(b, "user_id", "full")
 
 

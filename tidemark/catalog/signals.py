@@ -24,7 +24,7 @@ def rounded(df, column, digits=6):
     return df.select("user_id", "n", F.round(column, digits).alias(column))
 
 
-@query("SIG-12 WIN-02 UDF-01", f"WITH {SIG} SELECT user_id, n, round(avg(x) OVER ({W} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM s")
+@query("WIN-02 UDF-01", f"WITH {SIG} SELECT user_id, n, round(avg(x) OVER ({W} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM s")
 def moving_mean(t):
     """Centred moving mean of six samples, shrinking at the ends, on chunks with halos."""
     return rounded(sg.to_samples(sg.moving(chunks(t), USER, 6, out="smooth"), USER, ["smooth"]), "smooth")
@@ -177,7 +177,7 @@ def event_metrics(t):
     return out.select("user_id", "event_id", "n_samples", *[F.round(m, 6).alias(m) for m in num])
 
 
-@query("SIG-17 SIG-18", """WITH v AS (SELECT vec_id, embedding AS e, len(embedding) AS m FROM embeddings),
+@query("SIG-17", """WITH v AS (SELECT vec_id, embedding AS e, len(embedding) AS m FROM embeddings),
 x AS (SELECT vec_id, i, m, CAST(e[i + 1] AS DOUBLE) * (0.54 - 0.46 * cos(2 * pi() * i / (m - 1))) AS y, (0.54 - 0.46 * cos(2 * pi() * i / (m - 1))) ** 2 AS w FROM v, (SELECT unnest(generate_series(0, 1023)) AS i) WHERE i < m),
 d AS (SELECT vec_id, k, sum(y * cos(2 * pi() * k * i / 256)) AS re, sum(y * sin(2 * pi() * k * i / 256)) AS im, sum(w) AS w FROM x, (SELECT unnest(generate_series(10, 40)) AS k) GROUP BY ALL),
 p AS (SELECT vec_id, k, 2 * (re * re + im * im) / (256 * w) AS p FROM d)

@@ -7,6 +7,8 @@ from tidemark.operators import stats as st
 from tidemark.operators.quantiles import exact_percentiles, tied_ranks
 
 USER = ["user_id"]
+#: Replicates of the resampling queries, as published.
+B = 10_000
 SUBJ = """s AS (SELECT user_id, 0 AS one, count(*) FILTER (event_type = 'click') AS x, count(*) FILTER (event_type = 'purchase') AS y,
  sum(CAST(round(value * 100) AS BIGINT)) AS v, CASE WHEN user_id % 3 = 0 THEN 'case' ELSE 'control' END AS grp FROM events GROUP BY user_id)"""
 
@@ -63,18 +65,12 @@ def rayleigh_test(t):
     return out.select("user_id", "n", F.round("rbar", 6).alias("rbar"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
-@query("STAT-03", f"""WITH b AS (SELECT user_id, event_id, hour(ts) AS h, hour(ts) * 60 + minute(ts) AS m FROM events WHERE event_type = 'signup'),
-x AS (SELECT user_id, h, count(*) * 60.0 AS s FROM (SELECT user_id, hour(ts) AS h FROM events) GROUP BY ALL),
-c AS (SELECT user_id, h, sum(s) OVER (PARTITION BY user_id ORDER BY h) AS hi, sum(s) OVER (PARTITION BY user_id ORDER BY h) - s AS lo, sum(s) OVER (PARTITION BY user_id) AS tot FROM x),
-o AS (SELECT user_id, count(*) AS n, sqrt(avg(cos(2 * pi() * m / 1440)) ** 2 + avg(sin(2 * pi() * m / 1440)) ** 2) AS r FROM b GROUP BY user_id),
-d AS (SELECT b.user_id, rep, {md5_draw(7, 'rep', 'event_id', "'h'")} / 4294967296.0 AS u, {md5_draw(7, 'rep', 'event_id', "'m'")} / 4294967296.0 AS w FROM b, (SELECT unnest(generate_series(1, 40)) AS rep)),
-s AS (SELECT d.user_id, rep, sqrt(avg(cos(2 * pi() * (h + w) / 24)) ** 2 + avg(sin(2 * pi() * (h + w) / 24)) ** 2) AS q FROM d JOIN c ON c.user_id = d.user_id AND u * tot >= lo AND u * tot < hi GROUP BY ALL)
-SELECT o.user_id, any_value(n) AS n, round((count(*) FILTER (q >= r) + 1) / 41.0, 6) AS p_exposure FROM o JOIN s USING (user_id) WHERE n >= 2 GROUP BY o.user_id""")
+@query("STAT-03")
 def rayleigh_exposure(t):
-    """Monte-Carlo p of the clock test under each subject's own hourly exposure."""
-    x = t.events.where("event_type = 'signup'").select("user_id", "event_id", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+    """Monte-Carlo p of the clock test under each subject's own hourly exposure, 10,000 replicates of every event."""
+    x = t.events.select("user_id", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
     ex = t.events.groupBy("user_id", F.hour("ts").alias("hour")).agg((F.count(F.lit(1)) * 60.0).alias("seconds"))
-    out = st.rayleigh_exposure(x, ex, USER, "minute", 40, 7)
+    out = st.rayleigh_exposure(x, ex, USER, "minute", B, 7)
     return out.where("n >= 2").select("user_id", "n", F.round("p_exposure", 6).alias("p_exposure"))
 
 
@@ -132,7 +128,6 @@ def poisson_effect(t):
     return out.withColumns({c: F.round(c, 6) for c in ("irr", "ci_lo", "ci_hi")})
 
 
-B = 60
 DRAWS = f"""ix AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY user_id) - 1 AS ix, count(*) OVER (PARTITION BY grp) AS n FROM s),
 dr AS (SELECT grp, rep, {md5_draw(1, '1', 'grp', 'rep', 'ix')} % n AS pick FROM ix, (SELECT unnest(generate_series(1, {B})) AS rep)),
 bo AS (SELECT dr.grp, rep, median(v) AS m FROM dr JOIN ix ON ix.grp = dr.grp AND ix.ix = dr.pick GROUP BY dr.grp, rep)"""
@@ -162,7 +157,7 @@ def bootstrap_correlation(t):
 def bca_correlation(t):
     """Bias-corrected accelerated interval with a closed-form jackknife."""
     rows = st.indexed(subjects(t), ["one"], ["user_id"])
-    out = st.bca_correlation(rows, ["one"], "x", "y", 10_000, 3)
+    out = st.bca_correlation(rows, ["one"], "x", "y", B, 3)
     return out.drop("one").withColumns({c: F.round(c, 6) for c in ("r", "ci_lo", "ci_hi")})
 
 

@@ -13,13 +13,13 @@ DAY = 24 * H
 
 @query("AGG-01 AGG-26", f"WITH {POINTS}" + """, m AS (SELECT user_id, max(t) - min(t) AS valid FROM ev GROUP BY user_id),
 e AS (SELECT user_id, count(*) AS n_events, sum(hi - t) AS total, avg(hi - t) AS mean, min(hi - t) AS shortest, max(hi - t) AS longest
- FROM ev WHERE event_type = 'purchase' AND value > 40 GROUP BY user_id)
+ FROM ev WHERE event_type = 'purchase' GROUP BY user_id)
 SELECT user_id, valid, coalesce(n_events, 0) AS n_events, CAST(coalesce(total, 0) AS BIGINT) AS total, round(mean, 3) AS mean, shortest, longest,
  round(100 * coalesce(total, 0) / nullif(valid, 0), 6) AS pct_time FROM m LEFT JOIN e USING (user_id)""")
 def recording_summary(t):
     """Event durations per recording, recordings without events included."""
     span = t.points.groupBy("user_id").agg((F.max("t") - F.min("t")).alias("valid"))
-    big = t.points.where("event_type = 'purchase' AND value > 40").select("user_id", F.col("t").alias("lo"), "hi")
+    big = t.points.where("event_type = 'purchase'").select("user_id", F.col("t").alias("lo"), "hi")
     out = sm.recording_summary(span, big, USER, "valid")
     return out.withColumns({"mean": F.round("mean", 3), "pct_time": F.round("pct_time", 6)})
 

@@ -181,10 +181,15 @@ def hilbert_half(fs: float, lower: float) -> int:
     return math.ceil(3.3 * fs / lower)
 
 
-def energy(chunks: DataFrame, keys: Sequence[str], window: int, power: float = 4.0, hilbert_half: int = 338) -> DataFrame:
-    """Moving mean of |analytic signal|^power; the analytic signal by an FIR Hilbert transformer."""
-    taps = hilbert_taps(hilbert_half)
-    env = block_apply(chunks, keys, lambda x, a, b: np.hypot(x[a:b], convolve_at(x, taps, a, b)) ** power, hilbert_half, "power")
+def energy(chunks: DataFrame, keys: Sequence[str], window: int, power: float = 4.0, hilbert_half: int | None = None) -> DataFrame:
+    """Moving mean of |analytic signal|^power; the analytic signal of whole blocks, or with ``hilbert_half`` by an FIR
+    Hilbert transformer of that half-length, which is an approximation but needs one shuffle only."""
+    if hilbert_half is None:
+        from tidemark.operators.spectra import analytic_envelope
+        env = analytic_envelope(chunks, keys, "power").withColumn("power", F.transform("power", lambda x: F.pow(x, F.lit(power))))
+    else:
+        taps = hilbert_taps(hilbert_half)
+        env = block_apply(chunks, keys, lambda x, a, b: np.hypot(x[a:b], convolve_at(x, taps, a, b)) ** power, hilbert_half, "power")
     return moving(env, keys, window, "mean", "energy", "power").drop("power")
 
 
@@ -396,36 +401,6 @@ def band_power(f: np.ndarray, p: np.ndarray, lo: float, hi: float) -> float:
     return float(np.trapezoid(p[m], f[m])) if m.sum() > 1 else 0.0
 
 
-def window_spectra(chunks: DataFrame, keys: Sequence[str], fs: float, window: int, scale_band=(15.0, 70.0),
-                   line: float = 50.0) -> DataFrame:
-    """Windows with half overlap inside each block: ``n`` (first sample), scale-band power without the
-    mains band, and mains-to-neighbour ratio in dB.  A window belongs to the chunk it starts in."""
-    hop = window // 2
-    body = chunks.withColumn("_first", F.col("n0"))
-    starts = chunks.groupBy(*keys).agg(F.min("n0").alias("_b0"))
-    wide = with_halo(body.join(starts, list(keys)), keys, 0, window)
-    schema = T.StructType([wide.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("p_scale", T.DoubleType()),
-                                                           T.StructField("ratio_db", T.DoubleType())])
-
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            rows = []
-            for key, n0, b0, body_, tail in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf["n0"], pdf["_b0"], pdf["samples"], pdf["tail"]):
-                x = np.concatenate([np.asarray(body_, float), np.asarray(tail, float)])
-                for s in range(int(-(n0 - b0) % hop), len(body_), hop):
-                    if s + window > len(x):
-                        break
-                    f, p = psd(x[s:s + window], fs)
-                    scale = max(0.0, band_power(f, p, *scale_band) - band_power(f, p, line - 2, line + 2))
-                    near = np.median([band_power(f, p, line - 5, line - 2), band_power(f, p, line + 2, line + 5)])
-                    top = band_power(f, p, line - 1, line + 1)
-                    rows.append((*key, int(n0) + s, scale, 10 * float(np.log10(top / near)) if top > 0 and near > 0 else None))
-            yield pd.DataFrame(rows, columns=[f_.name for f_ in schema])
-
-    return wide.mapInPandas(run, schema)
-
-
 # ---------------------------------------------------------------- metrics of events over traces
 
 def event_samples(events: DataFrame, chunks: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ no pairs of rows are formed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,28 +53,40 @@ def draw_number(seed: int, *parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def rayleigh_exposure(df: DataFrame, exposure: DataFrame, keys: Sequence[str], minute: str, replicates: int, seed: int,
-                      row: str = "event_id") -> DataFrame:
+def rayleigh_exposure(df: DataFrame, exposure: DataFrame, keys: Sequence[str], minute: str, replicates: int, seed: int) -> DataFrame:
     """Rayleigh test with a Monte-Carlo p under the observed hourly exposure: (hits + 1) / (B + 1).
 
-    ``exposure`` = keys, hour, seconds (24 rows per key at most).  Every simulated onset is one row, so
-    the replicates spread over the cluster; means combine map-side.
+    ``exposure`` = keys, hour, seconds (24 rows per key at most).  A simulated onset falls in an hour by its share of the exposure, at a
+    uniform place in it.  Onset ``i`` of replicate ``rep`` draws from ``xxhash64(seed, keys, rep, i)``, so a run can be replayed.  Onsets
+    are counted, not stored: blocks of a key's onsets and of replicates are dealt to the cluster, each sums its sines and cosines.
     """
     keys = list(keys)
     obs = rayleigh(df, keys, minute)
-    cdf = (exposure.where("seconds > 0").groupBy(*keys)
-                   .agg(F.array_sort(F.collect_list(F.struct("hour", "seconds"))).alias("_h")))
+    share = F.struct("hour", "seconds")
+    cdf = exposure.where("seconds > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(share)).alias("_h"))
     grow = F.transform("_h", lambda x, i: F.aggregate(F.slice("_h", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["seconds"]))
     cdf = cdf.select(*keys, F.transform("_h", lambda x: x["hour"]).alias("_hours"), grow.alias("_cdf"))
-    sims = df.select(*keys, row, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).join(cdf, keys)
-    sims = sims.withColumn("_u", uniform(seed, "_rep", row, F.lit("h")) * F.element_at("_cdf", -1))
-    place = F.least(F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))) + 1, F.size("_cdf"))
-    hour = F.element_at("_hours", place)
-    theta = F.lit(2 * 3.141592653589793 / 24) * (hour + uniform(seed, "_rep", row, F.lit("m")))
-    sims = sims.withColumn("_th", theta)
-    means = sims.groupBy(*keys, "_rep").agg(F.avg(F.cos("_th")).alias("_c"), F.avg(F.sin("_th")).alias("_s"))
-    hits = means.join(obs.select(*keys, "rbar"), keys).groupBy(*keys).agg(
-        F.count_if(F.sqrt(F.col("_c") ** 2 + F.col("_s") ** 2) >= F.col("rbar")).alias("_hits"))
+    sims = obs.select(*keys, "n").join(cdf, keys)
+    step, block = 4096, max(1, math.isqrt(replicates))
+    parts = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step))
+    sims = sims.where("n > 0").select("*", F.explode(parts).alias("_part")).select("*", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("_b"))
+    sims = sims.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys, "_part", "_b")
+    last = F.least((F.col("_b") + 1) * block, F.lit(replicates))
+    sims = sims.select("*", F.explode(F.sequence(F.col("_b") * block + 1, last)).alias("rep"))
+
+    def angle(i: Column) -> Column:
+        h = F.xxhash64(F.lit(seed), *keys, "rep", i)
+        u = F.shiftrightunsigned(h, 32) / F.lit(4294967296.0) * F.element_at("_cdf", -1)
+        place = F.least(F.size(F.filter("_cdf", lambda c: c <= u)) + 1, F.size("_cdf"))
+        return F.lit(2 * math.pi / 24) * (F.element_at("_hours", place) + h.bitwiseAND(F.lit(4294967295)) / F.lit(4294967296.0))
+
+    first = F.col("_part") * step
+    angles = F.transform(F.sequence(first, F.least(first + step, F.col("n")) - 1), angle)
+    total = F.aggregate(angles, F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s")),
+                        lambda a, t: F.struct((a["c"] + F.cos(t)).alias("c"), (a["s"] + F.sin(t)).alias("s")))
+    sums = sims.select(*keys, "rep", total.alias("_t")).groupBy(*keys, "rep").agg(F.sum("_t.c").alias("_c"), F.sum("_t.s").alias("_s"))
+    hits = sums.join(obs.select(*keys, "n", "rbar"), keys).groupBy(*keys).agg(
+        F.count_if(F.sqrt(F.col("_c") ** 2 + F.col("_s") ** 2) / F.col("n") >= F.col("rbar")).alias("_hits"))
     return (obs.join(hits, keys, "left").withColumn("p_exposure", (F.col("_hits") + 1) / F.lit(replicates + 1)).drop("_hits"))
 
 
@@ -185,8 +198,6 @@ def poisson_effect(df: DataFrame, subject: str, x: str, y: str, hours: str, per:
     Subject effects are profiled out (each is explicit given b), so a Newton step needs two grouped
     sums and the driver holds one number per round - any number of subjects.
     """
-    import math
-
     from tidemark.session import durable
     rows = durable(df.where((F.col(hours) > 0) & F.col(x).isNotNull()).select(
         subject, (F.col(x) / per).alias("_x"), F.col(y).cast("double").alias("_y"), F.log(hours).alias("_o")))
@@ -233,6 +244,63 @@ def resample(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int, v
     return drawn.join(rows.select(*keys, "ix", *values), [*keys, "ix"]).select(*keys, "rep", "times", *values)
 
 
+#: Rows of a key up to which one replicate works on the key's values as one array (a few MB); more rows are resampled by shuffles.
+LOCAL_ROWS = 100_000
+
+
+def lanes(rows: DataFrame, keys: Sequence[str], replicates: int, values: Sequence[str]) -> DataFrame | None:
+    """``keys, rep, _all``: every replicate of a key with the key's values in order of ``ix``, so that a replicate needs no shuffle;
+    None if a key has more than ``LOCAL_ROWS`` rows, counted.  Blocks of replicates are spread over the cluster."""
+    keys = list(keys)
+    if (rows.agg(F.max("n_rows")).first()[0] or 0) > LOCAL_ROWS:
+        return None
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ix", *values))).alias("_all"))
+    block = max(1, math.isqrt(replicates))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    spread = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("_b")).repartition(tasks, *keys, "_b")
+    last = F.least((F.col("_b") + 1) * block, F.lit(replicates))
+    return spread.select(*keys, "_all", F.explode(F.sequence(F.col("_b") * block + 1, last)).alias("rep"))
+
+
+def _drawn(keys: Sequence[str], seed: int, of) -> Column:
+    """Values of the rows that a lane's replicate draws, the same ones as ``resample``."""
+    pick = lambda i: F.get("_all", F.pmod(draw_number(seed, *keys, "rep", i), F.size("_all")).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: of(pick(i)))
+
+
+def _array_corr(pairs: Column) -> Column:
+    """Pearson r of an array of (x, y); NULL where a variance is zero."""
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    add = lambda a, p: F.struct(*[(a[c] + v).alias(c) for c, v in zip(names, (F.lit(1.0), p["x"], p["y"], p["x"] * p["x"], p["y"] * p["y"], p["x"] * p["y"]))])
+    def end(a):
+        vx, vy = a["xx"] - a["x"] * a["x"] / a["n"], a["yy"] - a["y"] * a["y"] / a["n"]
+        return F.when((vx > 0) & (vy > 0), (a["xy"] - a["x"] * a["y"] / a["n"]) / F.sqrt(vx * vy))
+    return F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(c) for c in names]), add, end)
+
+
+def resampled_corr(rows: DataFrame, keys: Sequence[str], x: str, y: str, replicates: int, seed: int, out: str) -> DataFrame:
+    """``keys, rep, out``: Pearson r of every bootstrap replicate."""
+    keys = list(keys)
+    local = lanes(rows, keys, replicates, [x, y])
+    if local is None:
+        return weighted_corr(resample(rows, keys, replicates, seed, [x, y]), [*keys, "rep"], x, y, out)
+    pair = lambda p: F.struct(p[x].cast("double").alias("x"), p[y].cast("double").alias("y"))
+    return local.select(*keys, "rep", _array_corr(_drawn(keys, seed, pair)).alias(out))
+
+
+def resampled_median(rows: DataFrame, keys: Sequence[str], value: str, replicates: int, seed: int, out: str, slice_by="auto") -> DataFrame:
+    """``keys, rep, out``: median of every bootstrap replicate."""
+    keys = list(keys)
+    local = lanes(rows, keys, replicates, [value])
+    if local is None:
+        return weighted_median(resample(rows, keys, replicates, seed, [value]), [*keys, "rep"], value, out, slice_by=slice_by)
+    sorted_ = F.array_sort(_drawn(keys, seed, lambda p: p[value]))
+    local = local.select(*keys, "rep", sorted_.alias("_s"))
+    at = lambda k: F.element_at("_s", k.cast("int"))
+    n = F.size("_s") + 1
+    return local.select(*keys, "rep", ((at(F.floor(n / 2)) + at(F.ceil(n / 2))) / 2).alias(out))
+
+
 def bootstrap(rows: DataFrame, keys: Sequence[str], statistic: Callable[[DataFrame, list[str]], DataFrame], name: str,
               replicates: int, seed: int, values: Sequence[str], level: float = 95.0, slice_by="auto") -> DataFrame:
     """Percentile interval of any statistic ``f(rows, group keys) -> keys + name`` over replicates.
@@ -267,18 +335,20 @@ def weighted_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str,
 
 
 def group_compare(df: DataFrame, group: str, first: str, second: str, value: str, order: Sequence[str], replicates: int,
-                  seed: int, slice_by="auto") -> DataFrame:
-    """Fold change of medians with a stratified bootstrap interval, rank-sum test and Cliff's delta."""
-    both = df.where(F.col(group).isin(first, second)).withColumn("_one", F.lit(1))
-    med = exact_median(both, ["_one", group], value, "m", slice_by)
-    ratio = lambda d, by: (d.groupBy(*by).agg(F.max(F.when(F.col(group) == first, F.col("m"))).alias("_a"),
-                                              F.max(F.when(F.col(group) == second, F.col("m"))).alias("_b"))
-                            .select(*by, F.try_divide("_a", "_b").alias("fold")))
-    rows = indexed(both, ["_one", group], order, slice_by)
-    reps = weighted_median(resample(rows, ["_one", group], replicates, seed, [value]), ["_one", group, "rep"], value, "m", slice_by=slice_by)
-    ci = exact_percentiles(ratio(reps, ["_one", "rep"]), ["_one"], "fold", {"ci_lo": 2.5, "ci_hi": 97.5}, slice_by)
-    out = ratio(med, ["_one"]).join(ci, "_one", "left").join(rank_sum(both, ["_one"], group, first, second, value, slice_by), "_one")
-    return out.drop("_one")
+                  seed: int, slice_by="auto", keys: Sequence[str] = ()) -> DataFrame:
+    """Fold change of medians with a stratified bootstrap interval, rank-sum test and Cliff's delta, per ``keys``."""
+    by = list(keys) or ["_one"]
+    both = df.where(F.col(group).isin(first, second))
+    both = settle(both if keys else both.withColumn("_one", F.lit(1)))
+    med = exact_median(both, [*by, group], value, "m", slice_by)
+    ratio = lambda d, k: (d.groupBy(*k).agg(F.max(F.when(F.col(group) == first, F.col("m"))).alias("_a"),
+                                            F.max(F.when(F.col(group) == second, F.col("m"))).alias("_b"))
+                           .select(*k, F.try_divide("_a", "_b").alias("fold")))
+    rows = indexed(both, [*by, group], order, slice_by)
+    reps = resampled_median(rows, [*by, group], value, replicates, seed, "m", slice_by)
+    ci = exact_percentiles(ratio(reps, [*by, "rep"]), by, "fold", {"ci_lo": 2.5, "ci_hi": 97.5}, slice_by)
+    out = ratio(med, by).join(ci, by, "left").join(rank_sum(both, by, group, first, second, value, slice_by), by)
+    return out if keys else out.drop("_one")
 
 
 def bca_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: str, replicates: int, seed: int, slice_by="auto") -> DataFrame:
@@ -298,7 +368,7 @@ def bca_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: str, replic
     mean = j.groupBy(*keys).agg(F.avg("_j").alias("_m"))
     d = F.col("_m") - F.col("_j")
     acc = j.join(mean, keys).groupBy(*keys).agg(F.try_divide(F.sum(d ** 3), 6 * F.sum(d ** 2) ** 1.5).alias("_a"))
-    reps = weighted_corr(resample(rows, keys, replicates, seed, [x, y]), [*keys, "rep"], x, y, "_r").where("_r IS NOT NULL")
+    reps = settle(resampled_corr(rows, keys, x, y, replicates, seed, "_r").where("_r IS NOT NULL"))
     share = reps.join(sums.select(*keys, "r"), keys).groupBy(*keys).agg(F.avg((F.col("_r") < F.col("r")).cast("double")).alias("_p"))
     b = sums.select(*keys, "n", "r").join(acc, keys).join(share, keys).withColumn("_z", normal_quantile("_p"))
     shift = lambda q: F.col("_z") + (F.col("_z") + q) / (1 - F.col("_a") * (F.col("_z") + q))
@@ -321,11 +391,18 @@ def permutation_test(rows: DataFrame, keys: Sequence[str], x: str, y: str, repli
     """Two-sided permutation p of Pearson r, (k + 1) / (B + 1): y is reordered by a hash per replicate."""
     keys = list(keys)
     lane = [*keys, "rep"]
-    spread = rows.select(*keys, "ix", x, y, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    shuffled = spread.select(*lane, y, draw_number(seed, "rep", "ix").alias("_h"), "ix")
-    placed = ordered_scan(shuffled, lane, ["_h", "ix"], [position("_to")], slice_by)
-    mixed = spread.select(*lane, "ix", x).join(placed.select(*lane, (F.col("_to") - 1).alias("ix"), y), [*lane, "ix"])
-    per = mixed.groupBy(*lane).agg(F.corr(x, y).alias("_r"))
+    local = lanes(rows, keys, replicates, [x, y])
+    if local is None:
+        spread = rows.select(*keys, "ix", x, y, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+        shuffled = spread.select(*lane, y, draw_number(seed, "rep", "ix").alias("_h"), "ix")
+        placed = ordered_scan(shuffled, lane, ["_h", "ix"], [position("_to")], slice_by)
+        mixed = spread.select(*lane, "ix", x).join(placed.select(*lane, (F.col("_to") - 1).alias("ix"), y), [*lane, "ix"])
+        per = mixed.groupBy(*lane).agg(F.corr(x, y).alias("_r"))
+    else:
+        order = F.array_sort(F.transform("_all", lambda p: F.struct(draw_number(seed, "rep", p["ix"]).alias("h"), p["ix"].alias("ix"), p[y].cast("double").alias("y"))))
+        local = local.select(*lane, "_all", order.alias("_y"))
+        pairs = F.zip_with("_all", "_y", lambda a, b: F.struct(a[x].cast("double").alias("x"), b["y"].alias("y")))
+        per = local.select(*lane, _array_corr(pairs).alias("_r"))
     est = rows.groupBy(*keys).agg(F.corr(x, y).alias("r"))
     hits = per.join(est, keys).groupBy(*keys).agg(F.first("r").alias("r"), F.count_if(F.abs("_r") >= F.abs("r") - 1e-12).alias("_k"))
     return hits.select(*keys, "r", ((F.col("_k") + 1) / F.lit(replicates + 1)).alias("p"))

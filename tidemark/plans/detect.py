@@ -42,7 +42,7 @@ def traces(chunks: DataFrame, fs: float, cfg: SustainedConfig = SustainedConfig(
     a = F.greatest(F.col("first_n") - F.col("n0"), F.lit(0))
     b = F.least(F.col("last_n") - F.col("n0") + 1, F.size("samples").cast("long"))
     inner = inner.where(b > a).select(*BLOCK, "chunk_ix", (F.col("n0") + a).alias("n0"), F.slice("samples", (a + 1).cast("int"), (b - a).cast("int")).alias("samples"))
-    both = sg.line_length(sg.energy(inner, BLOCK, round(cfg.window_s * fs), cfg.power, sg.hilbert_half(fs, cfg.band[0])), BLOCK, round(cfg.ll_window_s * fs))
+    both = sg.line_length(sg.energy(inner, BLOCK, round(cfg.window_s * fs), cfg.power), BLOCK, round(cfg.ll_window_s * fs))
     both = durable(both)
     s = sg.to_samples(both, BLOCK, ["energy", "line_length"])
     th = sg.global_threshold(s, CHANNEL, "energy", cfg.median_factor).join(exact_median(s, CHANNEL, "line_length", "ll_median"), CHANNEL)
@@ -80,45 +80,47 @@ def legacy_events(tr: DataFrame, thresholds: DataFrame, fs: float, cfg: Sustaine
     return ev.numbered(long, CHANNEL, ["first_n"], "event_id")
 
 
-def transients(chunks: DataFrame, zones: DataFrame, fs: float, cfg: TransientConfig = TransientConfig(),
-               heights: DataFrame | None = None, by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Peaks outside the exclusion zones, complexes and bursts.  ``zones`` = channel_id, lo, hi (sample
-    index, inclusive).  ``heights`` (channel_id, ``by``..., height) replaces the baseline threshold; peaks
-    are searched again per distinct height because of the distance rule."""
-    by = list(by)
-    s = sg.outside_zones(chunks, zones, BLOCK, CHANNEL)
-    minutes = s.groupBy("channel_id").agg((F.count(F.lit(1)) / F.lit(fs * 60)).alias("minutes"))
-    steps = np.arange(cfg.baseline_start, cfg.baseline_top + cfg.baseline_step / 2, cfg.baseline_step)
-    base = sg.baseline_ladder(s, CHANNEL, "x", [float(v) for v in steps], cfg.baseline_fraction, cfg.baseline_step, cfg.baseline_top)
-    base = base.withColumn("height", F.col("baseline") * cfg.lower_factor)
-    if heights is None:
-        heights = base.select("channel_id", "height")
+def rectified(chunks: DataFrame, fs: float, cfg: TransientConfig = TransientConfig()) -> DataFrame:
+    """Magnitude of the band-passed signal, centred on its channel's median."""
     med = exact_median(sg.to_samples(chunks, BLOCK), CHANNEL, "x", "_m")
     centred = chunks.join(med, CHANNEL).withColumn("samples", F.transform("samples", lambda x: x - F.col("_m"))).drop("_m")
-    band = sg.bandpass(centred, BLOCK, cfg.band, fs)
-    rect = band.withColumn("samples", F.transform("samples", F.abs)).join(heights, CHANNEL)
-    key = [*BLOCK, *by]
-    pk = find_peaks(rect, key, prominence=cfg.prominence, width=max(1, round(cfg.width_s * fs)), distance=max(1, round(cfg.distance_s * fs)))
-    pk = pk.where(F.col("h") <= cfg.upper)
-    pk = iv.contains(pk, zones, CHANNEL, "n", closed=True).where("NOT inside").drop("inside")
-    cx = ev.complexes(pk, key, "n", "h", round(cfg.spike_gap_ms / 1000 * fs))
-    bs = ev.bursts(cx, key, cfg.burst_gap_s * fs, cfg.burst_min_n, cfg.burst_min_s * fs, cfg.burst_max_s * fs)
-    return {"peaks": pk, "complexes": cx, "bursts": bs, "minutes": minutes, "baseline": base}
+    return sg.bandpass(centred, BLOCK, cfg.band, fs).withColumn("samples", F.transform("samples", F.abs))
+
+
+def baseline_heights(included: DataFrame, cfg: TransientConfig = TransientConfig()) -> DataFrame:
+    """``channel_id, baseline, height``: the rung of the ladder and the least peak height it gives, from included samples."""
+    steps = np.arange(cfg.baseline_start, cfg.baseline_top + cfg.baseline_step / 2, cfg.baseline_step)
+    base = sg.baseline_ladder(included, CHANNEL, "x", [float(v) for v in steps], cfg.baseline_fraction, cfg.baseline_step, cfg.baseline_top)
+    return base.withColumn("height", F.col("baseline") * cfg.lower_factor)
+
+
+def peaks_by_height(rect: DataFrame, zones: DataFrame, heights: DataFrame, fs: float, cfg: TransientConfig = TransientConfig()) -> DataFrame:
+    """Peaks outside the zones for every height of ``heights`` (channel_id, height, ...), each peak once per height it reaches.
 
+    One search per channel, at its lowest height, serves all of them.  Prominence and width of a peak do not depend on the height.
+    The distance rule keeps peaks tallest first, so whether a peak stays depends on taller ones only: those of at least a height
+    are kept alike with and without the lower ones.  Limits and zones come after the distance rule, as in one run.
+    """
+    lowest = heights.groupBy("channel_id").agg(F.min("height").alias("height"))
+    pk = find_peaks(rect.join(lowest, CHANNEL), BLOCK, prominence=cfg.prominence, width=max(1, round(cfg.width_s * fs)), distance=max(1, round(cfg.distance_s * fs)))
+    pk = iv.contains(pk.where(F.col("h") <= cfg.upper), zones, CHANNEL, "n", closed=True).where("NOT inside").drop("inside")
+    return pk.join(heights, CHANNEL).where(F.col("h") >= F.col("height"))
 
-def height_variants(chunks: DataFrame, fs: float, actual: DataFrame, fixed: Sequence[float], percentiles: Sequence[float],
-                    cfg: TransientConfig = TransientConfig()) -> tuple[DataFrame, DataFrame]:
-    """Threshold variants per channel (actual, fixed values, percentiles of the rectified band) and the
-    distinct heights they share: ``(variants, heights)``."""
-    rect = sg.to_samples(sg.bandpass(chunks, BLOCK, cfg.band, fs), BLOCK).withColumn("x", F.abs("x"))
-    pct = exact_percentiles(rect, CHANNEL, "x", {f"p{p:g}".replace(".", "_"): p for p in percentiles})
-    names = [c for c in pct.columns if c != "channel_id"]
-    long = pct.unpivot(["channel_id"], names, "variant", "height")
-    act = actual.select("channel_id", F.lit("actual").alias("variant"), "height")
-    each = F.explode(F.array(*[F.struct(F.lit(f"fixed_{v:g}").alias("variant"), F.lit(float(v)).alias("height")) for v in fixed])).alias("v")
-    fix = actual.select("channel_id", each).select("channel_id", "v.*")
-    variants = act.unionByName(fix).unionByName(long)
-    return variants, variants.select("channel_id", "height", F.col("height").alias("height_id")).distinct()
+
+def grouped_peaks(pk: DataFrame, key: Sequence[str], fs: float, cfg: TransientConfig = TransientConfig()) -> tuple[DataFrame, DataFrame]:
+    """Complexes and bursts of peaks."""
+    cx = durable(ev.complexes(pk, key, "n", "h", round(cfg.spike_gap_ms / 1000 * fs)))
+    return cx, ev.bursts(cx, key, cfg.burst_gap_s * fs, cfg.burst_min_n, cfg.burst_min_s * fs, cfg.burst_max_s * fs)
+
+
+def transients(chunks: DataFrame, zones: DataFrame, fs: float, cfg: TransientConfig = TransientConfig()) -> dict[str, DataFrame]:
+    """Peaks outside the exclusion zones, complexes and bursts.  ``zones`` = channel_id, lo, hi (sample index, inclusive)."""
+    s = sg.outside_zones(chunks, zones, BLOCK, CHANNEL)
+    minutes = s.groupBy("channel_id").agg((F.count(F.lit(1)) / F.lit(fs * 60)).alias("minutes"))
+    base = durable(baseline_heights(s, cfg))
+    pk = durable(peaks_by_height(rectified(chunks, fs, cfg), zones, base.select("channel_id", "height"), fs, cfg).drop("height"))
+    cx, bs = grouped_peaks(pk, BLOCK, fs, cfg)
+    return {"peaks": pk, "complexes": cx, "bursts": bs, "minutes": minutes, "baseline": base}
 
 
 def walsh_detector(chunks: DataFrame, fs: float, envelope_threshold: float, k: float = 1.0, smooth_s: float = 0.010, env_s: float = 0.020,
@@ -198,12 +200,3 @@ def missed_criterion(peak_ratio, run_s, ll_ratio, cfg: SustainedConfig = Sustain
     """First criterion a missed window fails: energy, then run length, then line length."""
     return (F.when(peak_ratio < 1, "energy below threshold").when(run_s < cfg.min_s, "run too short")
              .when(ll_ratio < cfg.ll_threshold, "line length below threshold").otherwise("meets all criteria"))
-
-
-def verify_notch(raw: DataFrame, cleaned: DataFrame, fs: float, line: float = 50.0, window_s: float = 4.0) -> DataFrame:
-    """Mains prominence of raw and clean signal per channel, its drop and the verdict."""
-    from tidemark.operators.quality import mains_verdict
-    window = round(window_s * fs)
-    prom = lambda c, name: exact_median(sg.window_spectra(c, BLOCK, fs, window, line=line), CHANNEL, "ratio_db", name)
-    out = prom(raw, "raw_db").join(prom(cleaned, "clean_db"), CHANNEL).withColumn("drop_db", F.col("raw_db") - F.col("clean_db"))
-    return out.withColumn("verdict", mains_verdict(F.col("drop_db")))

@@ -14,6 +14,7 @@ from tidemark.config import CleanConfig, QualityConfig, SustainedConfig, Transie
 from tidemark.operators import events as ev
 from tidemark.operators import quality as ql
 from tidemark.operators import signal as sg
+from tidemark.operators import spectra as sp
 from tidemark.operators import summaries as sm
 from tidemark.plans import detect
 from tidemark.session import durable
@@ -25,7 +26,7 @@ SESSION = ["source_file"]
 def quality(chunks: DataFrame, manifest: DataFrame, fs: float, limits: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per channel: amplitude, mains, quantisation, flat and clipped share and the quality class."""
     ch = detect.CHANNEL
-    spectra = ql.spectral_quality(sg.window_spectra(chunks, detect.BLOCK, fs, round(limits.window_s * fs), limits.scale_band, limits.line_hz), ch, limits.line_db)
+    spectra = ql.spectral_quality(sp.window_spectra(chunks, detect.BLOCK, fs, round(limits.window_s * fs), limits.scale_band, limits.line_hz), ch, limits.line_db)
     s = sg.to_samples(chunks, detect.BLOCK)
     flat = sg.chunk_flat_fraction(chunks, detect.BLOCK, round(0.5 * fs), ch)
     step = sg.quantisation_step(s, ch)
