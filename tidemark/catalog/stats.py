@@ -119,13 +119,21 @@ def repeated_measures(t):
     return out.withColumns({c: F.round(c, 6) for c in ("r", "ci_lo", "ci_hi")})
 
 
-@query("STAT-09")
+@query("STAT-09", """WITH RECURSIVE d AS (SELECT user_id, sum(value) / 10 AS x, count(*) FILTER (event_type = 'purchase') AS y, ln(24) AS o FROM events GROUP BY user_id, CAST(ts AS DATE)),
+t AS (SELECT user_id, sum(y) AS ty FROM d GROUP BY user_id), r AS (SELECT d.*, ty FROM d JOIN t USING (user_id) WHERE ty > 0),
+it AS (SELECT 0 AS k, 0.0::DOUBLE AS b, 0.0::DOUBLE AS info UNION ALL
+ SELECT k + 1, b + greatest(-1, least(1, sum(sy - ty * s1 / s0) / sum(ty * (s2 / s0 - (s1 / s0) ** 2)))), sum(ty * (s2 / s0 - (s1 / s0) ** 2)) FROM (
+  SELECT k, b, user_id, max(ty) AS ty, sum(exp(b * x + o)) AS s0, sum(exp(b * x + o) * x) AS s1, sum(exp(b * x + o) * x * x) AS s2, sum(y * x) AS sy FROM it, r WHERE k < 20 GROUP BY k, b, user_id) GROUP BY k, b),
+e AS (SELECT b, 1 / sqrt(info) AS se FROM it WHERE k = 20), m AS (SELECT r.*, ty * exp(b * x + o) / sum(exp(b * x + o)) OVER (PARTITION BY user_id) AS mu FROM r, e),
+g AS (SELECT count(*) AS n, count(DISTINCT user_id) AS k, sum((y - mu) ** 2 / mu) AS chi FROM m)
+SELECT n, k AS n_subjects, (SELECT count(*) FROM t WHERE ty = 0) AS n_without_events, round(exp(b), 6) AS irr, round(exp(b - 1.96 * se), 6) AS ci_lo, round(exp(b + 1.96 * se), 6) AS ci_hi,
+ round(b / se, 6) AS z, round(chi / (n - k - 1), 6) AS dispersion FROM g, e""")
 def poisson_effect(t):
     """Rate ratio per ten units in a Poisson model with subject effects and an exposure offset."""
     d = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.sum("value").alias("x"), F.count_if(F.col("event_type") == "purchase").alias("y")).withColumn("hours", F.lit(24.0))
-    out = st.poisson_effect(d, "user_id", "x", "y", "hours")
-    return out.withColumns({c: F.round(c, 6) for c in ("irr", "ci_lo", "ci_hi")})
+    out = st.poisson_effect(d, "user_id", "x", "y", "hours").drop("p")
+    return out.withColumns({c: F.round(c, 6) for c in ("irr", "ci_lo", "ci_hi", "z", "dispersion")})
 
 
 DRAWS = f"""ix AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY user_id) - 1 AS ix, count(*) OVER (PARTITION BY grp) AS n FROM s),

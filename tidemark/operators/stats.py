@@ -196,13 +196,15 @@ def poisson_effect(df: DataFrame, subject: str, x: str, y: str, hours: str, per:
     """Rate ratio per ``per`` units of x in log E[y] = subject + b x + log(hours).
 
     Subject effects are profiled out (each is explicit given b), so a Newton step needs two grouped
-    sums and the driver holds one number per round - any number of subjects.
+    sums and the driver holds one number per round - any number of subjects.  Subjects without events say nothing about b: they are
+    counted apart (``n_without_events``).  ``z`` and ``p`` are of b; ``dispersion`` is the Pearson statistic over its degrees of freedom.
     """
     from tidemark.session import durable
-    rows = durable(df.where((F.col(hours) > 0) & F.col(x).isNotNull()).select(
+    rows = durable(df.where((F.col(hours) > 0) & F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         subject, (F.col(x) / per).alias("_x"), F.col(y).cast("double").alias("_y"), F.log(hours).alias("_o")))
-    totals = durable(rows.groupBy(subject).agg(F.sum("_y").alias("_ty")).where("_ty > 0"))
-    rows = durable(rows.join(totals, subject))
+    totals = durable(rows.groupBy(subject).agg(F.sum("_y").alias("_ty")))
+    silent = totals.where("_ty = 0").count()
+    rows = durable(rows.join(totals.where("_ty > 0"), subject))
     b, info = 0.0, 0.0
     for _ in range(rounds):
         w = F.exp(F.lit(b) * F.col("_x") + F.col("_o"))
@@ -217,9 +219,13 @@ def poisson_effect(df: DataFrame, subject: str, x: str, y: str, hours: str, per:
         if abs(step) < 1e-12:
             break
     se = 1 / math.sqrt(info) if info else float("nan")
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(subject).alias("n_subjects"))
-    return n.select("n", "n_subjects", F.lit(math.exp(b)).alias("irr"), F.lit(math.exp(b - 1.96 * se)).alias("ci_lo"),
-                    F.lit(math.exp(b + 1.96 * se)).alias("ci_hi"))
+    w = F.exp(F.lit(b) * F.col("_x") + F.col("_o"))
+    scale = rows.groupBy(subject).agg((F.first("_ty") / F.sum(w)).alias("_s"))
+    fitted = rows.join(scale, subject).withColumn("_mu", F.col("_s") * w)
+    n = fitted.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(subject).alias("n_subjects"), F.sum((F.col("_y") - F.col("_mu")) ** 2 / F.col("_mu")).alias("_chi"))
+    return n.select("n", "n_subjects", F.lit(silent).cast("long").alias("n_without_events"), F.lit(math.exp(b)).alias("irr"), F.lit(math.exp(b - 1.96 * se)).alias("ci_lo"),
+                    F.lit(math.exp(b + 1.96 * se)).alias("ci_hi"), F.lit(b / se if info else None).cast("double").alias("z"),
+                    F.try_divide("_chi", F.col("n") - F.col("n_subjects") - 1).alias("dispersion")).withColumn("p", two_sided_normal("z"))
 
 
 # ---------------------------------------------------------------- resampling
