@@ -4,7 +4,8 @@ Vectors are extended by one component to a common length, so that the angle to a
 Each tree hashes them to strings of ``BITS`` signs of random projections and keeps the strings as a sorted array; all
 vectors that share a prefix with a query are a range of it.  A search descends to the longest prefix that finds
 anything, then ascends in all trees together, one bit at a time, until the ranges hold ``SHARE`` times the indexed
-vectors (counted once a tree); the distinct vectors in them are scored exactly.
+vectors (counted once a tree), and on until they hold ``LEAST`` distinct vectors or all there are; the distinct vectors
+in them are scored exactly.  So ``k`` neighbours are found wherever there are as many, and all if there are fewer.
 
 The index covers every vector, in shards of about ``SHARD`` dealt by hash, each with its own forest; blocks of the
 stated query set meet every shard, and the best of all shards are merged.  Equal vectors are one entry with its
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-TREES, BITS, SHARE, SHARD, BLOCK, SEED = 48, 32, 1.6, 8192, 4096, 7
+TREES, BITS, SHARE, LEAST, SHARD, BLOCK, SEED = 48, 32, 1.6, 256, 8192, 4096, 7
 
 
 class Forest:
@@ -46,25 +47,38 @@ class Forest:
     def _codes(vectors: np.ndarray, plane: np.ndarray) -> np.ndarray:
         return ((vectors @ plane > 0) << np.arange(BITS, dtype=np.int64)[::-1]).sum(axis=1)
 
-    def search(self, queries: np.ndarray, k: int, share: float = SHARE):
+    def search(self, queries: np.ndarray, k: int, share: float = SHARE, least: int = LEAST):
         """For each query the places and scores of its best ``k`` candidates."""
         n, want = len(self.vectors), max(share * len(self.vectors), k)
-        codes = [self._codes(np.column_stack([queries, np.zeros(len(queries))]), plane) for plane in self.planes]
-        lo = np.zeros((len(codes), len(queries)), np.int64)
-        hi = np.zeros_like(lo)
+        need = min(n, max(least, k))
+        codes = np.array([self._codes(np.column_stack([queries, np.zeros(len(queries))]), plane) for plane in self.planes])
+        lo, hi = np.zeros(codes.shape, np.int64), np.zeros(codes.shape, np.int64)
+        level = np.zeros(len(queries), np.int64)  # bits given up by each query
+
+        def ascend(rows: np.ndarray, shift: int) -> None:
+            level[rows] = shift
+            for t, (c, s) in enumerate(zip(codes, self.strings, strict=True)):
+                prefix = c[rows] >> shift
+                lo[t, rows] = np.searchsorted(s, prefix << shift)
+                hi[t, rows] = np.searchsorted(s, (prefix + 1) << shift)
+
+        def marked(i: int) -> np.ndarray:
+            found = np.zeros(n, bool)
+            for t, order in enumerate(self.order):
+                found[order[lo[t, i]:hi[t, i]]] = True
+            return found
+
         open_ = np.arange(len(queries))
         for shift in range(BITS + 1):  # all trees ascend together
-            for t, (c, s) in enumerate(zip(codes, self.strings, strict=True)):
-                prefix = c[open_] >> shift
-                lo[t, open_] = np.searchsorted(s, prefix << shift)
-                hi[t, open_] = np.searchsorted(s, (prefix + 1) << shift)
+            ascend(open_, shift)
             open_ = open_[(hi[:, open_] - lo[:, open_]).sum(axis=0) < want]
             if not len(open_):
                 break
         for i, q in enumerate(queries):
-            found = np.zeros(n, bool)
-            for t, order in enumerate(self.order):
-                found[order[lo[t, i]:hi[t, i]]] = True
+            found = marked(i)
+            while found.sum() < need:  # at the last level every range is the whole array
+                ascend(np.array([i]), int(level[i]) + 1)
+                found = marked(i)
             at = np.flatnonzero(found)
             scores = self.vectors[at] @ q
             if len(at) > 4 * k:  # keep all that tie with the k-th best
@@ -79,7 +93,7 @@ def usable(column: Column) -> Column:
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding",
-               trees: int = TREES, share: float = SHARE, shard_rows: int = SHARD) -> DataFrame:
+               trees: int = TREES, share: float = SHARE, shard_rows: int = SHARD, distinct: int = LEAST) -> DataFrame:
     """The ``k`` nearest rows found for every query row: ``query_id, rank, vec_id, score``."""
     rows = vectors.where(usable(F.col(vector)) & F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -106,7 +120,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str
         if left.num_rows and right.num_rows:
             names, lows = left.column("h").combine_chunks(), left.column("least").to_numpy()
             forest = Forest(matrix(left), longest, trees)
-            for name, (at, scores) in zip(right.column("h").to_pylist(), forest.search(matrix(right), k + 1, share), strict=True):
+            for name, (at, scores) in zip(right.column("h").to_pylist(), forest.search(matrix(right), k + 1, share, distinct), strict=True):
                 best = np.lexsort((lows[at], -scores))[:k + 1]
                 q += [name] * len(best)
                 c += names.take(pa.array(at[best])).to_pylist()
