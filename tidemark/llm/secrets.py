@@ -12,6 +12,7 @@ ends exclusive.  Columns of the input that clash with the added ones are replace
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -54,6 +55,8 @@ CLASSES = (
 # Candidates that contain one of these (any case) or are a UUID are no secrets.
 ALLOWED = ("example", "sample", "dummy", "placeholder", "changeme", "redacted", "abcdefgh", "01234567")
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+#: Windows that are folded in one go.
+STRETCH = 256
 SPANS = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
 
@@ -88,36 +91,75 @@ def _term(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _windows(candidate: Column, cls: CharClass) -> Column:
-    """``(start, end)`` within the candidate of the maximal unions of windows whose entropy reaches the threshold."""
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _word(place: Column) -> Column:
+    return F.shiftright(place, 3)
+
+
+def _shift(place: Column) -> Column:
+    return F.shiftleft(place.bitwiseAND(F.lit(7)), 3)
+
+
+def _stretch(places: Column, first: Column, last: Column, cls: CharClass) -> Column:
+    """Unions of hot windows among those that end at characters ``first`` to ``last`` (from 1) of a candidate, in order."""
     w, width = cls.window, len(cls.alphabet)
     least_sum = float(w) * (F.log2(F.lit(float(w))) - F.lit(cls.threshold))  # entropy >= threshold <=> sum <= this
     kind = "array<struct<start:int,end:int>>"
 
+    def count(counts, place):
+        """Count of the character at a place: eight counts share a number."""
+        return F.call_function("shiftright", F.get(counts, _word(place)), _shift(place)).bitwiseAND(F.lit(255)).cast("int")
+
     def step(acc, i):
-        enters = _index(cls.alphabet, candidate, i)
-        leaves = F.when(i > w, _index(cls.alphabet, candidate, i - w)).otherwise(F.lit(0))
-        gained = F.get(acc["counts"], enters - 1)
-        lost = F.when(leaves > 0, F.get(acc["counts"], leaves - 1)).otherwise(F.lit(0))
+        enters = F.element_at(places, i) - 1
+        leaves = F.when(i > first, F.element_at(places, i - w) - 1).otherwise(F.lit(-1))
+        gained = count(acc["counts"], enters)
+        lost = F.when(leaves >= 0, count(acc["counts"], leaves)).otherwise(F.lit(0))
         same = enters == leaves
         total = F.when(same, acc["total"]).otherwise(
             acc["total"] + _term(gained + 1) - _term(gained) - _term(lost) + _term(F.greatest(lost - 1, F.lit(0))))
+        one = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), _shift(place))
         counts = F.when(same, acc["counts"]).otherwise(F.transform(
-            acc["counts"], lambda n, k: n + (k == enters - 1).cast("int") - (k == leaves - 1).cast("int")))
-        hot = (i >= w) & (total <= least_sum)
-        last = F.element_at(acc["out"], -1)
-        joins = hot & (F.size(acc["out"]) > 0) & (F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(-1)) >= i - w)
-        out = (F.when(joins, _append(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.struct(last["start"].alias("start"), i.alias("end"))))
+            acc["counts"], lambda n, k: n + F.when(k == _word(enters), one(enters)).otherwise(F.lit(0)) - F.when((leaves >= 0) & (k == _word(leaves)), one(leaves)).otherwise(F.lit(0))))
+        hot = (i >= first) & (total <= least_sum)
+        last_ = F.try_element_at(acc["out"], F.lit(-1))
+        joins = hot & (F.coalesce(last_["end"], F.lit(-1)) >= i - w)
+        out = (F.when(joins, _append(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.struct(last_["start"].alias("start"), i.alias("end"))))
                 .when(hot, _append(acc["out"], F.struct((i - w).alias("start"), i.alias("end")))).otherwise(acc["out"]))
         return F.struct(counts.alias("counts"), total.alias("total"), out.cast(kind).alias("out"))
 
-    start = F.struct(F.array_repeat(F.lit(0), width).alias("counts"), F.lit(0.0).alias("total"), F.array().cast(kind).alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda acc: acc["out"])
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), (width + 7) // 8).alias("counts"), F.lit(0.0).alias("total"), F.array().cast(kind).alias("out"))
+    return F.aggregate(F.sequence(first - w + 1, last), start, step, lambda acc: acc["out"])
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that meet or overlap the one before made one with it."""
+    gap = lambda i: F.get(spans, i)["start"] > F.get(spans, i - 1)["end"]
+    edge = lambda name, opens: F.transform(F.filter(F.transform(spans, lambda x, i: F.when(opens(i), x[name])), lambda x: x.isNotNull()), lambda x: x)
+    starts = edge("start", lambda i: (i == 0) | gap(i))
+    ends = edge("end", lambda i: (i == F.size(spans) - 1) | gap(i + 1))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def _windows(candidate: Column, cls: CharClass) -> Column:
+    """``(start, end)`` within the candidate of the maximal unions of windows whose entropy reaches the threshold.
+
+    The candidate is split into its characters' places once; windows are folded in stretches of ``STRETCH``, so the work grows with the
+    candidate's length however long it is.
+    """
+    w = cls.window
+    index = lambda c: F.call_function("instr", F.lit(cls.alphabet), c)
 
+    def over(places):
+        firsts = F.sequence(F.lit(w), F.size(places), F.lit(STRETCH))
+        parts = F.transform(firsts, lambda first: _stretch(places, first, F.least(first + STRETCH - 1, F.size(places)), cls))
+        return _bound(F.flatten(parts), _joined)
 
-def _index(alphabet: str, candidate: Column, i: Column) -> Column:
-    """Place, from 1, of the candidate's i-th character in the alphabet."""
-    return F.call_function("instr", F.lit(alphabet), F.substring(candidate, i, F.lit(1)))
+    return _bound(F.transform(F.split(candidate, ""), index), over)
 
 
 def entropy_spans(text: Column, cls: CharClass, rank: int) -> Column:
