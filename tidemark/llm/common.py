@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Rows and bytes of one Arrow batch on its way to a Python task, at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -27,6 +29,23 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
+_state: dict = {"kind": None, "held": {}}
+
+
+def held(kind: str, name: str, make: Callable[[], object]) -> object:
+    """Something a worker keeps from task to task of one kind (a tokenizer, a model, a table).  A worker that turns to
+    another kind of task forgets the rest, so that one kind's memory is all that a reused worker ever holds."""
+    enter(kind)
+    if name not in _state["held"]:
+        _state["held"][name] = make()
+    return _state["held"][name]
+
+
+def enter(kind: str) -> None:
+    """Start work of a kind: what was kept for another kind is given up."""
+    if _state["kind"] != kind:
+        _state["kind"], _state["held"] = kind, {}
+        pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -48,7 +67,13 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 
 def wide(df: DataFrame, tasks_per_core: int = 1) -> DataFrame:
-    """``df`` dealt round robin over all cores if its scan has fewer partitions (no key, so no skew)."""
+    """``df`` dealt round robin over all cores if its scan has fewer partitions (no key, so no skew).  Bounds the session's Arrow
+    batches, unless they are smaller already: rows are whole texts, and each batch is in memory on both sides."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     want = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 

@@ -28,32 +28,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chance, wide
+from tidemark.llm.common import chance, held, wide
 
 PER_LANGUAGE, LANGUAGES, LANDMARKS, FEW = 400, 64, 256, 32
 KNOWN_SHARE = 0.7
 SLOTS = 176
 _SIZES = (SLOTS, SLOTS**2, SLOTS**3)
 _BLOCK = 64
-_state: dict = {}
 
 
 def _slots() -> np.ndarray:
     """Slot of every code point: printable ASCII has its own, controls are blanks, others are hashed."""
-    if "slots" not in _state:
+    def make() -> np.ndarray:
         cp = np.arange(0x110000, dtype=np.uint64)
         slot = 95 + ((cp * np.uint64(2654435761)) % np.uint64(2**32) >> np.uint64(12)) % np.uint64(SLOTS - 95)
         slot[:128] = np.clip(np.arange(128), 32, 126) - 32
         slot[:32] = 0
-        _state["slots"] = slot.astype(np.uint32)
-        _state["last"] = np.zeros(sum(_SIZES), np.int32)
-    return _state["slots"]
+        return slot.astype(np.uint32)
+
+    return held("languages", "slots", make)
+
+
+def _kinds() -> np.ndarray:
+    """Letter, digit and blank flags of every code point."""
+    return held("languages", "kinds", lambda: np.frombuffer(bytes(c.isalpha() + 2 * c.isdigit() + 4 * c.isspace() for c in map(chr, range(0x110000))), np.uint8))
 
 
 def ngrams(text: str) -> np.ndarray:
     """Distinct n-grams of a text, as numbers below ``sum(_SIZES)``, in no order; linear in its length."""
     slots = _slots()
-    last = _state["last"]
+    last = held("languages", "last", lambda: np.zeros(sum(_SIZES), np.int32))
     out = []
     span = 1 << 20
     for begin in range(0, max(len(text), 1), span):  # long texts in overlapping pieces
@@ -69,14 +73,12 @@ def ngrams(text: str) -> np.ndarray:
 
 def letters(text: str) -> np.ndarray:
     """The trigram around every letter, as numbers below ``SLOTS ** 3``; other characters and words with a digit are blanks."""
-    slots = _slots()
-    if "kinds" not in _state:
-        _state["kinds"] = np.frombuffer(bytes(c.isalpha() + 2 * c.isdigit() + 4 * c.isspace() for c in map(chr, range(0x110000))), np.uint8)
+    slots, kinds = _slots(), _kinds()
     out = [np.zeros(0, np.int32)]
     span = 1 << 20
     for begin in range(0, len(text), span):
         cp = np.frombuffer(text[begin:begin + span].lower().encode("utf-32-le", "replace"), np.uint32)
-        kind = _state["kinds"][cp]
+        kind = kinds[cp]
         word = np.cumsum(kind & 4 > 0)
         numbered = np.zeros(len(cp) + 1, bool)
         numbered[word[kind & 2 > 0]] = True

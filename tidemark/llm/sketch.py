@@ -15,7 +15,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-BITS, HELD = 27, 1 << 22
+from tidemark.llm.common import enter, held
+
+BITS, HELD = 27, 1 << 21
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -37,10 +39,11 @@ def count_levels(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.nd
     per_range = (1 << bits) // ranges
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        enter("counts")
+        found_, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            cells = np.sort(np.concatenate(held))
+            cells = np.sort(np.concatenate(found_))
             edges = np.searchsorted(cells, np.arange(ranges + 1, dtype=np.int64) * per_range)
             full = [r for r in range(ranges) if edges[r] < edges[r + 1]]
             data = [_packed(cells[edges[r]:edges[r + 1]] - np.uint32(r * per_range)) for r in full]
@@ -48,11 +51,11 @@ def count_levels(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.nd
 
         for batch in batches:
             for found in items(batch):
-                held.append((found >> np.uint64(64 - bits)).astype(np.uint32))
+                found_.append((found >> np.uint64(64 - bits)).astype(np.uint32))
                 n += len(found)
                 if n >= HELD:
                     yield flush()
-                    held, n = [], 0
+                    found_, n = [], 0
         if n:
             yield flush()
 
@@ -91,14 +94,7 @@ class Levels:
         self.data = zstandard.ZstdCompressor(level=1).compress(packed.tobytes())
 
     def packed(self) -> np.ndarray:
-        if self.name not in _unpacked_levels:
-            while _unpacked_levels:
-                _unpacked_levels.pop(next(iter(_unpacked_levels)))
-            _unpacked_levels[self.name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data), np.uint8)
-        return _unpacked_levels[self.name]
-
-
-_unpacked_levels: dict[str, np.ndarray] = {}
+        return held(f"levels {self.name}", "packed", lambda: np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data), np.uint8))
 
 
 def level_of(levels: Levels, hashes: np.ndarray) -> np.ndarray:

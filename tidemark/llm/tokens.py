@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.common import buffers, pieces, span_hashes, word_spans
+from tidemark.llm.common import buffers, held, pieces, span_hashes, word_spans
 
 _SLOTS, _POOL = 1 << 21, 1 << 23
 _LETTER, _DIGIT, _SIGN = 1, 2, 3
@@ -23,7 +23,6 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[[*range(48, 58)]] = _DIGIT
 _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = _SIGN
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -42,9 +41,7 @@ class Encoder:
 
     @staticmethod
     def get(path: str) -> Encoder:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        return _encoders[path]
+        return held("tokens", path, lambda: Encoder(path))
 
     def reset(self) -> None:
         self.key = np.zeros(_SLOTS, np.uint64)
