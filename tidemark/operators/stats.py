@@ -28,6 +28,13 @@ def rate_ratio(df: DataFrame, n1: str, e1: str, n0: str, e0: str, alpha: float =
     return df.withColumn("rr", rr).withColumn("_t", test).select("*", "_t.ci_lo", "_t.ci_hi", "_t.p").drop("_t")
 
 
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson r of pairs without a missing side; NULL where a variance is zero (the built-in one fails there)."""
+    x, y = _c(x).cast("double"), _c(y).cast("double")
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 # ---------------------------------------------------------------- circular
 
 def rayleigh(df: DataFrame, keys: Sequence[str], minute: str) -> DataFrame:
@@ -127,7 +134,7 @@ def signed_rank(df: DataFrame, keys: Sequence[str], diff: str, slice_by="auto")
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, slice_by="auto") -> DataFrame:
     r = with_ranks(with_ranks(df, keys, x, "_rx", slice_by), keys, y, "_ry", slice_by)
-    return r.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(*keys).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, slice_by="auto") -> DataFrame:
@@ -167,7 +174,7 @@ def log_pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     df = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
     eps = lambda c: F.coalesce(F.min(F.when(F.col(c) > 0, F.col(c))) / 2, F.lit(1.0))
     e = df.groupBy(*keys).agg(eps(x).alias("_ex"), eps(y).alias("_ey"))
-    out = df.join(e, keys).groupBy(*keys).agg(F.corr(F.log10(F.col(x) + F.col("_ex")), F.log10(F.col(y) + F.col("_ey"))).alias("r"),
+    out = df.join(e, keys).groupBy(*keys).agg(correlation(F.log10(F.col(x) + F.col("_ex")), F.log10(F.col(y) + F.col("_ey"))).alias("r"),
                                               F.count(F.lit(1)).alias("n"))
     return out.select(*[k for k in keys if k != "_all"], "n", "r")
 
@@ -237,7 +244,12 @@ def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by="
     return settle(ordered_scan(df, keys, order, [position("ix")], slice_by).withColumn("ix", F.col("ix") - 1).join(n, keys))
 
 
-def resample(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int, values: Sequence[str]) -> DataFrame:
+def fast_draw(seed: int, *parts) -> Column:
+    """Like ``draw_number`` by a cheaper hash, for results that no other engine has to replay."""
+    return F.xxhash64(F.lit(seed), *[_c(p) for p in parts]).bitwiseAND(F.lit(4294967295))
+
+
+def resample(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int, values: Sequence[str], draw: Callable[..., Column] = draw_number) -> DataFrame:
     """Bootstrap rows ``keys, rep, values``: each indexed row is also a draw slot of every replicate.
 
     Draws of one replicate are counted per index before the join, so a popular row is sent once with a
@@ -245,7 +257,7 @@ def resample(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int, v
     """
     keys = list(keys)
     slots = rows.select(*keys, "n_rows", "ix", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    pick = F.pmod(draw_number(seed, *keys, "rep", "ix"), F.col("n_rows"))
+    pick = F.pmod(draw(seed, *keys, F.col("rep"), F.col("ix").cast("int")), F.col("n_rows"))
     drawn = slots.groupBy(*keys, "rep", pick.alias("ix")).agg(F.count(F.lit(1)).alias("times"))
     return drawn.join(rows.select(*keys, "ix", *values), [*keys, "ix"]).select(*keys, "rep", "times", *values)
 
@@ -268,9 +280,9 @@ def lanes(rows: DataFrame, keys: Sequence[str], replicates: int, values: Sequenc
     return spread.select(*keys, "_all", F.explode(F.sequence(F.col("_b") * block + 1, last)).alias("rep"))
 
 
-def _drawn(keys: Sequence[str], seed: int, of) -> Column:
+def _drawn(keys: Sequence[str], seed: int, of, draw: Callable[..., Column] = draw_number) -> Column:
     """Values of the rows that a lane's replicate draws, the same ones as ``resample``."""
-    pick = lambda i: F.get("_all", F.pmod(draw_number(seed, *keys, "rep", i), F.size("_all")).cast("int"))
+    pick = lambda i: F.get("_all", F.pmod(draw(seed, *keys, F.col("rep"), i), F.size("_all")).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: of(pick(i)))
 
 
@@ -294,13 +306,14 @@ def resampled_corr(rows: DataFrame, keys: Sequence[str], x: str, y: str, replica
     return local.select(*keys, "rep", _array_corr(_drawn(keys, seed, pair)).alias(out))
 
 
-def resampled_median(rows: DataFrame, keys: Sequence[str], value: str, replicates: int, seed: int, out: str, slice_by="auto") -> DataFrame:
+def resampled_median(rows: DataFrame, keys: Sequence[str], value: str, replicates: int, seed: int, out: str, slice_by="auto",
+                     draw: Callable[..., Column] = draw_number) -> DataFrame:
     """``keys, rep, out``: median of every bootstrap replicate."""
     keys = list(keys)
     local = lanes(rows, keys, replicates, [value])
     if local is None:
-        return weighted_median(resample(rows, keys, replicates, seed, [value]), [*keys, "rep"], value, out, slice_by=slice_by)
-    sorted_ = F.array_sort(_drawn(keys, seed, lambda p: p[value]))
+        return weighted_median(resample(rows, keys, replicates, seed, [value], draw), [*keys, "rep"], value, out, slice_by=slice_by)
+    sorted_ = F.array_sort(_drawn(keys, seed, lambda p: p[value], draw))
     local = local.select(*keys, "rep", sorted_.alias("_s"))
     at = lambda k: F.element_at("_s", k.cast("int"))
     n = F.size("_s") + 1
@@ -341,7 +354,7 @@ def weighted_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str,
 
 
 def group_compare(df: DataFrame, group: str, first: str, second: str, value: str, order: Sequence[str], replicates: int,
-                  seed: int, slice_by="auto", keys: Sequence[str] = ()) -> DataFrame:
+                  seed: int, slice_by="auto", keys: Sequence[str] = (), draw: Callable[..., Column] = draw_number) -> DataFrame:
     """Fold change of medians with a stratified bootstrap interval, rank-sum test and Cliff's delta, per ``keys``."""
     by = list(keys) or ["_one"]
     both = df.where(F.col(group).isin(first, second))
@@ -351,7 +364,7 @@ def group_compare(df: DataFrame, group: str, first: str, second: str, value: str
                                             F.max(F.when(F.col(group) == second, F.col("m"))).alias("_b"))
                            .select(*k, F.try_divide("_a", "_b").alias("fold")))
     rows = indexed(both, [*by, group], order, slice_by)
-    reps = resampled_median(rows, [*by, group], value, replicates, seed, "m", slice_by)
+    reps = resampled_median(rows, [*by, group], value, replicates, seed, "m", slice_by, draw)
     ci = exact_percentiles(ratio(reps, [*by, "rep"]), by, "fold", {"ci_lo": 2.5, "ci_hi": 97.5}, slice_by)
     out = ratio(med, by).join(ci, by, "left").join(rank_sum(both, by, group, first, second, value, slice_by), by)
     return out if keys else out.drop("_one")
@@ -364,7 +377,7 @@ def bca_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: str, replic
     """
     keys = list(keys)
     X, Y = F.col(x), F.col(y)
-    sums = rows.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"), F.sum(X).alias("_x"), F.sum(Y).alias("_y"),
+    sums = rows.groupBy(*keys).agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"), F.sum(X).alias("_x"), F.sum(Y).alias("_y"),
                                    F.sum(X * X).alias("_xx"), F.sum(Y * Y).alias("_yy"), F.sum(X * Y).alias("_xy"))
     j = rows.join(sums, keys)
     n1 = F.col("n") - 1
@@ -403,13 +416,13 @@ def permutation_test(rows: DataFrame, keys: Sequence[str], x: str, y: str, repli
         shuffled = spread.select(*lane, y, draw_number(seed, "rep", "ix").alias("_h"), "ix")
         placed = ordered_scan(shuffled, lane, ["_h", "ix"], [position("_to")], slice_by)
         mixed = spread.select(*lane, "ix", x).join(placed.select(*lane, (F.col("_to") - 1).alias("ix"), y), [*lane, "ix"])
-        per = mixed.groupBy(*lane).agg(F.corr(x, y).alias("_r"))
+        per = mixed.groupBy(*lane).agg(correlation(x, y).alias("_r"))
     else:
         order = F.array_sort(F.transform("_all", lambda p: F.struct(draw_number(seed, "rep", p["ix"]).alias("h"), p["ix"].alias("ix"), p[y].cast("double").alias("y"))))
         local = local.select(*lane, "_all", order.alias("_y"))
         pairs = F.zip_with("_all", "_y", lambda a, b: F.struct(a[x].cast("double").alias("x"), b["y"].alias("y")))
         per = local.select(*lane, _array_corr(pairs).alias("_r"))
-    est = rows.groupBy(*keys).agg(F.corr(x, y).alias("r"))
+    est = rows.groupBy(*keys).agg(correlation(x, y).alias("r"))
     hits = per.join(est, keys).groupBy(*keys).agg(F.first("r").alias("r"), F.count_if(F.abs("_r") >= F.abs("r") - 1e-12).alias("_k"))
     return hits.select(*keys, "r", ((F.col("_k") + 1) / F.lit(replicates + 1)).alias("p"))
 

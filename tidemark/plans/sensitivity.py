@@ -74,6 +74,6 @@ def by_group(subjects: DataFrame, subject: str, group: str, first: str, second:
     """Every variant and rate compared between two groups, with its rank correlation to ``outcome`` in the first one: back to long by unpivot."""
     key = ["variant", "metric"]
     long = durable(subjects.unpivot(["variant", subject, group, outcome], list(RATES), "metric", "rate"))
-    out = st.tenfold(st.group_compare(long, group, first, second, "rate", [subject], replicates, seed, slice_by, keys=key), "fold", "ci_lo")
+    out = st.tenfold(st.group_compare(long, group, first, second, "rate", [subject], replicates, seed, slice_by, key, st.fast_draw), "fold", "ci_lo")
     rho = st.spearman(long.where(F.col(group) == first), key, "rate", outcome, slice_by).select(*key, F.col("rho").alias("spearman"))
     return out.join(rho, key, "left")
