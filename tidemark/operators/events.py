@@ -82,9 +82,9 @@ def bounded_merge(runs: DataFrame, keys: Sequence[str], lo: str, hi: str, gap, m
     """Greedy left-to-right merge: the next run joins while it starts within ``gap`` of the current end
     and the merged span stays within ``max_span``; one long run is never cut.
 
-    Runs must be disjoint and ordered.  Chains (runs linked by ``gap``) are found first, then "first run that
-    does not fit" pointers are followed from each chain's first run, doubled each round, so no chain -
-    however long - is walked by one task.
+    Runs must be disjoint and ordered.  Chains (runs linked by ``gap``) are found first; a chain that fits ``max_span``
+    altogether, or is a single run, is one piece.  In the others "first run that does not fit" pointers are followed from
+    the first run, doubled each round, so no chain - however long - is walked by one task.
     """
     keys = list(keys)
     base = runs.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
@@ -92,7 +92,15 @@ def bounded_merge(runs: DataFrame, keys: Sequence[str], lo: str, hi: str, gap, m
     opens = F.coalesce(F.col("_lo") - F.col("_reach") > F.lit(gap), F.lit(True))
     chained = settle(ordered_scan(chained.withColumn("_open", opens), keys, ["_lo", "_hi"],
                                  [last_known("_chain", F.when(F.col("_open"), F.col("_lo")))], slice_by))
-    return _merge_by_pointers(chained.drop("_reach"), keys, lo, hi, max_span, slice_by)
+    group = keys + ["_chain"]
+    spans = chained.groupBy(*group).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    spans = durable(spans.withColumn("_whole", (F.col("_n") == 1) | (F.col("_hi") - F.col("_lo") <= F.lit(max_span))))
+    done = spans.where("_whole").select(*keys, F.col("_lo").alias(lo), F.col("_hi").alias(hi))
+    left = spans.where("NOT _whole").select(*group)
+    if left.isEmpty():
+        return done
+    rest = durable(chained.drop("_reach").join(left, group, "left_semi"))
+    return done.unionByName(_merge_by_pointers(rest, keys, lo, hi, max_span, slice_by))
 
 
 def _merge_by_pointers(rows: DataFrame, keys: list[str], lo: str, hi: str, max_span, slice_by) -> DataFrame:
