@@ -91,7 +91,7 @@ def comment_scenarios(t):
     return rows.groupBy("scenario", text.exclusion_rule(F.col("comments"))[0].alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("PRJ-19", f"WITH {POINTS}, {merged('rec', chr(39).join(['event_type = ', 'click', '']))}, {merged('off', chr(39).join(['event_type = ', 'error', '']))}, " + """
+@query("PRJ-19", f"WITH {POINTS}, {merged('rec', "event_type = 'click'")}, {merged('off', "event_type = 'error'")}, " + """
 x AS (SELECT e.event_id, value, hi - t AS len, (SELECT coalesce(sum(least(r.hi, e.hi) - greatest(r.lo, e.t)), 0) FROM rec r WHERE r.user_id = e.user_id AND r.hi > e.t AND r.lo < e.hi) AS a,
  (SELECT coalesce(sum(least(r.hi, e.hi) - greatest(r.lo, e.t)), 0) FROM off r WHERE r.user_id = e.user_id AND r.hi > e.t AND r.lo < e.hi) AS b FROM ev e WHERE event_type = 'purchase')
 SELECT event_id, CASE WHEN value <= 10 THEN 'eeg' WHEN a > 0 THEN 'video_in_eeg' WHEN b >= len THEN 'video_beyond_eeg' ELSE 'violation' END AS source FROM x""")

@@ -164,7 +164,7 @@ def adjacent_to_gap(t):
     return ev.near_gap(t.spans("view"), g, USER, H).select("event_id", "adjacent_to_gap")
 
 
-@query("EVT-25 STAT-01", f"WITH {POINTS}, {merged('u', chr(39).join(['event_type <> ', 'purchase', '']))}" + """, p AS (
+@query("EVT-25 STAT-01", f"WITH {POINTS}, {merged('u', "event_type <> 'purchase'")}" + """, p AS (
  SELECT user_id, t AS b, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS a FROM ev WHERE event_type = 'purchase')
 SELECT p.user_id, p.b AS t, p.b - p.a AS isi FROM p WHERE b > a AND (SELECT coalesce(sum(least(u.hi, p.b) - greatest(u.lo, p.a)), 0)
  FROM u WHERE u.user_id = p.user_id AND u.hi > p.a AND u.lo < p.b) >= 0.01 * (p.b - p.a)""")
@@ -175,7 +175,7 @@ def observed_isi(t):
     return ev.observed_intervals(starts, obs, USER, "t", 0.01)
 
 
-@query("EVT-26", f"WITH {POINTS}, {merged('u', chr(39).join(['event_type <> ', 'purchase', '']))}" + f"""
+@query("EVT-26", f"WITH {POINTS}, {merged('u', "event_type <> 'purchase'")}" + f"""
 SELECT e.event_id, NOT EXISTS (SELECT 1 FROM ev o WHERE o.event_type = 'purchase' AND o.user_id = e.user_id AND o.event_id <> e.event_id
  AND o.t < e.t AND o.hi > e.t - {48 * H}) AND (SELECT coalesce(sum(least(u.hi, e.t) - greatest(u.lo, e.t - {48 * H})), 0) FROM u
  WHERE u.user_id = e.user_id AND u.hi > e.t - {48 * H} AND u.lo < e.t) >= 0.01 * {48 * H} AS is_lead

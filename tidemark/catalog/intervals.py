@@ -10,8 +10,8 @@ from tidemark.operators.scan import (lag, last_known, lead, next_known, ordered_
                                      running_max, running_sum)
 
 USER = ["user_id"]
-AB = f"WITH {POINTS}, {merged('a', chr(39).join(['event_type = ', 'click', '']))}, " \
-     f"{merged('b', chr(39).join(['event_type = ', 'error', '']))}"
+AB = f"WITH {POINTS}, {merged('a', "event_type = 'click'")}, " \
+     f"{merged('b', "event_type = 'error'")}"
 
 
 @query("SET-01 WIN-04", f"WITH {POINTS}, {merged('u', 'true')} SELECT user_id, lo, hi FROM u")
@@ -45,7 +45,7 @@ def interval_subtract(t):
     return iv.subtract(t.spans("click"), t.spans("error"), USER)
 
 
-@query("SET-06 SET-15", f"WITH {POINTS}, {merged('b', chr(39).join(['event_type = ', 'error', '']))}" + """
+@query("SET-06 SET-15", f"WITH {POINTS}, {merged('b', "event_type = 'error'")}" + """
 SELECT a.event_id, CAST(coalesce(sum(CASE WHEN b.lo IS NOT NULL THEN least(a.hi, b.hi) - greatest(a.t, b.lo) END), 0) AS BIGINT) AS overlap
 FROM ev a LEFT JOIN b ON a.user_id = b.user_id AND a.t < b.hi AND b.lo < a.hi
 WHERE a.event_type = 'click' GROUP BY a.event_id""")
@@ -54,7 +54,7 @@ def interval_overlap_per_row(t):
     return iv.overlap_length(t.spans("click"), t.spans("error"), USER).select("event_id", "overlap")
 
 
-@query("JOIN-07 SIG-25", f"WITH {POINTS}, {merged('b', chr(39).join(['event_type = ', 'error', '']))}" + """
+@query("JOIN-07 SIG-25", f"WITH {POINTS}, {merged('b', "event_type = 'error'")}" + """
 , last AS (SELECT user_id, max(hi) AS top FROM b GROUP BY user_id)
 SELECT p.event_id, count(b.lo) > 0 AS inside FROM ev p LEFT JOIN last USING (user_id)
 LEFT JOIN b ON p.user_id = b.user_id AND p.t >= b.lo AND (p.t < b.hi OR (p.t = b.hi AND b.hi = last.top))
@@ -71,7 +71,7 @@ def points_inside_closed(t):
     return iv.contains(pts, t.spans("error"), USER, "t", closed=True).where("inside").select("event_id")
 
 
-@query("JOIN-09", f"WITH {POINTS}, {merged('b', chr(39).join(['event_type = ', 'error', '']))}" + """
+@query("JOIN-09", f"WITH {POINTS}, {merged('b', "event_type = 'error'")}" + """
 SELECT p.event_id, b.lo AS span_start FROM ev p LEFT JOIN b
   ON p.user_id = b.user_id AND p.t >= b.lo AND p.t <= b.hi WHERE p.event_type = 'purchase'""")
 def containing_interval(t):

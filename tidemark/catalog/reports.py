@@ -89,7 +89,7 @@ def scope_asymmetry(t):
     return side_tables(t)[1].withColumns({c: F.round(c, 6) for c in ("click", "view", "asymmetry")})
 
 
-@query("AGG-14", f"WITH {POINTS}, {merged('z', 'event_type = ' + repr('error'))}, {merged('g', 'event_type = ' + repr('signup'))}, " + """
+@query("AGG-14", f"WITH {POINTS}, {merged('z', "event_type = 'error'")}, {merged('g', "event_type = 'signup'")}, " + """
 b AS (SELECT user_id, count(*) AS n, 700.0 AS m FROM ev WHERE event_type = 'click' AND value > 5 GROUP BY 1), a AS (SELECT user_id, count(*) AS n, 650.0 AS m FROM ev WHERE event_type = 'click' AND value > 8 GROUP BY 1),
 l AS (SELECT e.user_id, count(*) AS n FROM ev e WHERE event_type = 'click' AND value > 5 AND EXISTS (SELECT 1 FROM z WHERE z.user_id = e.user_id AND e.t BETWEEN z.lo AND z.hi) GROUP BY 1),
 w AS (SELECT e.user_id, count(*) AS n FROM ev e WHERE event_type = 'click' AND value > 8 AND EXISTS (SELECT 1 FROM g WHERE g.user_id = e.user_id AND e.t BETWEEN g.lo AND g.hi) GROUP BY 1),

@@ -117,7 +117,7 @@ def calendar_days(t):
     return out.select("user_id", F.col("day").cast("string").alias("day"), "n", F.round("seconds", 3).alias("seconds"))
 
 
-@query("AGG-17 AGG-18 AGG-28", f"WITH {POINTS}, {merged('rec')}, {merged('off', chr(39).join(['event_type = ', 'error', '']))}, " + f"""
+@query("AGG-17 AGG-18 AGG-28", f"WITH {POINTS}, {merged('rec')}, {merged('off', "event_type = 'error'")}, " + f"""
 sp AS (SELECT user_id, min(lo) AS t0, max(hi) AS t1 FROM rec GROUP BY user_id),
 d AS (SELECT user_id, t0, unnest(generate_series(1, CAST(ceil((t1 - t0) / {DAY}.0) AS BIGINT))) AS day FROM sp),
 w AS (SELECT user_id, day, t0 + (day - 1) * {DAY} AS w0, t0 + day * {DAY} AS w1 FROM d),
@@ -137,7 +137,7 @@ WINDOWS = [("pre -24..-12 h", False, -24, -12), ("pre -12..0 h", False, -12, 0),
 WSQL = ", ".join(f"('{n}', {str(p).lower()}, {a * H}, {b * H})" for n, p, a, b in WINDOWS)
 
 
-@query("AGG-22 SET-15", f"WITH {POINTS}, e AS (SELECT * FROM ev WHERE event_type = 'purchase'), {merged('inc', chr(39).join(['event_type <> ', 'purchase', '']))}, " + f"""
+@query("AGG-22 SET-15", f"WITH {POINTS}, e AS (SELECT * FROM ev WHERE event_type = 'purchase'), {merged('inc', "event_type <> 'purchase'")}, " + f"""
 v AS (SELECT * FROM (VALUES {WSQL}) AS v("window", post, a, b)),
 x AS (SELECT e.user_id, e.event_id, "window", CASE WHEN post THEN hi ELSE t END + a AS w0, CASE WHEN post THEN hi ELSE t END + b AS w1 FROM e, v),
 k AS (SELECT x.*, EXISTS (SELECT 1 FROM e o WHERE o.user_id = x.user_id AND o.event_id <> x.event_id AND o.t < w1 AND o.hi > w0) AS meets,
@@ -163,7 +163,7 @@ def gap_bands(t):
     return sm.gap_bands(pts, ["user_id", "event_type"], [("within_h", H), ("within_day", DAY)])
 
 
-@query("AGG-25", f"WITH {POINTS}, {merged('o', chr(39).join(['event_type = ', 'view', '']))}, {merged('z', chr(39).join(['event_type = ', 'error', '']))}, " + """
+@query("AGG-25", f"WITH {POINTS}, {merged('o', "event_type = 'view'")}, {merged('z', "event_type = 'error'")}, " + """
 x AS (SELECT e.event_id, hi - t AS len, (SELECT coalesce(sum(least(o.hi, e.hi) - greatest(o.lo, e.t)), 0) FROM o WHERE o.user_id = e.user_id AND o.hi > e.t AND o.lo < e.hi) AS a,
  (SELECT coalesce(sum(least(z.hi, e.hi) - greatest(z.lo, e.t)), 0) FROM z WHERE z.user_id = e.user_id AND z.hi > e.t AND z.lo < e.hi) AS b FROM ev e WHERE event_type = 'click')
 SELECT event_id, round(a / len, 6) AS simultaneous, round(b / len, 6) AS excluded, CASE WHEN a / len > 0.5 THEN 'both channels' WHEN b / len > 0.5 THEN 'covered' ELSE 'single' END AS label FROM x""")
