@@ -7,6 +7,9 @@ memory whatever the length of a text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 PIECE = 1 << 18
 #: Rows and bytes of one Arrow batch on its way to a Python task, at most.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Bytes of a row group of written tables: what a writing task buffers.
+ROW_GROUP = 16 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -45,7 +50,10 @@ def enter(kind: str) -> None:
     """Start work of a kind: what was kept for another kind is given up."""
     if _state["kind"] != kind:
         _state["kind"], _state["held"] = kind, {}
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its free pages
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -62,7 +70,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, keeps column pruning; ``by``: one folder a value."""
     folder = shared_folder(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(folder)
+    writer = df.write.option("parquet.block.size", ROW_GROUP)
+    (writer.partitionBy(by) if by else writer).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import enter, held
 
-BITS, HELD = 27, 1 << 21
+BITS, HELD = 27, 1 << 20
 
 
 def _packed(cells: np.ndarray) -> bytes:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import PIECE, buffers, mix, pieces, powers, prefix_hash, span_hashes, wide, word_spans, written
+from tidemark.llm.common import PIECE, buffers, enter, mix, pieces, powers, prefix_hash, span_hashes, wide, word_spans, written
 from tidemark.llm.sketch import BITS, count_levels, level_of
 
 KEY_BITS = 24
@@ -165,6 +165,7 @@ def among(docs: DataFrame, keys: DataFrame, bits: int) -> tuple[DataFrame, DataF
 def rank_positions(joined: DataFrame, threshold: int) -> DataFrame:
     """``(key, text, open)`` -> one row a document: starts ``p`` of its open stretches, their rank at the threshold, and whether they are undecided."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ranks")
         for batch in batches:
             texts, marks = batch.column(1), batch.column(2)
             for k in range(batch.num_rows):
@@ -229,6 +230,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_column: str = "doc_
     marks = spans.columns[1:]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("cut")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for k in range(batch.num_rows):
