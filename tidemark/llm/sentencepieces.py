@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import buffers, pieces, wide, written
+from tidemark.llm.common import PIECE, buffers, held, pieces, wide, written
 from tidemark.llm.tokens import Encoder
 
 GIANT, CHUNK = 1 << 16, 1 << 14
 MARK = "▁"
 NEVER = -1e300
-_models: dict[str, Model] = {}
+#: Bytes of stretches that are solved together.
+BLOCK, LONG = 1 << 16, 256
+_BASE, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 class Model:
@@ -54,15 +56,39 @@ class Model:
             else:
                 self.ids[piece] = (i, lib.get_score(i))
                 self.text.append(piece.replace(MARK, " ").encode())
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(self.text), np.uint8)
         self.longest = max(map(len, self.ids))
         self.unknown = min(s for _, s in self.ids.values()) - 10.0
         self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # the same by hashes of code points, sorted: id of the piece, or -1 for a mere head
+        hashed = {}
+        for piece in self.heads:
+            h = 0
+            for c in piece:
+                h = (h * _BASE + ord(c)) & _ALL
+            hashed[h] = self.ids[piece][0] if piece in self.ids else -1
+        self.head_hash = np.array(sorted(hashed), np.uint64)
+        self.head_id = np.array([hashed[int(h)] for h in self.head_hash], np.int32)
+        self.scores = np.full(len(self.text) + 1, self.unknown)
+        for i, score in self.ids.values():
+            self.scores[i] = score
 
     @staticmethod
     def get(path: str) -> Model:
-        if path not in _models:
-            _models[path] = Model(path)
-        return _models[path]
+        return held("pieces", path, lambda: Model(path))
+
+    def joined(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the pieces of some rows, without the space in front of each row, and the offsets of the rows."""
+        size = self.sizes[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        data = self.pool[np.repeat(self.places[ids] - total[:-1], size) + np.arange(total[-1])]
+        ends = total[bounds]
+        full = np.diff(ends) > 0
+        keep = np.ones(len(data), bool)
+        keep[ends[:-1][full]] = False
+        return data[keep], ends - np.concatenate([[0], np.cumsum(full)])
 
     def starting(self, text: str, p: int) -> list[tuple[int, float]]:
         """Length and score of each piece that starts at ``p``, shortest first."""
@@ -101,6 +127,59 @@ class Model:
             end = start[end]
         return [i for part in reversed(out) for i in part]
 
+    def solve_all(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``solve`` for many marked stretches at once: code points and the bounds of the stretches in them -> all ids, and their
+        number for each.  Pieces that start at each place are looked up by hash, a length at a time; best scores are carried from place to
+        place of all stretches together."""
+        size = np.diff(bounds)
+        total, count = int(bounds[-1]), len(size)
+        limit = np.repeat(bounds[1:], size) - np.arange(total)  # characters from each place to its stretch's end
+        ids = np.full((self.longest + 1, total), -1, np.int32)
+        alive, h = np.arange(total), np.zeros(total, np.uint64)
+        with np.errstate(over="ignore"):
+            for n in range(1, self.longest + 1):
+                keep = limit[alive] >= n
+                alive, h = alive[keep], h[keep] * np.uint64(_BASE) + points[alive[keep] + n - 1].astype(np.uint64)
+                at = np.minimum(np.searchsorted(self.head_hash, h), len(self.head_hash) - 1)
+                found = self.head_hash[at] == h
+                ids[n, alive[found]] = self.head_id[at[found]]
+                alive, h = alive[found], h[found]
+                if not len(alive):
+                    break
+        order = np.argsort(-size, kind="stable")
+        first, base = bounds[:-1][order], (bounds[:-1] + np.arange(count))[order]  # a place more per stretch, for its end
+        best, start = np.full(total + count, NEVER), np.zeros(total + count, np.int64)
+        best[base] = 0.0
+        longest = int(size.max(initial=0))
+        active = np.searchsorted(-size[order], -np.arange(longest + 1), side="right")  # stretches of at least so many characters
+        for e in range(1, longest + 1):
+            f, o = first[:active[e]], base[:active[e]]
+            top, came = np.full(len(f), NEVER), np.zeros(len(f), np.int64)
+            for n in range(min(e, self.longest), 0, -1):  # of equal scores the piece that starts first
+                piece = ids[n, f + e - n]
+                score = best[o + e - n] + self.scores[piece]
+                better = (score > top) if n == 1 else (score > top) & (piece >= 0)
+                top[better], came[better] = score[better], e - n
+            best[o + e], start[o + e] = top, came
+        ends = np.zeros(total + count, bool)
+        o, at = base[size[order] > 0], size[order][size[order] > 0]
+        while len(at):
+            ends[o + at] = True
+            at = start[o + at]
+            o, at = o[at > 0], at[at > 0]
+        ends = np.flatnonzero(ends)
+        owner = np.searchsorted(bounds[:-1] + np.arange(count), ends, side="right") - 1
+        end = ends - owner
+        begin = np.where(np.append(True, owner[1:] != owner[:-1]), bounds[owner], np.append(0, end[:-1])) if len(ends) else end
+        out = ids[end - begin, begin].astype(np.int64)
+        lone = np.flatnonzero(out < 0)
+        many = np.ones(len(out), np.int64)
+        spelled = [[self.bytes[x] for x in chr(c).encode()] for c in points[begin[lone]].tolist()]
+        many[lone] = [len(x) for x in spelled]
+        flat = np.repeat(out, many)
+        flat[flat < 0] = [i for x in spelled for i in x]
+        return flat, np.bincount(owner, many, count).astype(np.int64)
+
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Best scores from each entry state (row) to each exit state of a chunk: ``size`` characters and what follows."""
         states = self.longest
@@ -145,18 +224,15 @@ class Units(Encoder):
     def __init__(self, path: str):
         self.model = Model.get(path)
         self.dtype = np.uint16 if len(self.model.text) < 1 << 16 else np.uint32
-        self.breaks = [c for c in range(32) if not any(chr(c) in p for p in self.model.ids)]
+        self.lone = np.isin(np.arange(256), [c for c in range(32) if not any(chr(c) in p for p in self.model.ids)])
         self.reset()
 
     @staticmethod
     def get(path: str) -> Units:
-        key = f"pieces:{path}"
-        if key not in _units:
-            _units[key] = Units(path)
-        return _units[key]
+        return held("pieces", f"units {path}", lambda: Units(path))
 
     def _runs(self, b: np.ndarray, doc_starts: np.ndarray):
-        lone = np.isin(b, self.breaks)
+        lone = self.lone[b]
         first = b == 32
         first[1:] &= b[:-1] != 32
         first |= lone
@@ -166,12 +242,29 @@ class Units(Encoder):
         return starts, np.append(starts[1:], len(b)), np.ones(len(starts), bool)
 
     def _encode_new(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray):
-        raw = b.tobytes()
-        found = [self.model.solve(raw[s:e].decode().replace(" ", MARK)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return np.array([i for f in found for i in f], np.int64), np.array([len(f) for f in found], np.int64)
-
-
-_units: dict[str, Units] = {}
+        ids, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.cumsum(ends - starts)
+        k = 0
+        while k < len(starts):  # some at a time, which bounds the table of pieces
+            j = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + BLOCK, side="right")))
+            lengths = ends[k:j] - starts[k:j]
+            short, long = k + np.flatnonzero(lengths <= LONG), k + np.flatnonzero(lengths > LONG)  # places of few long ones are better walked one by one
+            cuts = np.concatenate([[0], np.cumsum(ends[short] - starts[short])])
+            data = b[np.repeat(starts[short] - cuts[:-1], np.diff(cuts)) + np.arange(cuts[-1])]
+            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+            points[points == 32] = ord(MARK)
+            places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            found, n = self.model.solve_all(points, places[cuts])
+            rest = [np.array(self.model.solve(b[starts[i]:ends[i]].tobytes().decode().replace(" ", MARK)), np.int64) for i in long.tolist()]
+            number = np.zeros(j - k, np.int64)
+            number[short - k], number[long - k] = n, [len(x) for x in rest]
+            at, flat = np.cumsum(number) - number, np.zeros(number.sum(), np.int64)
+            flat[np.repeat(at[short - k] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = found
+            for i, x in zip(long.tolist(), rest, strict=True):
+                flat[at[i - k]:at[i - k] + len(x)] = x
+            ids.append(flat)
+            counts.append(number)
+            k = j
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 def products(m: np.ndarray) -> np.ndarray:
@@ -203,8 +296,9 @@ def _giant(rows: DataFrame, path: str, states: int) -> DataFrame:
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.get(path)
         for batch in batches:
-            m = [model.transfer(t, n).ravel().tolist() for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m, pa.list_(pa.float64()))], ["row_", "chunk", "m"])
+            m = [model.transfer(t, n).ravel() for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            ends = np.arange(len(m) + 1, dtype=np.int32) * states**2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *m])))], ["row_", "chunk", "m"])
 
     def entries(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("chunk").to_numpy())
@@ -273,10 +367,17 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.get(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):  # a few rows at a time: ids of many texts are large as Python objects
-                part = batch.slice(i, 256)
-                found = [b"".join([model.text[k] for k in row.as_py() or ()])[1:].decode("utf-8", "replace") for row in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], ["rest_", "text_"])
+            lists = batch.column(1)
+            edges = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            found = lists.flatten().to_numpy(zero_copy_only=False)
+            for i, j in pieces(edges, PIECE):
+                data, ends = model.joined(found[edges[i]:edges[j]], edges[i:j + 1] - edges[i])
+                texts = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                try:
+                    texts = texts.cast(pa.string())
+                except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+                    texts = pa.array([t.as_py().decode("utf-8", "replace") for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), texts], ["rest_", "text_"])
 
     schema = T.StructType([inner.schema["rest_"], T.StructField("text_", T.StringType())])
     return inner.mapInArrow(run, schema).select(*[F.col("rest_")[c].alias(c) for c in rest], F.col("text_").alias(text))
