@@ -30,3 +30,10 @@ def made(*rows):
 def test_segments_without_length(spark, tmp_path):
     got, want = both(spark, tmp_path, made((1, "01:00:00", "click", 0), (2, "00:30:00", "view", 60), (3, "02:00:00", "click", 10)), "flat_segment_report")
     assert got == want and len(got) == 2
+
+
+def test_missed_events_without_length(spark, tmp_path):
+    rows = [(1, "01:00:00", "click", 60), (2, "01:30:00", "purchase", 0), (3, "02:00:00", "purchase", 0), (4, "03:00:00", "purchase", 30),
+            (5, "03:10:00", "click", 0), (6, "04:00:00", "purchase", 5), (7, "04:00:00", "click", 0), (8, "05:00:00", "click", 0), (9, "05:00:00", "purchase", 0)]
+    got, want = both(spark, tmp_path, made(*rows), "final_events")
+    assert got == want and len(got) == 4 + 3  # 2 lies inside 1, and 5 inside 4

@@ -286,12 +286,12 @@ def merged_origins(t):
 @query("EVT-17 EVT-27", f"WITH {POINTS}, d AS (SELECT *, 'detected' AS source FROM ev WHERE event_type = 'click')," + """
 m AS (SELECT *, 'missed' AS source FROM ev e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = e.user_id
  AND d.t < e.hi AND d.hi > e.t))
-SELECT user_id, event_id, source, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS seizure_id FROM (FROM d UNION ALL FROM m)""")
+SELECT user_id, event_id, source, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id, source, hi) AS seizure_id FROM (FROM d UNION ALL FROM m)""")
 def final_events(t):
     """Detected plus missed events that overlap none of them, numbered per subject by onset."""
     det = t.spans("click").withColumn("source", F.lit("detected"))
     mis = t.spans("purchase").withColumn("source", F.lit("missed"))
-    out = ev.numbered(ev.add_missed(det, mis, USER), USER, ["lo", "event_id"], "seizure_id")
+    out = ev.numbered(ev.add_missed(det, mis, USER), USER, ["lo", "event_id", "source", "hi"], "seizure_id")
     return out.select("user_id", "event_id", "source", "seizure_id")
 
 

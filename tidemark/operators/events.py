@@ -426,9 +426,15 @@ def origin_of(events: DataFrame, merged: DataFrame, keys: Sequence[str], slice_b
 
 
 def add_missed(detected: DataFrame, missed: DataFrame, keys: Sequence[str], slice_by="auto") -> DataFrame:
-    """Append missed events that do not overlap a detected one; both need ``event_id, lo, hi, source``."""
-    seen = iv.overlap_length(missed, detected, keys, "_ov", slice_by=slice_by)
-    return detected.unionByName(seen.where("_ov = 0").drop("_ov").select(*detected.columns))
+    """Append missed events that meet no detected one; both need ``event_id, lo, hi, source``.
+
+    Two events meet when each starts before the other ends, so one without length meets those it lies inside: the latest end of all detected
+    events that start before a missed one ends is compared with its start."""
+    marks = detected.select(*keys, F.col("lo").alias("_t"), F.lit(1).alias("_o"), F.col("hi").alias("_h"))
+    asks = missed.select(*keys, F.col("hi").alias("_t"), F.lit(0).alias("_o"), F.struct(*missed.columns).alias("_p"))
+    walked = ordered_scan(marks.unionByName(asks, allowMissingColumns=True), keys, ["_t", "_o"], [running_max("_reach", "_h")], slice_by)
+    alone = ~F.coalesce(F.col("_reach") > F.col("_p.lo"), F.lit(False))
+    return detected.unionByName(walked.where(F.col("_p").isNotNull() & alone).select("_p.*").select(*detected.columns))
 
 
 def close_pairs(events: DataFrame, keys: Sequence[str], gap, slice_by="auto") -> DataFrame:
