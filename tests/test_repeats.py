@@ -2,6 +2,7 @@
 import math
 
 import duckdb
+import pytest
 
 from tidemark.catalog import ENTRIES
 
@@ -37,3 +38,9 @@ def test_missed_events_without_length(spark, tmp_path):
             (5, "03:10:00", "click", 0), (6, "04:00:00", "purchase", 5), (7, "04:00:00", "click", 0), (8, "05:00:00", "click", 0), (9, "05:00:00", "purchase", 0)]
     got, want = both(spark, tmp_path, made(*rows), "final_events")
     assert got == want and len(got) == 4 + 3  # 2 lies inside 1, and 5 inside 4
+
+
+@pytest.mark.parametrize("name", ["rule_summary"])
+def test_repeated_zones(spark, tmp_path, name):
+    got, want = both(spark, tmp_path, f"SELECT * REPLACE (event_id + 100000 * r AS event_id) FROM '{EVENTS}', (SELECT unnest(range(40)) AS r)", name)
+    assert got == want and got

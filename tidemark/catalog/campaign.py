@@ -75,7 +75,7 @@ def channel_plan(t):
     return out.select("channel_id", "n_zones_seizures", "n_zones_manual", "excluded", "expected", "not_run_reason")
 
 
-@query("EVT-23", f"WITH {POINTS}, {LAB}, {CHN}, cl AS (SELECT channel_id, unnest([rule, 'TOTAL']) AS rule, greatest(zlo, 0) AS lo, least(zhi, dur) AS hi FROM cz), {merged('m', keys='rule, channel_id', source='cl', lo='lo')}, "
+@query("EVT-23", f"WITH {POINTS}, {LAB}, {CHN}, cl AS (SELECT channel_id, unnest([rule, 'TOTAL']) AS rule, greatest(zlo, 0) AS lo, least(zhi, dur) AS hi FROM cz), {merged('m', keys='rule, channel_id', source='(SELECT DISTINCT rule, channel_id, lo, hi FROM cl)', lo='lo')}, "
        "x AS (SELECT rule, sum(hi - lo) AS off FROM m GROUP BY 1), n AS (SELECT rule, count(*) AS n FROM cl GROUP BY 1) SELECT rule, n AS n_zones, CAST(coalesce(off, 0) AS BIGINT) AS excluded FROM n LEFT JOIN x USING (rule)")
 def rule_summary(t):
     """Zones and excluded time per rule, and over the union of all rules."""
