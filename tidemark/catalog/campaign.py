@@ -61,7 +61,7 @@ def channel_zones(t):
     return out.join(z.select("user_id", "zone_id", "origin"), ["user_id", "zone_id"]).select("channel_id", "origin", "rule", "lo", "hi")
 
 
-@query("EVT-23 EVT-20", f"WITH {POINTS}, {LAB}, {CHN}, cl AS (SELECT channel_id, greatest(zlo, 0) AS lo, least(zhi, dur) AS hi FROM cz), {merged('m', keys='channel_id', source='cl', lo='lo')}, "
+@query("EVT-23 EVT-20", f"WITH {POINTS}, {LAB}, {CHN}, cl AS (SELECT channel_id, greatest(zlo, 0) AS lo, least(zhi, dur) AS hi FROM cz), {merged('m', keys='channel_id', source='(SELECT DISTINCT channel_id, lo, hi FROM cl)', lo='lo')}, "
        "x AS (SELECT channel_id, sum(hi - lo) AS off FROM m GROUP BY 1), n AS (SELECT channel_id, count(*) FILTER (pass_as = 'seizures') AS ns, count(*) FILTER (pass_as = 'manual') AS nm FROM cz GROUP BY 1) "
        "SELECT user_id || '|' || channel_id0 AS channel_id, coalesce(ns, 0) AS n_zones_seizures, coalesce(nm, 0) AS n_zones_manual, CAST(coalesce(off, 0) AS BIGINT) AS excluded, CAST(stop - start - coalesce(off, 0) AS BIGINT) AS expected, "
        "CASE WHEN user_id % 13 = 0 THEN 'file excluded: X' ELSE '' END AS not_run_reason FROM ch LEFT JOIN x ON x.channel_id = user_id || '|' || channel_id0 LEFT JOIN n ON n.channel_id = user_id || '|' || channel_id0")
