@@ -69,6 +69,10 @@ ph AS (SELECT user_id, scope, side, phase, coalesce(n, 0) AS n, coalesce(n_poly,
 ra AS (SELECT * FROM ph UNION ALL SELECT user_id, scope, side, 'all', sum(n), sum(n_poly), sum(n_bursts), sum(minutes) FROM ph GROUP BY ALL)"""
 
 
+#: Equal spans of a subject once, so that no merge depends on the order they come in.
+SIDES_ONCE = SIDES.replace("FROM p1 WHERE hi > t", "FROM (SELECT DISTINCT user_id, scope, own, t, hi FROM p1) WHERE hi > t")
+
+
 def side_tables(t):
     s = scoped(t).where("event_type IN ('click', 'view')").withColumns({"side": F.col("event_type"), "poly": F.col("value") > 15, "burst": F.col("value") > 40})
     return rp.side_statistics(s, s, USER, "campaign", "side", lambda b: F.when(b == 1, "light").otherwise("dark"), unit=US, tz="UTC", edges_min=[0, 480, 1170, 1440], right="click", left="view")
@@ -82,7 +86,7 @@ def side_rates(t):
     return out.withColumns({c: F.round(c, 6) for c in ("minutes", "per_min", "pct_poly", "bursts_per_h")})
 
 
-@query("AGG-13", f"WITH {POINTS}, {SIDES}, w AS (SELECT user_id, scope, max(n / minutes) FILTER (side = 'click') AS r, max(n / minutes) FILTER (side = 'view') AS l FROM ra WHERE phase = 'all' AND side <> 'both' GROUP BY ALL) "
+@query("AGG-13", f"WITH {POINTS}, {SIDES_ONCE}, w AS (SELECT user_id, scope, max(n / minutes) FILTER (side = 'click') AS r, max(n / minutes) FILTER (side = 'view') AS l FROM ra WHERE phase = 'all' AND side <> 'both' GROUP BY ALL) "
        "SELECT user_id, scope, round(r, 6) AS click, round(l, 6) AS view, round((r - l) / (r + l), 6) AS asymmetry FROM w")
 def scope_asymmetry(t):
     """Asymmetry of the two sides' rates in every scope."""
