@@ -29,3 +29,15 @@ def test_a_large_key_is_resampled_without_shuffled_draws(spark):
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     i = np.array([int(hashlib.md5(f"3|0|2|{k}".encode()).hexdigest()[:8], 16) % n for k in range(n)])
     assert np.isclose(got.where("rep = 2").first().r, np.corrcoef(i % 97, i % 89)[0, 1])
+
+
+def test_kendall_by_a_table_equals_pairs(monkeypatch):
+    from tidemark.operators import resampling as rs
+    r = np.random.default_rng(4)
+    small = r.integers(0, 7, size=(6, 60, 2)).astype(float)
+    flat = np.concatenate([small, np.ones((1, 60, 2))])
+    want = rs._kendall_by_pairs(flat)
+    wide = r.normal(size=(2, 300, 2))
+    assert np.array_equal(rs.kendall(wide), rs._kendall_by_pairs(wide))
+    monkeypatch.setattr(rs, "_kendall_by_pairs", None)
+    assert np.array_equal(rs.kendall(flat), want, equal_nan=True) and np.isnan(want[-1])
