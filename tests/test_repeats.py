@@ -40,7 +40,7 @@ def test_missed_events_without_length(spark, tmp_path):
     assert got == want and len(got) == 4 + 3  # 2 lies inside 1, and 5 inside 4
 
 
-@pytest.mark.parametrize("name", ["rule_summary", "channel_plan"])
+@pytest.mark.parametrize("name", ["rule_summary", "channel_plan", "scope_asymmetry"])
 def test_repeated_zones(spark, tmp_path, name):
     got, want = both(spark, tmp_path, f"SELECT * REPLACE (event_id + 100000 * r AS event_id) FROM '{EVENTS}', (SELECT unnest(range(40)) AS r)", name)
     assert got == want and got
