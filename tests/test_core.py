@@ -252,3 +252,18 @@ def test_defaults_are_the_published_values():
         0.030, 0.060, 200, 150, 5, 3, 4, 40, 5)
     assert (c.use_fixed, c.fixed, c.k, c.switch_pct, c.mains_hz, c.halfwidth_hz) == (True, (-2500, 2500), 10, 0.1, 50, 2)
     assert (q.window_s, q.scale_band, q.line_hz, q.line_db, q.line_intermittent_pct, q.low_snr_db, q.min_snr_db, q.attenuation_ratio) == (4, (15, 70), 50, 10, 10, 26, 12, 3)
+
+
+def test_slices_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    """Four partitions of the session held 1,000 rows each before, whatever the number of slices."""
+    from tidemark.operators import slicing
+    from tidemark.operators.scan import lag, ordered_scan
+    monkeypatch.setattr(slicing, "TARGET_ROWS", 500)
+    monkeypatch.setattr(slicing, "TASK_ROWS", 100)
+    df = spark.range(4000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
+    got = ordered_scan(df, ["k"], ["t"], [lag("p", "t")]).withColumn("part", F.spark_partition_id()).collect()
+    assert all(r.p == (r.t - 3 if r.t >= 3 else None) for r in got) and len(got) == 4000
+    held = [r.part for r in got]
+    assert max(held.count(p) for p in set(held)) < 1000
+    joined = islands(df.withColumn("u", F.col("t") + 1), ["k"], "t", "u", gap=2, measures={"n": ("count", "t")}).collect()
+    assert sorted((r.k, r.t, r.n) for r in joined) == [(0, 0, 1334), (1, 1, 1333), (2, 2, 1333)]

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import SLICE, sliced
+from tidemark.operators.slicing import SLICE, sliced, spread
 
 # name -> (first aggregation, how partial results merge)
 _KINDS = {
@@ -36,8 +36,9 @@ def islands(df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, gap=0, stri
     """
     keys = list(keys)
     measures = dict(measures or {})
+    n = 0
     if isinstance(slice_by, str):
-        df, slice_by = sliced(df, lo)
+        df, slice_by, n = sliced(df, lo)
     past = (lambda a, b: a >= b + F.lit(gap)) if strict else (lambda a, b: a > b + F.lit(gap))
 
     def opens(reach: Column) -> Column:
@@ -54,7 +55,7 @@ def islands(df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, gap=0, stri
     w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(lo, hi)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (rows.withColumn("_reach", F.max(hi).over(before))
+    numbered = (spread(rows, group, n).withColumn("_reach", F.max(hi).over(before))
                     .withColumn("_island", F.sum(opens(F.col("_reach")).cast("long")).over(upto)))
     local = numbered.groupBy(*group, "_island").agg(*first)
     if slice_by is None:

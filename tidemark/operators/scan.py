@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import SLICE, sliced
+from tidemark.operators.slicing import SLICE, sliced, spread
 
 _ALL = Window.unboundedPreceding
 
@@ -90,8 +90,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps
     ``slice_of``) or None for groups known to be bounded.
     """
     keys, order = list(keys), list(order)
+    rows = 0
     if isinstance(slice_by, str):
-        df, slice_by = sliced(df, order[0])
+        df, slice_by, rows = sliced(df, order[0])
     down = [F.col(c).desc() for c in order]
 
     def ordered(by: list[str], up: list, reverse: list):
@@ -107,7 +108,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps
     group = keys + [SLICE]
     inner, outer = ordered(group, order, down), ordered(keys, [SLICE], [F.col(SLICE).desc()])
     at = F.struct(*order)
-    locals_ = cut.select("*", *[s.local(inner(s)).alias(f"_l{i}") for i, s in enumerate(steps)])
+    locals_ = spread(cut, group, rows).select("*", *[s.local(inner(s)).alias(f"_l{i}") for i, s in enumerate(steps)])
     totals = cut.groupBy(*group).agg(*[s.summary(at).alias(f"_s{i}") for i, s in enumerate(steps)])
     carries = totals.select(*group, *[s.carry(outer(s), F.col(f"_s{i}")).alias(f"_c{i}")
                                       for i, s in enumerate(steps)])

@@ -20,14 +20,23 @@ from tidemark.session import settle
 
 SLICE = "_slice"
 TARGET_ROWS = 2_000_000
+TASK_ROWS = 250_000  # rows that a task sorts
 _FAN = 32
 _PROBES = 1023  # quantiles that the first look at a column takes
 
 
-def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column | None]:
-    """The input ready to be read several times, and its slice expression (None if all its rows fit one slice)."""
+def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column | None, int]:
+    """The input ready to be read several times, its slice expression (None if all its rows fit one slice) and its number of rows."""
     df = settle(df)
-    return df, slice_of(df, column)
+    n, cut = _measured(df, column, TARGET_ROWS)
+    return df, cut, n
+
+
+def spread(df: DataFrame, group: Sequence[str], rows: int) -> DataFrame:
+    """Deal groups to as many tasks as leave each about ``TASK_ROWS`` of the ``rows``, where the session's number of
+    partitions is smaller: the memory of a task does not grow with the input."""
+    parts = math.ceil(rows / TASK_ROWS)
+    return df.repartition(parts, *group) if group and parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def slice_of(df: DataFrame, column: str, target_rows: int | None = None) -> Column | None:
@@ -37,18 +46,21 @@ def slice_of(df: DataFrame, column: str, target_rows: int | None = None) -> Colu
     Costs one pass over that column for its count and quantile sketch, a second one beyond
     ``_PROBES * target_rows`` rows.  The driver holds the cuts only, one per ``target_rows`` rows.
     """
-    target_rows = target_rows or TARGET_ROWS
+    return _measured(df, column, target_rows or TARGET_ROWS)[1]
+
+
+def _measured(df: DataFrame, column: str, target_rows: int) -> tuple[int, Column | None]:
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     probes = [i / (_PROBES + 1) for i in range(1, _PROBES + 1)]
     n, sketch = values.agg(F.count(F.lit(1)), F.percentile_approx("v", probes, 4 * (_PROBES + 1))).first()
     parts = math.ceil(n / target_rows)
     if parts < 2:
-        return None
+        return n, None
     if parts <= _PROBES + 1:
         cuts = [sketch[i * (_PROBES + 1) // parts - 1] for i in range(1, parts)]
     else:
         cuts = values.approxQuantile("v", [i / parts for i in range(1, parts)], 1 / (4 * parts))
-    return locate(F.col(column).cast("double"), sorted(set(cuts)))
+    return n, locate(F.col(column).cast("double"), sorted(set(cuts)))
 
 
 def locate(value: Column, cuts: Sequence[float]) -> Column:
