@@ -28,6 +28,14 @@ def test_forced_slices_give_the_same_rows(spark, monkeypatch, name):
     assert sorted(map(repr, ENTRIES[name].run(spark, SF).collect())) == plain
 
 
+@pytest.mark.parametrize("name", ["bounded_merge", "observation_time", "elapsed_days"])
+def test_slices_forced_on_every_key_give_the_same_rows(spark, monkeypatch, name):
+    import tidemark.operators.slicing as sl
+    plain = sorted(map(repr, ENTRIES[name].run(spark, SF).collect()))
+    monkeypatch.setattr(sl, "TARGET_ROWS", 15)
+    assert sorted(map(repr, ENTRIES[name].run(spark, SF).collect())) == plain
+
+
 def test_slices_follow_counted_rows(spark, monkeypatch):
     """An exploded input is sliced by its rows, whatever its size was estimated to be."""
     import tidemark.operators.slicing as sl

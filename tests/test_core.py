@@ -267,3 +267,30 @@ def test_slices_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
     assert max(held.count(p) for p in set(held)) < 1000
     joined = islands(df.withColumn("u", F.col("t") + 1), ["k"], "t", "u", gap=2, measures={"n": ("count", "t")}).collect()
     assert sorted((r.k, r.t, r.n) for r in joined) == [(0, 0, 1334), (1, 1, 1333), (2, 2, 1333)]
+
+
+def test_small_keys_are_not_cut_however_many_rows_there_are(spark, monkeypatch):
+    """Forty keys of 100 rows went through slices, carries and a join before, as all rows together are more than a slice holds."""
+    import re
+    from tidemark.operators import slicing
+    from tidemark.operators.scan import lag, ordered_scan
+    monkeypatch.setattr(slicing, "TARGET_ROWS", 500)
+    df = spark.range(4000).select((F.col("id") % 40).alias("k"), F.col("id").alias("t"))
+    nodes = lambda d: re.findall(r"^[ :+|-]*(Join|Union)", d._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    got = ordered_scan(df, ["k"], ["t"], [lag("p", "t")])
+    assert nodes(got) == [] and all(r.p == (r.t - 40 if r.t >= 40 else None) for r in got.collect())
+    merged = islands(df.withColumn("u", F.col("t") + 1), ["k"], "t", "u", gap=39)
+    assert nodes(merged) == [] and merged.count() == 40
+    assert nodes(ordered_scan(df.withColumn("k", F.col("t") % 2), ["k"], ["t"], [lag("p", "t")])) == ["Join"]
+
+
+def test_sets_that_are_disjoint_are_not_merged_again(spark, monkeypatch):
+    """The recording was merged again by every operation on it: six merges before, four now."""
+    from tidemark.operators.exposure import observation_sets
+    calls, union = [], iv.union
+    monkeypatch.setattr(iv, "union", lambda *a, **k: calls.append(1) or union(*a, **k))
+    spans = lambda *r: spark.createDataFrame([("a", *x) for x in r], "k string, lo long, hi long")
+    sets = observation_sets(spans((0, 10), (5, 20), (30, 40)), spans((8, 12)), spans((15, 35)), spans((15, 35)), ["k"])
+    got = {n: sorted((r.lo, r.hi) for r in d.collect()) for n, d in sets.items()}
+    assert got == {"rec": [(0, 20), (30, 40)], "eeg": [(0, 8), (12, 15), (35, 40)], "observed": [(0, 8), (12, 20), (30, 40)]}
+    assert len(calls) == 4

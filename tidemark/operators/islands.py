@@ -38,7 +38,7 @@ def islands(df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, gap=0, stri
     measures = dict(measures or {})
     n = 0
     if isinstance(slice_by, str):
-        df, slice_by, n = sliced(df, lo)
+        df, slice_by, n = sliced(df, lo, keys)
     past = (lambda a, b: a >= b + F.lit(gap)) if strict else (lambda a, b: a > b + F.lit(gap))
 
     def opens(reach: Column) -> Column:

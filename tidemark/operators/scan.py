@@ -92,7 +92,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps
     keys, order = list(keys), list(order)
     rows = 0
     if isinstance(slice_by, str):
-        df, slice_by, rows = sliced(df, order[0])
+        df, slice_by, rows = sliced(df, order[0], keys)
     down = [F.col(c).desc() for c in order]
 
     def ordered(by: list[str], up: list, reverse: list):
@@ -102,7 +102,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps
 
     if slice_by is None:
         w = ordered(keys, order, down)
-        return df.select("*", *[s.combine(s.local(w(s)), F.lit(None)).alias(s.out) for s in steps])
+        return spread(df, keys, rows).select("*", *[s.combine(s.local(w(s)), F.lit(None)).alias(s.out) for s in steps])
 
     cut = df.withColumn(SLICE, slice_by)
     group = keys + [SLICE]

@@ -25,11 +25,14 @@ _FAN = 32
 _PROBES = 1023  # quantiles that the first look at a column takes
 
 
-def sliced(df: DataFrame, column: str) -> tuple[DataFrame, Column | None, int]:
-    """The input ready to be read several times, its slice expression (None if all its rows fit one slice) and its number of rows."""
+def sliced(df: DataFrame, column: str, keys: Sequence[str] = ()) -> tuple[DataFrame, Column | None, int]:
+    """The input ready to be read several times, its slice expression (None if the rows of every key fit one slice) and its number of rows.
+
+    A key's rows are cut only where a key has more than ``TARGET_ROWS`` of them, counted: the others need no second window and no
+    carries, however many keys there are."""
     df = settle(df)
-    n, cut = _measured(df, column, TARGET_ROWS)
-    return df, cut, n
+    n, most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return df, _measured(df, column, TARGET_ROWS)[1] if most > TARGET_ROWS else None, n
 
 
 def spread(df: DataFrame, group: Sequence[str], rows: int) -> DataFrame:
