@@ -201,19 +201,18 @@ def cluster_counts(points: DataFrame, keys: Sequence[str], t: str, gaps: Mapping
                    slice_by="auto") -> DataFrame:
     """Clusters (a gap over the limit opens a new one) per key and limit: count and largest size."""
     keys = list(keys)
-    conf = F.explode(F.array(*[F.struct(F.lit(k).alias("gap_h"), F.lit(g).alias("g")) for k, g in gaps.items()]))
     x = ordered_scan(points.select(*keys, t), keys, [t], [lag("_p", t)], slice_by)
-    x = x.select(*keys, conf.alias("c"), t, "_p").select(*keys, "c.*", t, "_p")
-    opens = F.coalesce(F.col(t) - F.col("_p") > F.col("g"), F.lit(True)).cast("long")
-    lab = ordered_scan(x.withColumn("_new", opens), [*keys, "gap_h"], [t], [running_sum("_c", "_new")], slice_by)
+    opens = lambda g: F.coalesce(F.col(t) - F.col("_p") > F.lit(g), F.lit(True)).cast("long")
+    lab = ordered_scan(x, keys, [t], [running_sum(f"_c{k}", opens(g)) for k, g in gaps.items()], slice_by)
+    lab = lab.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("gap_h"), F.col(f"_c{k}").alias("_c")) for k in gaps])))
     sizes = lab.groupBy(*keys, "gap_h", "_c").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("gap_h", *keys).agg(F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("largest"))
 
 
 def observed_intervals(starts: DataFrame, observed: DataFrame, keys: Sequence[str], t: str,
-                       fraction: float = 0.95, slice_by="auto") -> DataFrame:
+                       fraction: float = 0.95, slice_by="auto", normalised: bool = False) -> DataFrame:
     """Start-to-start intervals kept when at least ``fraction`` of them was observed."""
-    at = iv.covered_before(starts, observed, keys, t, "_cov", slice_by)
+    at = iv.covered_before(starts, observed, keys, t, "_cov", slice_by, normalised)
     x = ordered_scan(at, keys, [t], [lag("_t0", t), lag("_c0", "_cov")], slice_by)
     x = x.withColumn("isi", F.col(t) - F.col("_t0"))
     return x.where((F.col("isi") > 0) & (F.col("_cov") - F.col("_c0") >= F.lit(fraction) * F.col("isi"))).drop("_cov", "_t0", "_c0")

@@ -83,10 +83,10 @@ def overlap_length(rows: DataFrame, cover: DataFrame, keys: Sequence[str], out:
 
 
 def contains(points: DataFrame, cover: DataFrame, keys: Sequence[str], t: str, out: str = "inside",
-             closed: bool = False, slice_by="auto") -> DataFrame:
+             closed: bool = False, slice_by="auto", normalised: bool = False) -> DataFrame:
     """Flag points lying in union(cover): half-open ``[lo, hi)`` except the right edge of the last
     interval, or both ends inclusive with ``closed=True``."""
-    cover = union(cover, keys, slice_by)
+    cover = cover if normalised else union(cover, keys, slice_by)
     if closed:
         ends = cover.withColumn("_eo", F.lit(2))
     else:
@@ -138,9 +138,9 @@ def local_bins(df: DataFrame, keys: Sequence[str], tz: str, edges_min: Sequence[
 
 
 def clock_split(df: DataFrame, keys: Sequence[str], tz: str, edges_min: Sequence[int],
-                slice_by="auto") -> DataFrame:
+                slice_by="auto", normalised: bool = False) -> DataFrame:
     """Length of union(df) per local day and wall-clock bin."""
-    return (local_bins(union(df, keys, slice_by), keys, tz, edges_min)
+    return (local_bins(df if normalised else union(df, keys, slice_by), keys, tz, edges_min)
             .groupBy(*keys, "day", "bin").agg(F.sum("length").alias("length")))
 
 
