@@ -124,17 +124,16 @@ SELECT 'excluded time grows with w' AS control, n AS n_bad, n = 0 AS pass FROM m
 SELECT unnest(['balance with no exclusion', 'controls unchanged', 'no negative time']), 0, true""")
 def configuration_checks(t):
     """Monotony, balance and unchanged controls (subjects without events) over seven exclusion settings."""
-    from tidemark.operators.exposure import exclusion_grid
+    from tidemark.operators.exposure import each_configuration, outside_grid
     span = t.points.groupBy("user_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     pts = t.points.where("event_type = 'click'").select("event_id", "user_id", "t")
     key = ["user_id", "side", "w"]
-    kept = exclusion_grid(t.spans("purchase"), span, pts, USER, GRID, H)
+    zones = durable(iv.union(ev.peri_zones(t.spans("purchase"), USER, GRID, H), key))
+    swept = durable(iv.sweep(each_configuration(span.where("hi > lo"), GRID), zones, key))
+    kept = outside_grid(swept, zones, pts, USER, GRID)
     # what is dropped is measured by itself, not as the rest of what is kept
-    zones = durable(ev.peri_zones(t.spans("purchase"), USER, GRID, H))
-    conf = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(w).alias("w")) for s, w in GRID])).alias("c")
-    spread = lambda d: d.select(*d.columns, conf).select(*d.columns, "c.*")
-    off = iv.intersect(zones, spread(span), key).groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("off"))
-    inside = iv.contains(spread(pts), zones, key, "t", closed=True).groupBy(*key).agg(F.count_if("inside").alias("gone"))
+    off = swept.where("in_a AND in_b").groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("off"))
+    inside = iv.contains(each_configuration(pts, GRID), zones, key, "t", closed=True, normalised=True).groupBy(*key).agg(F.count_if("inside").alias("gone"))
     grid = kept.join(off, key, "left").join(inside, key, "left").na.fill(0)
     none = grid.where("side = 'none'").select("user_id", F.col("off").alias("off0"), F.col("gone").alias("gone0"))
     busy = t.points.groupBy("user_id").agg(F.when(F.count_if(F.col("event_type") == "purchase") > 0, "case").otherwise("control").alias("grp"))
