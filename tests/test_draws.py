@@ -41,3 +41,25 @@ def test_kendall_by_a_table_equals_pairs(monkeypatch):
     assert np.array_equal(rs.kendall(wide), rs._kendall_by_pairs(wide))
     monkeypatch.setattr(rs, "_kendall_by_pairs", None)
     assert np.array_equal(rs.kendall(flat), want, equal_nan=True) and np.isnan(want[-1])
+
+
+def test_middle_ranks_are_those_of_all_drawn_ones():
+    """The medians of replicates come from the ranks around the middle; also where the middle is far off."""
+    from tidemark.operators import stats
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 64, 999, 5000):
+        x = np.round(rng.gamma(2, 1, n), 1)
+        ranks, s = stats.ranked([x])
+        for drawn in (rng.integers(0, n, n), np.zeros(n, int), np.full(n, n - 1)):
+            a, b = stats.middle_ranks(ranks[drawn])
+            whole = np.sort(x[drawn])
+            assert (s[a], s[b]) == (whole[(n - 1) // 2], whole[n // 2])
+
+
+def test_numbers_below_a_limit_are_remainders_across_blocks():
+    n = 40_000
+    h = draws.xxhash_numbers(-5, 3, n)
+    one = draws.xxhash_ints(draws.xxhash_ints(draws.xxhash_seed(-5), np.array([3])), np.arange(n)) & np.uint64(0xFFFFFFFF)
+    assert (h == one).all()
+    for m in (1, 7, n, 2**31 + 5):
+        assert (draws.below(h.copy(), m) == h % np.uint32(m)).all()

@@ -107,9 +107,34 @@ def xxhash_seed(value: int) -> np.ndarray:
     return np.array([value & 0xFFFFFFFFFFFFFFFF], np.uint64)
 
 
+_STEPS = np.arange(_CHUNK, dtype=np.uint64) * _P1
+
+
 def xxhash_numbers(seed: int, rep: int, n: int) -> np.ndarray:
     """Lower 32 bits of ``xxhash64(..., rep, i)`` for i = 0 .. n - 1; ``seed`` is the hash of the columns before."""
-    seeds, out = xxhash_ints(xxhash_seed(seed), np.array([rep])), np.empty(n, np.uint32)
+    start, out = xxhash_ints(xxhash_seed(seed), np.array([rep])) + _P5_4, np.empty(n, np.uint32)
+    hashes, spare = np.empty(min(n, _CHUNK), np.uint64), np.empty(min(n, _CHUNK), np.uint64)
     for lo in range(0, n, _CHUNK):
-        out[lo:lo + _CHUNK] = xxhash_ints(seeds, np.arange(lo, min(lo + _CHUNK, n))) & np.uint64(_MASK)
+        rows = min(n - lo, _CHUNK)
+        h, g = hashes[:rows], spare[:rows]
+        np.add(_STEPS[:rows], np.uint64(lo * int(_P1) & 0xFFFFFFFFFFFFFFFF), out=h)
+        h ^= start
+        np.right_shift(h, np.uint64(41), out=g)
+        h <<= np.uint64(23)
+        h |= g
+        h *= _P2
+        h += _P3
+        for by, times in ((33, _P2), (29, _P3)):
+            np.right_shift(h, np.uint64(by), out=g)
+            h ^= g
+            h *= times
+        np.right_shift(h, np.uint64(32), out=g)
+        h ^= g
+        np.copyto(out[lo:lo + rows], h, casting="unsafe")
     return out
+
+
+def below(numbers: np.ndarray, n: int) -> np.ndarray:
+    """``numbers % n`` in place; a division by one number runs in vector registers, a remainder does not."""
+    numbers -= numbers // np.uint32(n) * np.uint32(n)
+    return numbers
