@@ -219,3 +219,11 @@ def test_word_hashes_do_not_depend_on_their_place():
     starts, ends = common.word_spans(b, np.array([0, 5]))
     h = common.span_hashes(b, starts, ends)
     assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+
+
+def test_ranges_that_overlap_are_made_one(spark):
+    lists = [(1, [(5, 9), (0, 3), (2, 4), (4, 5), (7, 12)], []), (2, [], [(1, 2), (0, 9)]), (3, [(0, 1)], [(3, 4), (8, 9)])]
+    kind = "array<struct<start: bigint, end: bigint>>"
+    out = suffix.merged(spark.createDataFrame(lists, f"key long, spans {kind}, runs {kind}").repartition(2)).collect()
+    got = {x.key: ([tuple(s) for s in x.spans], [tuple(s) for s in x.runs]) for x in out}
+    assert got == {1: ([(0, 4), (4, 5), (5, 12)], []), 2: ([], [(0, 9)]), 3: ([(0, 1)], [(3, 4), (8, 9)])}
