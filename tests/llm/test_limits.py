@@ -75,3 +75,14 @@ def test_many_stretches_at_once_equal_one_by_one():
     ids, counts = units._encode_new(b, cuts[:-1], cuts[1:], np.ones(len(data), bool))
     want = [units.model.solve(t.replace(" ", sp.MARK)) for t in texts]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_the_driver_holds_count_tables_compressed(spark):
+    import pickle
+
+    from tidemark.llm import sketch
+    h = np.random.default_rng(1).integers(0, 2**64, 3000, np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in np.concatenate([h, h[:500]]).view(np.int64)], "x long").repartition(3)
+    levels = sketch.count_levels(df, lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)]), 24)
+    assert len(pickle.dumps(levels)) < 1 << 18  # 4 MB unpacked
+    assert (sketch.level_of(levels, h[:500]) > 0).all() and (sketch.level_of(levels, h[500:]) > 0).mean() < 0.01
