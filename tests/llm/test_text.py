@@ -147,6 +147,23 @@ def test_components_equal_brute_force(spark, monkeypatch, chunk):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_texts_without_partner_are_not_moved_however_many_shingles(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(200)]  # more shingles than cells of a table of 14 bits
+    texts += [" ".join([*texts[i].split()[:40], *[word() for _ in range(200)]]) for i in range(100)] + [texts[0] + " more", texts[1]]
+    sizes, written = {}, jaccard.written
+    def counted(df, name, *rest):
+        out = written(df, name, *rest)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(jaccard, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in jaccard.components(docs, bits=14).collect()}
+    assert got == {i: {300: 0, 301: 1}.get(i, i) for i in range(len(texts))}
+    assert sizes["members"] == 2 and sizes["classes"] < 10
+
+
 def test_trie_finds_what_pairs_give():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 40, r.integers(1, 30))).astype(np.uint64) for _ in range(60)] + [np.array([1, 2, 3], np.uint64)] * 2
