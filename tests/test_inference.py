@@ -53,6 +53,36 @@ def test_intervals_and_permutations_equal_brute_force(spark, monkeypatch):
         rs.bca(df, ["k"], ["x", "y"], rs.spearman, 10, 5, ["id"])
 
 
+def test_keys_of_many_rows_are_resampled_by_their_different_rows(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = r.integers(0, 4, (60, 2)).astype(float)
+    v[:, 1] += v[:, 0]
+    df = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(v)], "k int, id int, x double, y double").repartition(3)
+    plain = lambda a: rs.kendall(a)  # noqa: E731  a statistic without a form for counted rows
+    run = lambda f: [rs.bca(df, ["k"], ["x", "y"], f, 2000, 5, ["id"]).first(), rs.permutation_p(df, ["k"], ["x", "y"], f, 2000, 5, ["id"]).first()]
+    near = {f: run(f) for f in (rs.kendall, rs.spearman, rs.pearson)}
+    monkeypatch.setattr(rs, "LOCAL_ROWS", 30)  # more rows, fewer different ones
+    far = {f: run(f) for f in near}
+    for f in near:
+        (a, p), (b, q) = near[f], far[f]
+        assert math.isclose(a.estimate, b.estimate) and np.allclose([a.ci_lo, a.ci_hi], [b.ci_lo, b.ci_hi], atol=0.03) and a.interval == b.interval == "bca" and abs(p.p - q.p) < 0.01
+    assert np.allclose([*run(plain)[0][1:4]], [*far[rs.kendall][0][1:4]])
+    left = [x.r for x in rs.replicated(df, ["k"], ["x", "y"], rs.spearman, "leave one out", 0, 5, ["id"]).collect()]
+    assert np.allclose(sorted(left), sorted(rs.spearman(np.delete(v, i, axis=0)[None])[0] for i in range(60)))
+
+
+def test_counted_statistics_equal_those_of_all_rows():
+    r = np.random.default_rng(6)
+    values, w = np.unique(r.integers(0, 5, (30, 2)), axis=0).astype(float), None
+    w = r.integers(0, 4, (7, len(values)))
+    for values in (values, r.normal(size=values.shape) * 1000):
+        for f in (rs.pearson, rs.spearman, rs.kendall):
+            assert np.allclose(f.counted(values, w), [f(np.repeat(values, n, axis=0)[None])[0] for n in w])
+    many = np.column_stack([r.permutation(400), r.permutation(400)]).astype(float)  # compared by pairs
+    n = r.integers(0, 3, (2, 400))
+    assert np.allclose(rs.kendall.counted(many, n), [rs._kendall_by_pairs(np.repeat(many, k, axis=0)[None])[0] for k in n])
+
+
 def test_replicates_are_the_same_with_and_without_shuffles(spark, monkeypatch):
     r = np.random.default_rng(3)
     df = spark.createDataFrame([(i, "a" if i % 3 else "b", float(x), float(y)) for i, (x, y) in enumerate(r.normal(5, 1, size=(40, 2)))], "id int, g string, x double, y double").withColumn("one", F.lit(0))

@@ -6,6 +6,7 @@ from tidemark.catalog.registry import query
 from tidemark.catalog.stats import B, SUBJ, subjects
 from tidemark.operators import exact, nested
 from tidemark.operators import resampling as rs
+from tidemark.session import settle
 
 TENTH = f"{SUBJ}, t AS (SELECT *, user_id % 10 AS k FROM s)"
 
@@ -61,7 +62,7 @@ def correlation_tests(t):
 @query("STAT-06 STAT-07 UDF-02")
 def statistic_intervals(t):
     """Bias-corrected accelerated intervals (10,000 replicates) and permutation p-values of three correlations, each a function handed in."""
-    s, out = subjects(t), None
+    s, out = settle(subjects(t)), None
     for name, f in (("spearman", rs.spearman), ("kendall tau-b", rs.kendall), ("pearson", rs.pearson)):
         both = rs.bca(s, ["one"], ["x", "y"], f, B, 21, ["user_id"]).join(rs.permutation_p(s, ["one"], ["x", "y"], f, B, 22, ["user_id"]).select("one", "p"), "one")
         row = both.select(F.lit(name).alias("statistic"), *[F.round(c, 6).alias(c) for c in ("estimate", "ci_lo", "ci_hi", "p")], "interval")
