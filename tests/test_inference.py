@@ -111,6 +111,21 @@ def test_exposure_replicates_equal_brute_force(spark):
     assert math.isclose(got[1].p_exposure, (sum(length(a) >= rbar for a in turns.values()) + 1) / 41) and got[2].rbar is None
 
 
+@pytest.mark.parametrize("n", [1, 67, 2500, 40000])
+def test_rounded_clock_keeps_its_error(n):
+    from tidemark.operators.draws import xxhash_longs
+    r = np.random.default_rng(n)
+    clock = st.ExposureClock()
+    for hours, seconds in ((np.arange(24.0), r.integers(1, 500, 24)), (np.array([0.0, 11, 12, 23]), np.array([1.0, 1e-6, 65534, 1])), (np.array([5.0]), np.ones(1))):
+        cdf = np.cumsum(seconds.astype(float))
+        seeds = r.integers(0, 2**64, 300 if n < 2000 else 12, dtype=np.uint64)
+        h = xxhash_longs(seeds[:, None], np.arange(n))
+        place = np.minimum(np.searchsorted(cdf, (h >> np.uint64(32)) / 2.0**32 * cdf[-1], "right"), len(cdf) - 1)
+        want = np.abs(np.exp(2j * np.pi / 24 * (hours[place] + (h & np.uint64(0xFFFFFFFF)) / 2.0**32)).mean(axis=1))
+        about, error = clock.lengths(seeds, n, hours, cdf)
+        assert (np.abs(about - want) <= error).all() and error < 6e-4 and np.abs(about - want).max() > 0
+
+
 def test_paths_of_nested_values(spark):
     kind = "k int, a struct<b:int,c:struct<d:string>>, m map<string,array<int>>, l array<struct<x:int>>"
     a = spark.createDataFrame([(1, (1, ("x",)), {"p": [1, 2], "q": []}, [(1,), None]), (2, None, {}, []), (3, (1, (None,)), None, None)], kind)

@@ -103,6 +103,25 @@ def xxhash_longs(seeds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return _mixed(_turn(h, 27) * _P1 + _P4)
 
 
+def xxhash_steps(values: np.ndarray) -> np.ndarray:
+    """What ``xxhash_longs`` makes of the values alone."""
+    return _turn(values.astype(np.uint64) * _P2, 31) * _P1
+
+
+def xxhash_open(seeds: np.ndarray, steps: np.ndarray, h: np.ndarray, g: np.ndarray) -> None:
+    """``xxhash_longs(seeds[:, None], values)`` into ``h`` without its last step ``h ^= h >> 32``; ``g`` is scratch."""
+    np.bitwise_xor((seeds + _P5_8)[:, None], steps, out=h)
+    np.right_shift(h, np.uint64(37), out=g)
+    h <<= np.uint64(27)
+    h |= g
+    h *= _P1
+    h += _P4
+    for by, times in ((33, _P2), (29, _P3)):
+        np.right_shift(h, np.uint64(by), out=g)
+        h ^= g
+        h *= times
+
+
 def xxhash_seed(value: int) -> np.ndarray:
     return np.array([value & 0xFFFFFFFFFFFFFFFF], np.uint64)
 
